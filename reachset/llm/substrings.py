@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
 from .text import Words, mix, pieces, signed
 
 WINDOW = 35
@@ -141,7 +140,6 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(anchor_bitmap(docs.select("text")))
     windows = docs.mapInArrow(_candidates(shared), "h long, row_key long, pos int")
-    windows = materialize(windows, "window-places")
     # counts are combined before the shuffle and joined back, so a window that very many texts hold is no single task's work
     twice = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     return windows.join(twice, "h").groupBy("row_key").agg(F.collect_set("pos").alias("starts"))
