@@ -6,10 +6,11 @@ words has the empty set and links with nothing. Two documents link at 100 * inte
 1. Documents with equal sets form a class, and one document stands for it.
 2. Classes that may be similar meet under hubs (see ``routing``). Shingles that many documents hold come last in the
    token order, so a shared passage brings few unrelated documents together.
-3. In each task a signature tree is built over the sets: a node holds the OR of its members' token bitmaps, their range of
-   sizes and their largest number of colliding tokens. A traversal of the tree against itself passes over pairs of nodes
-   whose sizes don't fit or whose largest possible overlap is too small, and those already linked; at the leaves sets are
-   compared exactly. A task returns a spanning forest of the links it found, so a group of copies never becomes all pairs.
+3. Under each hub a signature tree is built over the members' token bitmaps: a node holds the OR of the bitmaps below it,
+   their range of sizes and their largest number of colliding tokens. A traversal of the tree against itself passes over
+   pairs of nodes whose sizes don't fit or whose largest possible overlap is too small, and those already joined. Only
+   members that are left with a possible partner go on, with their texts, to the exact comparison, which runs over the same
+   kind of tree and returns a spanning forest of the links it found; so a group of copies never becomes all pairs.
 4. Connected components over the links give the classes of linked documents.
 
 Shingles are compared as 64-bit hashes. Defined results: null text is empty; a null id takes part like any other, and a
@@ -95,7 +96,7 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(common: np.ndarray):
-    schema = pa.schema([("member", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("member", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches):
         for piece in pieces(batches, "text"):
@@ -112,26 +113,31 @@ def _prefixes(common: np.ndarray):
                 chosen.append(s[:p])
             lens = np.array([len(c) for c in chosen], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("member"), piece.column("doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), list_array(signed(np.concatenate(chosen)), lens, pa.int64())],
+                [piece.column("member"), piece.column("doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), list_array(signed(np.concatenate(chosen)), lens, pa.int64()), pa.array([token_bitmap(s, bitmap_width(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary())],
                 schema=schema,
             )
 
     return run
 
 
+def bitmap_width(n: int) -> int:
+    """Bits of the bitmap of a set of n tokens: a power of two of at least n."""
+    return max(64, 1 << (n - 1).bit_length())
+
+
+def token_bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    row = np.zeros(width, bool)
+    row[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(row).view(np.uint64)
+
+
 class Tree:
-    """Signature tree over sets sorted by size and smallest token."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        n = np.array([len(s) for s in sets])
-        bits = min(MAX_BITS, max(64, 1 << int(2 * n.max() - 1).bit_length()))
-        self.size = n
-        rows = np.zeros((len(sets), bits), bool)
-        for i, s in enumerate(sets):
-            rows[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
-        spare = n - rows.sum(axis=1)
+    """Signature tree over sets in a given order: their sizes n and their bitmaps, all of one width."""
+
+    def __init__(self, n: np.ndarray, bits: np.ndarray):
+        spare = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         # level 0: the sets; each further level holds the nodes over FAN (first LEAF) of the level below
-        self.bits, self.low, self.high, self.spare, self.fan = [np.packbits(rows, axis=1).view(np.uint64)], [n], [n], [spare], []
+        self.bits, self.low, self.high, self.spare, self.fan = [bits], [n], [n], [spare], []
         while len(self.low[-1]) > 1:
             fan = LEAF if len(self.low) == 1 else FAN
             cuts = np.arange(0, len(self.low[-1]), fan)
@@ -163,67 +169,113 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def spanning_links(sets: list[np.ndarray], verify=None) -> list[tuple[int, int]]:
-    """Spanning forest of the links between sets (indices). Exact: a pair is passed over only if it can't link or is linked already."""
-    m = len(sets)
-    order = sorted(range(m), key=lambda i: (len(sets[i]), int(sets[i][0])))
-    own = [sets[i] for i in order]
-    parent = np.arange(m)
+class Forest:
+    """Union-find over m items."""
+
+    def __init__(self, m: int):
+        self.parent = np.arange(m)
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
         return x
 
-    links: list[tuple[int, int]] = []
+    def union(self, i: int, j: int) -> bool:
+        x, y = self.find(i), self.find(j)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
 
-    def try_link(i: int, j: int) -> None:
-        x, y = find(i), find(j)
-        if x == y:
-            return
-        a, b = own[i], own[j]
-        if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and _overlap(a, b) >= needed_overlap(len(a), len(b)):
-            parent[max(x, y)] = min(x, y)
-            links.append((order[i], order[j]))
+    def roots(self) -> np.ndarray:
+        p = self.parent
+        while (p != p[p]).any():
+            p = p[p]
+        self.parent = p
+        return p
 
-    # neighbours in the order and the first fitting set join most of a group of near copies at once
-    for i in range(1, m):
-        try_link(i - 1, i)
-        try_link(0, i)
-    if len({find(i) for i in range(m)}) == 1 or m == 2:
-        return links
-    tree = Tree(own)
-    top = len(tree.low) - 1
+
+def traverse(tree: Tree, forest: Forest, visit) -> None:
+    """Dual traversal of the tree with itself: visit(i, j) for every pair that may link and isn't joined in the forest."""
+    m, top = len(tree.low[0]), len(tree.low) - 1
     stack = [(top, np.array([0]), np.array([0]))]
     while stack:
         level, a, b = stack.pop()
         if len(a) > 65_536:
             stack += [(level, a[c : c + 65_536], b[c : c + 65_536]) for c in range(0, len(a), 65_536)]
             continue
+        root = forest.roots()
         if level == 0:
-            root = np.fromiter((find(i) for i in range(m)), np.int64, m)
-            open_ = (a < b) & (root[a] != root[b])
-            a, b = a[open_], b[open_]
+            apart = (a < b) & (root[a] != root[b])
+            a, b = a[apart], b[apart]
             keep = tree.may_link(0, a, b)
             for i, j in zip(a[keep].tolist(), b[keep].tolist()):
-                try_link(i, j)
+                visit(i, j)
             continue
-        keep = (a <= b) & tree.may_link(level, a, b)
+        cuts = np.arange(0, m, int(np.prod(tree.fan[:level])))
+        first, last = np.minimum.reduceat(root, cuts), np.maximum.reduceat(root, cuts)
+        apart = (first[a] != last[a]) | (first[b] != last[b]) | (first[a] != first[b])
+        a, b = a[apart], b[apart]
+        keep = tree.may_link(level, a, b)
         a, b = a[keep], b[keep]
         if not len(a):
             continue
-        root = np.fromiter((find(i) for i in range(m)), np.int64, m)
-        width = int(np.prod(tree.fan[:level]))
-        cuts = np.arange(0, m, width)
-        first, last = np.minimum.reduceat(root, cuts), np.maximum.reduceat(root, cuts)
-        apart = ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
-        a, b = a[apart], b[apart]
         fan, below = tree.fan[level - 1], len(tree.low[level - 1])
         ca = (a[:, None, None] * fan + np.arange(fan)[None, :, None] + np.zeros((1, 1, fan), np.int64)).ravel()
         cb = (b[:, None, None] * fan + np.arange(fan)[None, None, :] + np.zeros((1, fan, 1), np.int64)).ravel()
         real = (ca < below) & (cb < below) & (ca <= cb)
         stack.append((level - 1, ca[real], cb[real]))
+
+
+def possible_groups(n: np.ndarray, bitmaps: list[bytes]) -> np.ndarray:
+    """Label of each set; sets that may link, judged by sizes and bitmaps, have one label."""
+    width = np.array([len(b) * 8 for b in bitmaps])
+    forest = Forest(len(n))
+    for w in np.unique(width):
+        # sets whose sizes fit have equal or neighbouring widths; the wider bitmap is folded
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        own = own[np.argsort(n[own], kind="stable")]
+        if len(own) < 2:
+            continue
+        bits = np.zeros((len(own), w // 64), np.uint64)
+        for r, i in enumerate(own):
+            x = np.frombuffer(bitmaps[i], np.uint64)
+            bits[r] = x if width[i] == w else x[: w // 64] | x[w // 64 :]
+        tree = Tree(n[own], bits)
+        local = Forest(len(own))
+        for i in range(1, len(own)):  # neighbours by size, and the first of each run of fitting sizes
+            if tree.may_link(0, np.array([i - 1]), np.array([i]))[0]:
+                local.union(i - 1, i)
+        traverse(tree, local, local.union)
+        for r, root in zip(own.tolist(), local.roots().tolist()):
+            forest.union(r, int(own[root]))
+    return forest.roots()
+
+
+def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of the links between sets (indices). Exact: a pair is passed over only if it can't link or is linked already."""
+    m = len(sets)
+    order = sorted(range(m), key=lambda i: (len(sets[i]), int(sets[i][0])))
+    own = [sets[i] for i in order]
+    forest = Forest(m)
+    links: list[tuple[int, int]] = []
+
+    def visit(i: int, j: int) -> None:
+        if forest.find(i) == forest.find(j):
+            return
+        a, b = own[i], own[j]
+        if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and _overlap(a, b) >= needed_overlap(len(a), len(b)):
+            forest.union(i, j)
+            links.append((order[i], order[j]))
+
+    # neighbours in the order and the first set join most of a group of near copies at once
+    for i in range(1, m):
+        visit(i - 1, i)
+        visit(0, i)
+    if m > 2 and (forest.roots() != 0).any():
+        n = np.array([len(s) for s in own])
+        width = min(MAX_BITS, bitmap_width(2 * int(n.max())))
+        traverse(Tree(n, np.stack([token_bitmap(s, width) for s in own])), forest, visit)
     return links
 
 
@@ -251,8 +303,21 @@ def grouped(batches, keys: tuple[str, ...]):
         yield pa.Table.from_batches(held)
 
 
-def _links(batches):
+def _possible(batches):
+    schema = pa.schema([("hub", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("member", pa.int64()), ("part", pa.int64())])
     for t in grouped(batches, ("hub", "i", "j")):
+        member = t.column("member").to_numpy()
+        label = possible_groups(t.column("n").to_numpy(), t.column("bits").to_pylist())
+        _, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
+        keep = counts[inverse] > 1
+        if keep.any():
+            t = t.filter(pa.array(keep))
+            cols = [t.column(c).combine_chunks() for c in ("hub", "i", "j")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(member[keep]), pa.array(member[label[keep]])], schema=schema)
+
+
+def _links(batches):
+    for t in grouped(batches, ("hub", "i", "j", "part")):
         sets, keys, seen = [], [], set()
         for s in shingle_sets(t.column("text").combine_chunks()):
             if len(s) and (k := _set_key(s)) not in seen:
@@ -270,14 +335,17 @@ def join_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the row's id in the routing; rows that share one are routed together, which loses nothing
     rows = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("member"), "doc_id", "text")
     common = common_shingles(rows.select("text"))
-    prefix = materialize(rows.mapInArrow(_prefixes(common), "member long, doc_id long, n long, k1 long, k2 long, prefix array<long>"), "shingle-prefixes")
+    prefix = materialize(rows.mapInArrow(_prefixes(common), "member long, doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary"), "shingle-prefixes")
     sets = prefix.filter("n > 0").groupBy("k1").agg(F.min("member").alias("rep"), F.max("n").alias("n"), (F.min("k2") < F.max("k2")).alias("clash"))
     sets = sets.filter(F.when(F.col("clash"), F.raise_error(F.lit("two shingle sets share a 64-bit key")).cast("boolean")).otherwise(F.lit(True)))
     hubs = hubs_of(prefix.select("member", F.explode("prefix").alias("tok")))
-    reps = prefix.filter("n > 0").select("member", "k1").join(sets.select("k1", "rep", "n"), "k1").select("member", "rep", "n").distinct()
-    routed = in_blocks(hubs.join(reps, "member").select("hub", F.col("rep").alias("member"), "n").distinct(), "n")
-    tasks = routed.select("hub", "i", "j", "member").join(rows.select("member", "text"), "member").select("hub", "i", "j", "text")
-    links = materialize(tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_links, "a long, b long").distinct(), "shingle-links")
+    reps = prefix.filter("n > 0").select("member", "k1").join(sets.select("k1", "rep"), "k1").select("member", "rep").distinct()
+    routed = in_blocks(hubs.join(reps, "member").select("hub", F.col("rep").alias("member")).distinct().join(prefix.filter("n > 0").select("member", "n", "bits"), "member"), "n")
+    near = routed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "member", "n", "bits")
+    near = materialize(near.mapInArrow(_possible, "hub long, i int, j int, member long, part long"), "shingle-near")
+    tasks = near.join(rows.select("member", "text"), "member").select("hub", "i", "j", "part", "text")
+    tasks = tasks.repartition("hub", "i", "j", "part").sortWithinPartitions("hub", "i", "j", "part")
+    links = materialize(tasks.mapInArrow(_links, "a long, b long").distinct(), "shingle-links")
     found = components(links)
     members = prefix.select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("set_key")).join(found, F.col("set_key") == F.col("node"), "left")
     return members.select("doc_id", "n_shingles", "set_key", F.coalesce("root", "set_key").alias("component")), links

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Weight (tokens of the members) up to which a hub is one block.
-BLOCK_WEIGHT = 1_500_000
+BLOCK_WEIGHT = 4_000_000
 
 
 def prefix_length(n: np.ndarray | int):
