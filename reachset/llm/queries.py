@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import hmm, licenses, mixing, ngram_join, quality, secrets, substrings, warc
+from . import decontaminate, hmm, licenses, line_dedup, mixing, ngram_join, quality, secrets, substrings, warc
 
 
 def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_digest(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.join_digest(_documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -43,9 +51,13 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries():
-    found = [op3_ngram_jaccard_join, op4_quality_rules, op5_warc, op6_source_mixing, op7_substring_dedup, op8_license_scan, op9_lm_scoring, op10_secret_scan]
+    found = [op1_decontamination, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_warc, op6_source_mixing, op7_substring_dedup, op8_license_scan, op9_lm_scoring, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op6_source_mixing": mixing.mix_sql("documents")}
+    return {
+        "op1_decontamination": decontaminate.leaks_sql(),
+        "op2_line_dedup": line_dedup.dedup_sql("documents"),
+        "op6_source_mixing": mixing.mix_sql("documents"),
+    }
