@@ -19,17 +19,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .text import Words, list_array, pieces, signed
+from .text import Hashed, list_array, pieces, signed
 
 CLASSES = 4096
 END_CLASS = CLASSES
-#: Hash given to the end token (xxh64 of a line feed, which no word holds).
+#: Hash given to the end token.
 END = 0x0F7A3C5D9B1E2468
 STATES = 3
 ITERATIONS = 3
@@ -55,8 +56,8 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64))], schema=schema)
 
     for piece in pieces(batches, "text"):
-        words = Words(piece.column("text"), lower=True)
-        toks += [words.hashes(), np.array([END], np.uint64)]
+        words = Coded(piece.column("text"))
+        toks += [words.vocab, np.array([END], np.uint64)]
         counts += [np.bincount(words.codes, minlength=len(words.vocab)), np.array([piece.num_rows])]
         held += len(words.vocab)
         if held > 1_500_000:
@@ -66,10 +67,19 @@ def _count(batches):
         yield merged()
 
 
+class Coded:
+    """Words of n texts as codes into their distinct hashes."""
+
+    def __init__(self, texts: pa.Array):
+        words = Hashed(texts, lower=True)
+        codes, self.vocab = pd.factorize(words.h)
+        self.codes, self.offsets, self.owner = codes.astype(np.int64), words.offsets, words.owner
+
+
 class Segments:
     """Class sequences of n texts (end class last) as padded segments of SEGMENT tokens."""
 
-    def __init__(self, words: Words, word_class: np.ndarray):
+    def __init__(self, words: Coded, word_class: np.ndarray):
         lens = np.diff(words.offsets) + 1
         n = len(lens)
         ends = np.cumsum(lens)
@@ -180,8 +190,8 @@ def _expectations(model: Model):
     def run(batches):
         trans, emit, ll = np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1)), 0.0
         for piece in pieces(batches, "text"):
-            words = Words(piece.column("text"), lower=True)
-            t, e, x = model.expect(Segments(words, _class_of(words.hashes())))
+            words = Coded(piece.column("text"))
+            t, e, x = model.expect(Segments(words, _class_of(words.vocab)))
             trans, emit, ll = trans + t, emit + e, ll + x
         flat = np.concatenate([trans.ravel(), emit.ravel(), [ll]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
@@ -214,8 +224,8 @@ def _score(model: Model, big_tok: np.ndarray, big_log: np.ndarray, class_log: np
         uid = TaskContext.get().partitionId() << 36
         for piece in pieces(batches, "text"):
             n = piece.num_rows
-            words = Words(piece.column("text"), lower=True)
-            h = words.hashes()
+            words = Coded(piece.column("text"))
+            h = words.vocab
             cls = _class_of(h)
             ll = model.likelihood(Segments(words, cls)) / math.log(10)
             owner = words.owner()

@@ -95,3 +95,70 @@ def signed(x: np.ndarray) -> np.ndarray:
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_BASE = 0x2545F4914F6CDD1D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2^64, as many as were asked for so far."""
+
+    up = down = np.ones(1, U64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = 1 << (n - 1).bit_length()
+            for name, base in (("up", _BASE), ("down", _INVERSE)):
+                x = np.full(size, U64(base))
+                x[0] = 1
+                setattr(cls, name, np.multiply.accumulate(x))
+        return cls.up, cls.down
+
+
+class Hashed:
+    """Hashes of all words of n texts, computed on the bytes at once: h[offsets[i]:offsets[i+1]] are those of text i.
+
+    A word's hash is a polynomial of mixed byte values modulo 2^64, finally mixed with its length.
+    """
+
+    __slots__ = ("bounds", "buf", "ends", "h", "offsets", "starts")
+
+    def __init__(self, texts: pa.Array, lower: bool):
+        texts = pc.fill_null(texts, "")
+        if lower:
+            texts = pc.ascii_lower(texts)
+        n = len(texts)
+        where = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4).astype(np.int64) if n else np.zeros(1, np.int64)
+        size = int(where[-1] - where[0])
+        buf = np.frombuffer(texts.buffers()[2], np.uint8, size, int(where[0])) if size else np.zeros(0, np.uint8)
+        bounds = where - where[0]
+        inside = ~((buf == 32) | ((buf - np.uint8(9)) < 5))
+        cut = np.zeros(size + 1, bool)
+        cut[bounds] = True
+        first, last = inside.copy(), inside.copy()
+        if size:
+            first[1:] &= ~inside[:-1] | cut[1:-1]
+            last[:-1] &= ~inside[1:] | cut[1:-1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = _Powers.upto(size + 1)
+        sums = np.zeros(size + 1, U64)
+        np.cumsum(_TABLE[buf] * up[:size], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        self.h = mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        self.offsets = np.searchsorted(starts, bounds)
+        self.starts, self.ends, self.buf, self.bounds = starts, ends, buf, bounds
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line of each word, and owner and number of each line; lines are cut at line feeds and number from 0 in each text."""
+        feeds = np.flatnonzero(self.buf == 10)
+        n = len(self.bounds) - 1
+        per_text = np.diff(np.searchsorted(feeds, self.bounds)) + 1
+        owner = np.repeat(np.arange(n), per_text)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        return np.searchsorted(feeds, self.starts) + self.owner(), owner, number
