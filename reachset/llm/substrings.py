@@ -5,8 +5,8 @@ windows have equal anchors. Anchors that occur once are dropped; the others are
 match is extended to both sides as far as the windows that own the anchor reach: a window is repeated if its hash occurs
 at another place as well. Neighbouring repeated windows run together into maximal repeats, whose words are removed.
 
-Anchors are counted within tasks first. What is known of them reaches the tasks as a bitmap of BITS bits, whatever the
-corpus; a bit shared by chance only lets a window through to the exact count.
+Anchors are counted within tasks first. What is known of them reaches the tasks as a bitmap of a fixed size, whatever
+the corpus; a bit shared by chance only lets a window through to the exact count.
 
 Words are compared as they are, as 64-bit hashes of windows. Defined results: a null or empty text has no words and keeps
 the empty text; texts of fewer than WINDOW words lose nothing; repeated rows repeat each other and lose all their windows;
@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, mix, pieces, signed
+from .bitmap import bitmap_of, test_bits
+from .text import Hashed, Words, mix, pieces, signed
 
 WINDOW = 35
 ANCHOR = 8
-BITS = 1 << 27
-CHUNK = 1 << 16  # bits of the bitmap in one row
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -43,10 +42,9 @@ def _join(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def windows_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(words: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over the words of all texts in a row: anchor and hash of the window at each place, and which places are within a text."""
-    h = words.hashes()[words.codes]
-    runs = {1: h}
+    runs = {1: words.h}
     for k in (2, 4, 8, 16, 32):
         runs[k] = _join(runs[k // 2], runs[k // 2], k // 2)
     window = mix(_join(runs[32], runs[4], WINDOW - 4))  # the runs overlap and cover the window
@@ -75,7 +73,7 @@ def _anchors(batches):
         return u, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
 
     for piece in pieces(batches, "text"):
-        anchor, window, inside = windows_of(Words(piece.column("text"), lower=False))
+        anchor, window, inside = windows_of(Hashed(piece.column("text"), lower=False))
         # a change of anchor or of text starts a run, and a run may stand for one place of the anchor
         start = inside.copy()
         start[1:] &= ~(inside[:-1] & (anchor[1:] == anchor[:-1]))  # between texts lie WINDOW - 1 places outside any window
@@ -95,26 +93,10 @@ def _anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(n)], schema=schema)
 
 
-def _pack(batches):
-    for b in batches:
-        rows = []
-        for places in b.column("places").to_pylist():
-            bits = np.zeros(CHUNK, bool)
-            bits[places] = True
-            rows.append(np.packbits(bits, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(rows, pa.binary())], names=["chunk", "bits"])
-
-
 def anchor_bitmap(texts: DataFrame) -> np.ndarray:
-    """Bit anchor mod BITS is set for every anchor that occurs twice or more."""
+    """Bitmap of the anchors that occur twice or more."""
     repeated = texts.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
-    bit = F.col("anchor").bitwiseAND(F.lit(BITS - 1))
-    chunks = repeated.select(F.shiftright(bit, 16).alias("chunk"), bit.bitwiseAND(F.lit(CHUNK - 1)).cast("int").alias("place")).distinct()
-    packed = chunks.groupBy("chunk").agg(F.collect_list("place").alias("places")).mapInArrow(_pack, "chunk long, bits binary")
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in packed.collect():  # BITS / 8 bytes at most
-        out[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return bitmap_of(repeated, F.col("anchor"))
 
 
 def _candidates(shared):
@@ -123,11 +105,9 @@ def _candidates(shared):
     def run(batches):
         bitmap = shared.value
         for piece in pieces(batches, "text"):
-            words = Words(piece.column("text"), lower=False)
+            words = Hashed(piece.column("text"), lower=False)
             anchor, window, inside = windows_of(words)
-            bit = anchor & np.uint64(BITS - 1)
-            seen = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-            at = np.flatnonzero(inside & (seen == 1))
+            at = np.flatnonzero(inside & test_bits(bitmap, anchor))
             text = np.searchsorted(words.offsets, at, side="right") - 1
             keys = piece.column("row_key").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(signed(window[at])), pa.array(keys[text]), pa.array((at - words.offsets[text]).astype(np.int32))], schema=schema)
