@@ -9,8 +9,8 @@ words has the empty set and links with nothing. Two documents link at 100 * inte
 3. Under each hub a signature tree is built over the members' token bitmaps: a node holds the OR of the bitmaps below it,
    their range of sizes and their largest number of colliding tokens. A traversal of the tree against itself passes over
    pairs of nodes whose sizes don't fit or whose largest possible overlap is too small, and those already joined. Only
-   members that are left with a possible partner go on, with their texts, to the exact comparison, which runs over the same
-   kind of tree and returns a spanning forest of the links it found; so a group of copies never becomes all pairs.
+   members that are left with a possible partner go on, with their texts, to the exact comparison of all that may link,
+   over the same kind of tree; it returns a spanning forest of the links, so a group of copies never becomes all pairs.
 4. Connected components over the links give the classes of linked documents.
 
 Shingles are compared as 64-bit hashes. Defined results: null text is empty; a null id takes part like any other, and a
@@ -25,22 +25,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import only_members
 from .components import components
 from .routing import hubs_of, in_blocks, needed_overlap, prefix_length
 from .store import materialize
-from .text import Words, list_array, mix, pieces, rolling, signed
+from .text import Hashed, list_array, mix, pieces, rolling, signed
 
 SHINGLE = 5
 #: A shingle is counted as common in a task from LOCAL documents on; the COMMON most common ones come last in the order.
 LOCAL, COMMON = 8, 131_072
 LEAF, FAN = 8, 8
 MAX_BITS = 1 << 14
+#: Shingles of the texts that a block holds.
+TEXT_WEIGHT = 1_000_000
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words = Words(texts, lower=True)
-    h = words.hashes()[words.codes]
+    words = Hashed(texts, lower=True)
+    h = words.h
     grams = rolling(h, SHINGLE)
     out = []
     for a, b in zip(words.offsets, words.offsets[1:]):
@@ -304,26 +307,25 @@ def grouped(batches, keys: tuple[str, ...]):
 
 
 def _possible(batches):
-    schema = pa.schema([("hub", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("member", pa.int64()), ("part", pa.int64())])
+    schema = pa.schema([("member", pa.int64()), ("part", pa.int64())])
     for t in grouped(batches, ("hub", "i", "j")):
         member = t.column("member").to_numpy()
         label = possible_groups(t.column("n").to_numpy(), t.column("bits").to_pylist())
         _, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
         keep = counts[inverse] > 1
         if keep.any():
-            t = t.filter(pa.array(keep))
-            cols = [t.column(c).combine_chunks() for c in ("hub", "i", "j")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(member[keep]), pa.array(member[label[keep]])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(member[keep]), pa.array(member[label[keep]])], schema=schema)
 
 
 def _links(batches):
-    for t in grouped(batches, ("hub", "i", "j", "part")):
+    for t in grouped(batches, ("hub", "i", "j")):
         sets, keys, seen = [], [], set()
-        for s in shingle_sets(t.column("text").combine_chunks()):
-            if len(s) and (k := _set_key(s)) not in seen:
-                seen.add(k)
-                sets.append(s)
-                keys.append(k[0])
+        for piece in pieces(t.to_batches(), "text"):
+            for s in shingle_sets(piece.column("text")):
+                if len(s) and (k := _set_key(s)) not in seen:
+                    seen.add(k)
+                    sets.append(s)
+                    keys.append(k[0])
         if len(sets) > 1 and (found := spanning_links(sets)):
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.int64()), pa.array([keys[j] for _, j in found], pa.int64())], names=["a", "b"])
 
@@ -342,9 +344,14 @@ def join_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = prefix.filter("n > 0").select("member", "k1").join(sets.select("k1", "rep"), "k1").select("member", "rep").distinct()
     routed = in_blocks(hubs.join(reps, "member").select("hub", F.col("rep").alias("member")).distinct().join(prefix.filter("n > 0").select("member", "n", "bits"), "member"), "n")
     near = routed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "member", "n", "bits")
-    near = materialize(near.mapInArrow(_possible, "hub long, i int, j int, member long, part long"), "shingle-near")
-    tasks = near.join(rows.select("member", "text"), "member").select("hub", "i", "j", "part", "text")
-    tasks = tasks.repartition("hub", "i", "j", "part").sortWithinPartitions("hub", "i", "j", "part")
+    near = materialize(near.mapInArrow(_possible, "member long, part long").distinct(), "shingle-near")
+    # members that may link, over all hubs, with each member's text once; the list has no size bound, so it is never broadcast
+    loose = components(near.select(F.col("member").alias("a"), F.col("part").alias("b")))
+    loose = materialize(loose.select(F.col("node").alias("member"), F.col("root").alias("hub")), "shingle-loose")
+    tasks = in_blocks(loose.join(prefix.filter("n > 0").select("member", "n"), "member").distinct(), "n", TEXT_WEIGHT).select("hub", "i", "j", "member")
+    texts = only_members(rows.select("member", "text"), loose, "member")
+    tasks = tasks.hint("merge").join(texts, "member").select("hub", "i", "j", "text")
+    tasks = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     links = materialize(tasks.mapInArrow(_links, "a long, b long").distinct(), "shingle-links")
     found = components(links)
     members = prefix.select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("set_key")).join(found, F.col("set_key") == F.col("node"), "left")
