@@ -1,12 +1,15 @@
 """Line dedup by an exact set-similarity join.
 
-A line's set holds its distinct words (A-Z lowered). Two lines match at a Jaccard similarity of 4/5 or more. A line is
+A line's tokens are its distinct pairs of neighbouring words (A-Z lowered), or its only word. Single words would not do as
+tokens at scale: each is held by a share of all lines that doesn't shrink, so lines that share one grow as the square of the
+corpus. Two lines match at a Jaccard similarity of 4/5 or more. A line is
 removed if an earlier line, by (doc_id, line number), matches it; what is earlier and what matches is judged on the input.
 
 1. Tokens are ordered by rarity: a table of BUCKETS counts over all lines, of a fixed size whatever the corpus, gives each
-   token's frequency; a token counted once is in one line and needs no partner.
-2. A line of n tokens offers its first floor(n / 5) + 1 tokens (prefix filter). Lines that share one meet; length filter,
-   positional filter and a 128-bit signature that bounds the overlap leave those that may match.
+   token's frequency.
+2. A line of n tokens offers its first floor(n / 5) + 1 tokens (prefix filter; below 4 tokens only equal sets match). Lines
+   that share one meet; length filter, positional filter and a 64-bit signature of the prefix, which bounds how many tokens
+   two prefixes share, leave those that may match.
 3. These meet under hubs (see ``routing``) with their words, and are joined in order with a prefix index; a line's first
    match ends its search, so a group of copies costs a step each.
 
@@ -22,113 +25,123 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import grouped, possible_groups
+from .bitmap import only_members
+from .ngram_join import grouped
 from .routing import in_blocks, needed_overlap, prefix_length
 from .store import materialize
-from .text import Words, list_array, mix, pieces, signed
+from .text import Hashed, list_array, mix, pieces, signed
 
 BUCKETS = 1 << 21
-PART = 1 << 15  # buckets in one row of the frequency table
-SATURATED = 65_535
-#: Lines that share a token are compared pair by pair up to this number, and through a signature tree beyond it.
+PART = 1 << 14  # buckets in one row of the frequency table
+#: Sets below this size match equal sets only.
+LEAST = 4
+#: Lines that share a token are compared pair by pair up to this number; beyond it neighbours by size are taken together.
 SHORT_RUN = 48
 
 
-def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
-    """Owner and number of each line, and the lines' words."""
-    lists = pc.split_pattern(pc.fill_null(texts, ""), "\n")
-    count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(count)), count)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    return owner, number, Words(lists.flatten(), lower=True)
+class LineTokens:
+    """Tokens of the lines of n texts: h and line of each, before repetitions within a line are dropped."""
+
+    def __init__(self, texts: pa.Array):
+        words = Hashed(texts, lower=True)
+        line, self.owner, self.number = words.lines()
+        h = words.h
+        if len(h):
+            pair = line[1:] == line[:-1]
+            with np.errstate(over="ignore"):
+                both = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(32))))[pair]
+            alone = ~(np.append(pair, False) | np.append(False, pair))
+            self.h, self.line = np.concatenate([both, h[alone]]), np.concatenate([line[:-1][pair], line[alone]])
+        else:
+            self.h, self.line = h, line
+
+    def ordered(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct tokens (h, line), by line and within a line by rarity, then hash; rank: rarity of each bucket."""
+        top = self.h >> np.uint64(32)
+        key = (self.line.astype(np.uint64) << np.uint64(42)) | (rank[_bucket(self.h)].astype(np.uint64) << np.uint64(32)) | top
+        order = np.argsort(key)
+        key, h = key[order], self.h[order]
+        again = np.flatnonzero((key[1:] == key[:-1]) & (h[1:] != h[:-1]))
+        for i in np.unique(key[again]) if len(again) else ():  # upper halves of the hashes agree: the lower ones decide
+            a, b = np.searchsorted(key, [i, i + np.uint64(1)])
+            h[a:b] = np.sort(h[a:b])
+        line = (key >> np.uint64(42)).astype(np.int64)
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        return h[new], line[new]
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 21)).astype(np.int64)
 
 
-def _line_tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of each line: (line, vocabulary code), sorted by line."""
-    width = max(1, len(words.vocab))
-    pair = np.unique(words.owner() * width + words.codes)
-    return pair // width, pair % width
-
-
 def _frequencies(batches):
-    counts = np.zeros(BUCKETS, np.int64)
+    counts, held, size = np.zeros(BUCKETS, np.int64), [], 0
     for piece in pieces(batches, "text"):
-        _, _, words = _lines(piece.column("text"))
-        _, code = _line_tokens(words)
-        counts += np.bincount(_bucket(words.hashes())[code], minlength=BUCKETS)
+        held.append(_bucket(LineTokens(piece.column("text")).h))
+        size += len(held[-1])
+        if size > 4_000_000:
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            held, size = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
     if counts.any():
-        small = np.minimum(counts, SATURATED).astype(np.uint16).reshape(-1, PART)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small))), pa.array([x.tobytes() for x in small], pa.binary())], names=["part", "counts"])
+        rows = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(-1, PART)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array([x.tobytes() for x in rows], pa.binary())], names=["part", "counts"])
 
 
 def _sum_parts(batches):
     for t in grouped(batches, ("part",)):
         total = np.zeros(PART, np.int64)
         for x in t.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint16)
-        total = np.minimum(total, SATURATED).astype(np.uint16)
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([t.column("part").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
 
-def token_frequencies(texts: DataFrame) -> np.ndarray:
-    """Occurrences in lines per token bucket, up to SATURATED: 2 * BUCKETS bytes."""
+def token_ranks(texts: DataFrame) -> np.ndarray:
+    """Rarity of each token bucket, 0 (unseen) to 1023 (commonest), from the counts over all lines: 2 * BUCKETS bytes."""
     parts = texts.mapInArrow(_frequencies, "part long, counts binary").repartition("part").sortWithinPartitions("part")
-    out = np.zeros(BUCKETS, np.uint16)
-    for r in parts.mapInArrow(_sum_parts, "part long, counts binary").collect():
-        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint16)
-    return out
+    counts = np.zeros(BUCKETS, np.uint32)
+    for r in parts.mapInArrow(_sum_parts, "part long, counts binary").toLocalIterator():
+        counts[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint32)
+    return (np.log2(counts.astype(float) + 1) * 31).astype(np.uint16)
 
 
-LINE = "member long, line_no int, k1 long, k2 long, n int, toks array<long>, places array<int>, bits binary"
+LINE = "member long, line_no int, k1 long, k2 long, n int, toks array<long>, mark long"
 
 
 def _offers(shared):
-    schema = pa.schema(
-        [("member", pa.int64()), ("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("bits", pa.binary())]
-    )
+    schema = pa.schema([("member", pa.int64()), ("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("mark", pa.int64())])
 
     def run(batches):
-        table, offered = shared.value, np.zeros(0, np.int64)
+        rank, offered = shared.value, set()
         for piece in pieces(batches, "text"):
-            owner, number, words = _lines(piece.column("text"))
-            h = words.hashes()
-            line, code = _line_tokens(words)
-            h, rarity = h[code], table[_bucket(h)][code].astype(np.int64)
-            order = np.lexsort((h, rarity, line))
-            line, h, rarity = line[order], h[order], rarity[order]
-            n = np.bincount(line, minlength=len(owner))
+            t = LineTokens(piece.column("text"))
+            h, line = t.ordered(rank)
+            n = np.bincount(line, minlength=len(t.owner))
             start = np.cumsum(n) - n
-            has = n > 0
+            has = np.flatnonzero(n)
             with np.errstate(over="ignore"):
-                k1 = np.add.reduceat(mix(h), start[has]) if has.any() else np.zeros(0, np.uint64)
-                k2 = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), start[has]) if has.any() else np.zeros(0, np.uint64)
+                k1 = np.add.reduceat(mix(h), start[has]) if len(has) else np.zeros(0, np.uint64)
+                k2 = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), start[has]) if len(has) else np.zeros(0, np.uint64)
             k1, k2 = signed(k1), signed(k2)
             # a set that this task has offered before is not offered again
-            _, first = np.unique(k1, return_index=True)
-            new = np.zeros(len(k1), bool)
-            new[first] = True
-            new &= ~np.isin(k1, offered)
-            offered = np.concatenate([offered, k1[new]])
-            place = np.arange(len(line)) - start[line]
-            fresh = np.zeros(len(owner), bool)
-            fresh[np.flatnonzero(has)[new]] = True
-            offer = (place < prefix_length(n)[line]) & (rarity > 1) & fresh[line]
-            per_line = np.bincount(line[offer], minlength=len(owner))[has]
-            bits = np.zeros((len(owner), 128), bool)
-            bits[line, (h & np.uint64(127)).astype(np.int64)] = True
-            rows = np.packbits(bits[has], axis=1)
-            marks = pa.array([r.tobytes() if k else None for r, k in zip(rows, per_line)], pa.binary())
+            fresh = np.zeros(len(t.owner), bool)
+            for i, k, big in zip(has.tolist(), k1.tolist(), (n[has] >= LEAST).tolist()):
+                if big and k not in offered:
+                    offered.add(k)
+                    fresh[i] = True
+            offer = fresh[line] & (np.arange(len(line)) - start[line] < prefix_length(n)[line])
+            per_line = np.bincount(line[offer], minlength=len(t.owner))[has]
+            mark = np.zeros(len(t.owner), np.uint64)
+            np.bitwise_or.at(mark, line[offer], np.uint64(1) << ((h[offer] >> np.uint64(7)) & np.uint64(63)))
             ids = piece.column("member").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner[has]]), pa.array(number[has].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n[has].astype(np.int32)), list_array(signed(h[offer]), per_line, pa.int64()), list_array(place[offer].astype(np.int32), per_line, pa.int32()), marks],
+                [pa.array(ids[t.owner[has]]), pa.array(t.number[has].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n[has].astype(np.int32)), list_array(signed(h[offer]), per_line, pa.int64()), pa.array(signed(mark[has]))],
                 schema=schema,
             )
 
@@ -137,39 +150,44 @@ def _offers(shared):
 
 def _near_rows(t: pa.Table):
     """(hub, member) of the lines in sorted token runs that may match another line of their run."""
-    tok, key, n, place = (t.column(c).to_numpy() for c in ("tok", "k1", "n", "place"))
-    n, place = n.astype(np.int64), place.astype(np.int64)
-    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, 2)
-    spare = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    schema = pa.schema([("hub", pa.int64()), ("member", pa.int64())])
+    tok = t.column("tok").to_numpy()
+    same = tok[1:] == tok[:-1]
+    shared = np.append(same, False) | np.append(False, same)
+    tok, key, n, place, mark = tok[shared], *(t.column(c).to_numpy()[shared] for c in ("k1", "n", "place", "mark"))
+    if not len(tok):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], schema=schema)
+    order = np.lexsort((n, tok))
+    tok, key, n, place, mark = tok[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64), mark[order].view(np.uint64)
+    spare = prefix_length(n) - np.bitwise_count(mark)
     cuts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
     length = np.diff(np.append(cuts, len(tok)))
     run = np.repeat(np.arange(len(cuts)), length)
-    alive = np.zeros(len(tok), bool)
-    short = length[run] <= SHORT_RUN
-    for d in range(1, min(SHORT_RUN, int(length.max()))):
-        a = np.flatnonzero((run[:-d] == run[d:]) & short[:-d])
-        if not len(a):
+    alive = length[run] > SHORT_RUN
+    open_ = np.arange(len(tok))  # rows whose run may reach the next distance
+    for d in range(1, SHORT_RUN):
+        open_ = open_[open_ + d < len(tok)]
+        open_ = open_[(run[open_] == run[open_ + d]) & (length[run[open_]] <= SHORT_RUN)]
+        open_ = open_[5 * n[open_] >= 4 * n[open_ + d]]  # sizes rise within a run
+        if not len(open_):
             break
-        b = a + d
+        a, b = open_, open_ + d
         need = needed_overlap(n[a], n[b])
-        ok = (key[a] != key[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-        ok &= np.minimum(n[a] - place[a], n[b] - place[b]) >= need
+        ok = (key[a] != key[b]) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= need)
         a, b, need = a[ok], b[ok], need[ok]
-        ok = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(spare[a], spare[b]) >= need
+        # the prefix that ends first in the token order lies within the other's reach, so the prefixes share what it can't lack
+        share = np.minimum(prefix_length(n[a]) - n[a], prefix_length(n[b]) - n[b]) + need
+        ok = np.bitwise_count(mark[a] & mark[b]) + np.minimum(spare[a], spare[b]) >= share
         alive[a[ok]] = True
         alive[b[ok]] = True
-    hub = np.minimum.reduceat(np.where(alive, key, np.iinfo(np.int64).max), cuts)[run]
-    for r in np.flatnonzero(length > SHORT_RUN):
-        own = slice(cuts[r], cuts[r] + length[r])
-        _, first = np.unique(key[own], return_index=True)
-        first += cuts[r]
-        label = possible_groups(n[first], [bits[i].tobytes() for i in first])
-        _, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
-        keep = count[inverse] > 1
-        alive[first[keep]] = True
-        hub[first] = key[first[label]]
-    found = np.unique(np.stack([hub[alive], key[alive]], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=pa.schema([("hub", pa.int64()), ("member", pa.int64())]))
+    tok, key, n = tok[alive], key[alive], n[alive]
+    if not len(tok):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], schema=schema)
+    # what shares a token and a chain of fitting sizes meets under the smallest key
+    chain = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (5 * n[:-1] < 4 * n[1:])))
+    hub = np.repeat(np.minimum.reduceat(key, chain), np.diff(np.append(chain, len(tok))))
+    found = np.unique(np.stack([hub, key], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
 
 
 def _near(batches):
@@ -195,16 +213,12 @@ def _late(shared):
     """Keys of the classes for which an earlier class of the group matches."""
 
     def run(batches):
-        table = shared.value
+        rank = shared.value
         for t in grouped(batches, ("hub", "i", "j")):
             order = np.lexsort((t.column("line_no").to_numpy(), t.column("doc").to_numpy()))
             keys = t.column("member").to_numpy()[order]
-            words = Words(t.column("line").combine_chunks().take(pa.array(order)), lower=True)
-            h = words.hashes()
-            line, code = _line_tokens(words)
-            rarity = table[_bucket(h)][code].astype(np.int64)
-            o = np.lexsort((h[code], rarity, line))
-            ordered = h[code][o].tolist()
+            h, line = LineTokens(t.column("line").combine_chunks().take(pa.array(order))).ordered(rank)
+            ordered = h.tolist()
             ends = np.cumsum(np.bincount(line, minlength=len(keys))).tolist()
             index: dict[int, list[tuple[int, int]]] = {}
             sets: list[set[int]] = []
@@ -250,23 +264,23 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(removed, lines): lines to remove as (member, line_no), and all lines with a word as (member, line_no, k1)."""
     spark = docs.sparkSession
     rows = _rows(docs)
-    shared = spark.sparkContext.broadcast(token_frequencies(rows.select("text")))
+    shared = spark.sparkContext.broadcast(token_ranks(rows.select("text")))
     lines = materialize(rows.mapInArrow(_offers(shared), LINE), "lines")
     first = lines.groupBy("k1").agg(F.min(F.struct("member", "line_no")).alias("f"), F.max("n").alias("n"), (F.min("k2") < F.max("k2")).alias("clash"))
     first = first.filter(F.when(F.col("clash"), F.raise_error(F.lit("two line sets share a 64-bit key")).cast("boolean")).otherwise(F.lit(True)))
     first = materialize(first.select("k1", F.col("f.member").alias("doc"), F.col("f.line_no").alias("line_no"), "n"), "line-classes")
-    offers = lines.filter(F.size("toks") > 0).select("k1", "n", "bits", F.explode(F.arrays_zip("toks", "places")).alias("o"))
-    offers = offers.select(F.col("o.toks").alias("tok"), "k1", "n", F.col("o.places").alias("place"), "bits")
-    near = offers.repartition("tok").sortWithinPartitions("tok").mapInArrow(_near, "hub long, member long")
+    offers = lines.filter(F.size("toks") > 0).select(F.posexplode("toks").alias("place", "tok"), "k1", "n", "mark")
+    near = offers.select("tok", "k1", "n", "place", "mark").repartition("tok").sortWithinPartitions("tok").mapInArrow(_near, "hub long, member long")
     near = materialize(near.distinct(), "line-near")
-    wanted = near.select(F.col("member").alias("k1")).distinct().join(first, "k1")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("k1", "line_no", "n")).alias("wanted"))
-    texts = rows.join(by_doc, rows["member"] == by_doc["doc"]).select("doc", "wanted", F.split("text", "\n").alias("ls"))
+    wanted = materialize(near.select(F.col("member").alias("k1")).distinct().join(first, "k1"), "line-wanted")
+    by_doc = wanted.groupBy(F.col("doc").alias("member")).agg(F.collect_list(F.struct("k1", "line_no")).alias("wanted"))
+    found = only_members(rows, by_doc.select("member"), "member").join(by_doc.hint("merge"), "member")  # no size bound: never broadcast
+    found = found.select(F.col("member").alias("doc"), "wanted", F.split("text", "\n").alias("ls"))
     # rows that share an id may be shorter than the line sought; only the row that has the line gives it
-    texts = texts.select("doc", F.explode(F.transform("wanted", lambda w: F.struct(w["k1"].alias("member"), w["line_no"].alias("line_no"), w["n"].alias("n"), F.get(F.col("ls"), w["line_no"]).alias("line")))).alias("w"))
-    texts = texts.filter("w.line is not null").select("doc", "w.*")
-    tasks = in_blocks(near.join(texts, "member"), "n").select("hub", "i", "j", "member", "doc", "line_no", "line")
-    tasks = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    found = found.select("doc", F.explode(F.transform("wanted", lambda w: F.struct(w["k1"].alias("member"), w["line_no"].alias("line_no"), F.get(F.col("ls"), w["line_no"]).alias("line")))).alias("w"))
+    found = found.filter("w.line is not null").select("doc", "w.*")
+    tasks = in_blocks(near.join(wanted.select(F.col("k1").alias("member"), "n"), "member"), "n").select("hub", "i", "j", "member")
+    tasks = tasks.hint("merge").join(found, "member").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     late = materialize(tasks.mapInArrow(_late(shared), "k1 long").distinct(), "line-late")
     later = lines.join(first.select("k1", F.col("doc").alias("d"), F.col("line_no").alias("l")), "k1").filter("member != d or line_no != l").select("member", "line_no")
     heads = first.join(late, "k1").select(F.col("doc").alias("member"), "line_no")
@@ -306,7 +320,8 @@ def dedup_sql(table: str) -> str:
     return f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {table}),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM d),
-s AS (SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'))) AS s FROM l),
+v AS (SELECT doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS v FROM l),
+s AS (SELECT doc_id, line_no, list_sort(list_distinct(CASE WHEN len(v) < 2 THEN v ELSE list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1]) END)) AS s FROM v),
 w AS (SELECT * FROM s WHERE len(s) > 0),
 c AS (SELECT s, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id, min((doc_id, line_no)) AS f, len(s) AS n FROM w GROUP BY s),
 t AS (SELECT id, n, unnest(s) AS tok FROM c),
