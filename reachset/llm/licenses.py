@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 K = 3
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that alone name a license (fixed values of the query's contract).
@@ -101,7 +103,7 @@ def license_digest(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", t.alias("t")).select("doc_id", F.xxhash64("t").alias("th"), words_of(F.col("t")).alias("words"))
     keyed = rows.select(F.struct("doc_id", "th").alias("row_id"), "words")
     counted = rows.select("doc_id", "th", F.size("words").cast("long").alias("n_words"))
-    hits = scan_hits(keyed).distinct()  # repeated rows would vote twice
+    hits = materialize(scan_hits(keyed).distinct(), "license-hits")  # repeated rows would vote twice; both kinds of votes read the hits
     spans = vote(hits)
     base = F.col("is_phrase")
     found = spans.groupBy("row_id").agg(
