@@ -36,6 +36,8 @@ SHINGLE = 5
 LOCAL, COMMON = 8, 131_072
 LEAF, FAN = 8, 8
 MAX_BITS = 1 << 14
+#: Node pairs taken at once; each has FAN * FAN pairs below it.
+STEP = 4096
 #: Shingles of the texts that a block holds.
 TEXT_WEIGHT = 1_000_000
 
@@ -155,8 +157,8 @@ class Tree:
         low, high, spare, bits = self.low[level], self.high[level], self.spare[level], self.bits[level]
         ok = (5 * high[a] >= 4 * low[b]) & (5 * high[b] >= 4 * low[a])
         at = np.flatnonzero(ok)
-        for c in range(0, len(at), 4096):
-            part = at[c : c + 4096]
+        for c in range(0, len(at), STEP):
+            part = at[c : c + STEP]
             x, y = a[part], b[part]
             most = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64) + np.minimum(spare[x], spare[y])
             most = np.minimum(most, np.minimum(high[x], high[y]))
@@ -204,8 +206,8 @@ def traverse(tree: Tree, forest: Forest, visit) -> None:
     stack = [(top, np.array([0]), np.array([0]))]
     while stack:
         level, a, b = stack.pop()
-        if len(a) > 65_536:
-            stack += [(level, a[c : c + 65_536], b[c : c + 65_536]) for c in range(0, len(a), 65_536)]
+        if len(a) > STEP:
+            stack += [(level, a[c : c + STEP], b[c : c + STEP]) for c in range(0, len(a), STEP)]
             continue
         root = forest.roots()
         if level == 0:
@@ -340,9 +342,11 @@ def join_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefix = materialize(rows.mapInArrow(_prefixes(common), "member long, doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary"), "shingle-prefixes")
     sets = prefix.filter("n > 0").groupBy("k1").agg(F.min("member").alias("rep"), F.max("n").alias("n"), (F.min("k2") < F.max("k2")).alias("clash"))
     sets = sets.filter(F.when(F.col("clash"), F.raise_error(F.lit("two shingle sets share a 64-bit key")).cast("boolean")).otherwise(F.lit(True)))
-    hubs = hubs_of(prefix.select("member", F.explode("prefix").alias("tok")))
+    hubs = materialize(hubs_of(prefix.select("member", F.explode("prefix").alias("tok"))), "shingle-hubs")
     reps = prefix.filter("n > 0").select("member", "k1").join(sets.select("k1", "rep"), "k1").select("member", "rep").distinct()
-    routed = in_blocks(hubs.join(reps, "member").select("hub", F.col("rep").alias("member")).distinct().join(prefix.filter("n > 0").select("member", "n", "bits"), "member"), "n")
+    own = hubs.join(reps, "member").select("hub", F.col("rep").alias("member")).distinct()
+    own = materialize(own.join(prefix.filter("n > 0").select("member", "n"), "member"), "shingle-routes")
+    routed = in_blocks(own, "n").drop("n").join(prefix.filter("n > 0").select("member", "n", "bits"), "member")
     near = routed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "member", "n", "bits")
     near = materialize(near.mapInArrow(_possible, "member long, part long").distinct(), "shingle-near")
     # members that may link, over all hubs, with each member's text once; the list has no size bound, so it is never broadcast
