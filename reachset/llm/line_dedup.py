@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import only_members
+from .components import components
 from .ngram_join import grouped
 from .routing import in_blocks, needed_overlap, prefix_length
 from .store import materialize
@@ -260,8 +261,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("member"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(removed, lines): lines to remove as (member, line_no), and all lines with a word as (member, line_no, k1)."""
+def judge_lines(docs: DataFrame) -> DataFrame:
+    """(member, line_no, gone) for every line with a word; member is the id, the largest long for a null one."""
     spark = docs.sparkSession
     rows = _rows(docs)
     shared = spark.sparkContext.broadcast(token_ranks(rows.select("text")))
@@ -279,21 +280,23 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # rows that share an id may be shorter than the line sought; only the row that has the line gives it
     found = found.select("doc", F.explode(F.transform("wanted", lambda w: F.struct(w["k1"].alias("member"), w["line_no"].alias("line_no"), F.get(F.col("ls"), w["line_no"]).alias("line")))).alias("w"))
     found = found.filter("w.line is not null").select("doc", "w.*")
-    tasks = in_blocks(near.join(wanted.select(F.col("k1").alias("member"), "n"), "member"), "n").select("hub", "i", "j", "member")
+    # lines that may match, over all hubs, meet once
+    loose = components(near.select(F.col("member").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("member"), F.col("root").alias("hub"))
+    loose = materialize(loose.join(wanted.select(F.col("k1").alias("member"), "n"), "member"), "line-loose")
+    tasks = in_blocks(loose, "n").select("hub", "i", "j", "member")
     tasks = tasks.hint("merge").join(found, "member").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     late = materialize(tasks.mapInArrow(_late(shared), "k1 long").distinct(), "line-late")
-    later = lines.join(first.select("k1", F.col("doc").alias("d"), F.col("line_no").alias("l")), "k1").filter("member != d or line_no != l").select("member", "line_no")
-    heads = first.join(late, "k1").select(F.col("doc").alias("member"), "line_no")
-    return later.unionByName(heads), lines.select("member", "line_no", "k1")
+    heads = first.select("k1", F.col("doc").alias("d"), F.col("line_no").alias("l")).join(late.withColumn("late", F.lit(True)), "k1", "left")
+    gone = (F.col("member") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.coalesce("late", F.lit(False))
+    return lines.select("member", "line_no", "k1").join(heads, "k1").select("member", "line_no", gone.alias("gone"))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines (lines with a word), n_removed, removed_lines (their numbers from 0, comma-joined)."""
-    removed, lines = removed_lines(docs)
+    judged = judge_lines(docs)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("member")).distinct()
-    gone = removed.distinct().groupBy("member").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
-    n = lines.select("member", "line_no").distinct().groupBy("member").agg(F.count("*").alias("n_lines"))
-    out = ids.join(n, "member", "left").join(gone, "member", "left")
+    by_doc = judged.groupBy("member").agg(F.size(F.collect_set("line_no")).alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("gone"))
+    out = ids.join(by_doc, "member", "left")
     return out.select(
         F.when(F.col("member") < 2**63 - 1, F.col("member")).alias("doc_id"),
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
@@ -309,8 +312,7 @@ def _without(text: Column, gone: Column) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the removed lines taken out of text; rows and columns stay."""
-    removed, _ = removed_lines(docs)
-    gone = removed.groupBy(F.col("member").alias("member__")).agg(F.collect_set("line_no").alias("gone__"))
+    gone = judge_lines(docs).filter("gone").groupBy(F.col("member").alias("member__")).agg(F.collect_set("line_no").alias("gone__"))
     out = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("member__"), "left")
     return out.withColumn("text", _without(docs["text"], F.col("gone__"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
