@@ -2,14 +2,622 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+from ..functions import geo
+from ..operators import centers as C
+from ..operators import coverage as V
+from ..operators import export as X
+from ..operators import paths as P
+from ..operators import topology as T
+from ..operators.lineage import settle
+from ..sources import network as S
+from . import fixtures as N
+
+_QUERIES: dict = {}
+_ORACLES: dict = {}
+RADIUS = 500
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_ORACLES)
+
+
+NET, NET400, NET35 = N.net_sql(), N.net_sql(400), N.net_sql(None, 35)
+WITH, REC = "WITH ", "WITH RECURSIVE "
+
+
+def _net(spark, d, **k):
+    return N.net(spark, d, **k)
+
+
+def _adj(spark, d, **k):
+    return settle(T.adjacency(_net(spark, d, **k)[1]))
+
+
+def _ids(spark, values):
+    return spark.createDataFrame([(int(v),) for v in values], "node long")
+
+
+# --- sources
+
+
+@query(WITH + N.WAYS_SQL + f" SELECT way_id, pos, node AS u, nxt AS v, round({N.hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS length_m FROM wp JOIN wn a ON a.osm_id = node JOIN wn b ON b.osm_id = nxt WHERE node <> nxt")
+def src_osm_json(spark, d):
+    e = S.way_edges(N.ways(spark, d), N.way_nodes(spark, d))
+    return e.select("way_id", F.col("pos").cast("long").alias("pos"), "u", "v", F.round("length_m", 3).alias("length_m"))
+
+
+@query(
+    WITH + N.WAYS_SQL + " SELECT t AS network_type, count(*) AS n FROM wt, (VALUES ('drive'), ('walk'), ('all'), ('all_private')) x(t) WHERE highway IS NOT NULL"
+    " AND NOT (t <> 'all_private' AND coalesce(access, '') LIKE '%private%') AND NOT (t = 'walk' AND (highway LIKE '%motor%' OR coalesce(foot, '') LIKE '%no%'))"
+    " AND NOT (t = 'drive' AND (highway LIKE '%footway%' OR highway LIKE '%service%')) GROUP BY t"
+)
+def src_net_filter(spark, d):
+    w = N.ways(spark, d)
+    out = None
+    for t in ("drive", "walk", "all", "all_private"):
+        x = w.filter(S.tag_filter(F.col("tags"), t)).agg(F.count("*").alias("n")).select(F.lit(t).alias("network_type"), "n")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query(WITH + N.WAYS_SQL + " SELECT count(*) AS n FROM wt WHERE highway IS NULL OR highway NOT IN ('footway', 'service')")
+def src_demo_filter(spark, d):
+    return N.ways(spark, d).filter(S.exact_class_filter(F.col("tags"), ["footway", "service"])).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT '[out:json][timeout:180];(way["highway"]["area"!~"yes"]["highway"!~"abandoned|construction|planned|platform|proposed|raceway|razed"](32.050000,34.750000,32.100000,34.800000););(._;>;);out;' AS q""")
+def src_overpass_ql(spark, d):
+    return spark.createDataFrame([(S.overpass_query("all_private", (34.75, 32.05, 34.8, 32.1)),)], "q string")
+
+
+@query(WITH + NET + " SELECT count(*) FILTER (WHERE lon BETWEEN 34.7521 AND 34.7622 AND lat BETWEEN 32.0521 AND 32.0612) AS in_bbox, count(*) FILTER (WHERE lon > 34.75405 AND lon < 34.76305 AND lat > 32.05405 AND lat < 32.06305) AS in_ring FROM nodes")
+def src_area_bbox(spark, d):
+    n, _ = _net(spark, d)
+    ring = [(34.75405, 32.05405), (34.76305, 32.05405), (34.76305, 32.06305), (34.75405, 32.06305)]
+    box = F.col("lon").between(34.7521, 34.7622) & F.col("lat").between(32.0521, 32.0612)
+    return n.agg(F.count_if(box).alias("in_bbox"), F.count_if(geo.inside_ring(F.col("lon"), F.col("lat"), ring)).alias("in_ring"))
+
+
+@query("SELECT 'Town' AS display_name, 34.5::DOUBLE AS west, 32.0::DOUBLE AS south, 34.9::DOUBLE AS east, 32.2::DOUBLE AS north")
+def src_geocode(spark, d):
+    text = '[{"display_name":"Town","boundingbox":["32.0","32.2","34.5","34.9"]}]'
+    return spark.createDataFrame([(text,)], "t string").select(S.parse_geocode(F.col("t")).alias("g")).select("g.*")
+
+
+@query("SELECT * FROM (VALUES ('a', 1::BIGINT), ('b', 5::BIGINT), ('c', 3::BIGINT)) t(slug, elements)")
+def src_manifest_build(spark, d):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "slug string, elements long")
+    return S.upsert(old, spark.createDataFrame([("b", 5), ("c", 3)], "slug string, elements long"), "slug")
+
+
+@query()
+def src_manifest(spark, d):
+    return S.read_manifest(spark, f"{d}/no-such-manifest.json")
+
+
+def _segments(spark, d):
+    w = N.ways(spark, d).filter(F.size("nodes") > 1)
+    nodes = N.way_nodes(spark, d)
+    v = w.select("way_id", F.col("tags")["highway"].alias("class"), F.size("nodes").alias("n"), F.posexplode("nodes").alias("pos", "osm_id")).join(nodes, "osm_id")
+    g = v.groupBy("way_id", "class", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "osm_id", "lon", "lat"))).alias("ps"))
+    at = F.transform("ps", lambda p: F.struct(p["osm_id"].cast("string").alias("connector_id"), (p["pos"] / (F.col("n") - 1)).alias("at")))
+    line = F.transform("ps", lambda p: geo.point(p["lon"], p["lat"]))
+    lon, lat = F.transform("ps", lambda p: p["lon"]), F.transform("ps", lambda p: p["lat"])
+    box = F.struct(F.array_min(lon).alias("xmin"), F.array_max(lon).alias("xmax"), F.array_min(lat).alias("ymin"), F.array_max(lat).alias("ymax"))
+    return g.select(F.col("way_id").alias("id"), F.lit("road").alias("subtype"), "class", at.alias("connectors"), line.alias("geom"), box.alias("bbox"), geo.to_wkt(line).alias("wkt"))
+
+
+_SEG = N.WAYS_SQL + ", sg AS (SELECT way_id AS id, min(lon) AS x1, max(lon) AS x2, min(lat) AS y1, max(lat) AS y2, count(*) AS n FROM wp JOIN wn ON osm_id = node GROUP BY way_id HAVING count(*) > 1)"
+
+
+@query(WITH + _SEG + " SELECT id, highway AS class, n AS connectors FROM sg JOIN wt ON way_id = id WHERE x1 <= 34.76 AND x2 >= 34.755 AND y1 <= 32.06 AND y2 >= 32.052 AND (highway IS NULL OR highway NOT IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'raceway'))")
+def src_overture(spark, d):
+    s = S.filter_segments(_segments(spark, d), (34.755, 32.052, 34.76, 32.06), "walk")
+    return s.select("id", "class", F.size("connector_ids").cast("long").alias("connectors"))
+
+
+@query(WITH + _SEG + " SELECT id, n FROM sg")
+def src_wkt(spark, d):
+    return _segments(spark, d).select("id", F.size(geo.wkt_line(F.col("wkt"))).cast("long").alias("n"))
+
+
+def _lines(spark, d):
+    n, e = _net(spark, d)
+    w = n.agg(F.count("*")).first()[0]
+    side = int(w**0.5)
+    xy = lambda c: geo.point(F.lit(180_000) + 100 * (F.col(c) % side) + F.pmod(F.col("u") + F.col("v"), F.lit(3)) * 0.1, F.lit(660_000) + 100 * F.floor(F.col(c) / side) + F.pmod(F.col("u") + F.col("v"), F.lit(3)) * 0.1)
+    return e.select(F.col("edge_id").alias("line_id"), F.array(xy("u"), xy("v")).alias("geom"))
+
+
+@query(WITH + NET + ", ends AS (SELECT u AS x FROM edges UNION SELECT v FROM edges) SELECT (SELECT count(*) FROM ends) AS n, (SELECT count(*) FROM edges) AS m, (SELECT round(sum(100.0), 3) FROM edges) AS total")
+def src_lines_snap(spark, d):
+    n, e = S.snap_lines(_lines(spark, d), 0.5)
+    return n.agg(F.count("*").alias("n")).join(e.agg(F.count("*").alias("m"), F.round(F.sum("length_m"), 3).alias("total")))  # one row each
+
+
+@query(WITH + NET + ", twice AS (SELECT edge_id, u, v, length_m FROM edges UNION ALL SELECT edge_id + 1000000, v, u, length_m + 5 FROM edges UNION ALL SELECT -node_id - 1, node_id, node_id, 1 FROM nodes) SELECT least(u, v) AS u, greatest(u, v) AS v, min(length_m) AS length_m FROM twice WHERE u <> v GROUP BY 1, 2")
+def src_nx_graph(spark, d):
+    n, e = _net(spark, d)
+    more = e.select((F.col("edge_id") + 1_000_000).alias("edge_id"), F.col("v").alias("u"), F.col("u").alias("v"), (F.col("length_m") + 5).alias("length_m"))
+    loops = n.select((-F.col("node_id") - 1).alias("edge_id"), F.col("node_id").alias("u"), F.col("node_id").alias("v"), F.lit(1).cast("long").alias("length_m"))
+    return T.simple_graph(e.unionByName(more).unionByName(loops)).select("u", "v", "length_m")
+
+
+# --- geometry
+
+_EN = NET + ", en AS (SELECT e.*, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM edges e JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v)"
+
+
+def _ends(spark, d):
+    n, e = _net(spark, d)
+    return e.join(n.select(F.col("node_id").alias("u"), F.col("lon").alias("x1"), F.col("lat").alias("y1")), "u").join(n.select(F.col("node_id").alias("v"), F.col("lon").alias("x2"), F.col("lat").alias("y2")), "v")
+
+
+def _bent(spark, d):
+    """Each edge as a line with a vertex in between, off the straight way."""
+    c = F.col
+    return _ends(spark, d).withColumn("line", F.array(geo.point(c("x1"), c("y1")), geo.point(c("x2") + 0.0003, c("y1") + 0.0003), geo.point(c("x2"), c("y2"))))
+
+
+_BENT = _EN + f", bent AS (SELECT edge_id, x1, y1, x2 + 0.0003 AS xm, y1 + 0.0003 AS ym, x2, y2, {N.hav('x1', 'y1', '(x2 + 0.0003)', '(y1 + 0.0003)')} AS l1, {N.hav('(x2 + 0.0003)', '(y1 + 0.0003)', 'x2', 'y2')} AS l2 FROM en)"
+_ALONG = "CASE WHEN {d} >= l1 + l2 THEN {p}2 WHEN {d} <= l1 THEN {p}1 + ({p}m - {p}1) * {d} / l1 ELSE {p}m + ({p}2 - {p}m) * ({d} - l1) / l2 END"
+
+
+@query(WITH + _EN + f" SELECT edge_id, round({N.hav('x1', 'y1', 'x2', 'y2')}, 3) AS m FROM en")
+def geo_haversine(spark, d):
+    return _ends(spark, d).select("edge_id", F.round(geo.haversine(*[F.col(x) for x in ("x1", "y1", "x2", "y2")]), 3).alias("m"))
+
+
+@query(WITH + _BENT + " SELECT edge_id, round(l1 + l2, 3) AS m FROM bent")
+def geo_length(spark, d):
+    return _bent(spark, d).select("edge_id", F.round(geo.length(F.col("line")), 3).alias("m"))
+
+
+@query(WITH + _BENT + f" SELECT edge_id, round({_ALONG.format(d=70.0, p='x')}, 7) AS lon, round({_ALONG.format(d=70.0, p='y')}, 7) AS lat FROM bent")
+def geo_point_along(spark, d):
+    p = geo.point_along(F.col("line"), F.lit(70.0))
+    return _bent(spark, d).select("edge_id", p.alias("p")).select("edge_id", F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
+
+
+@query(WITH + _BENT + f", k AS (SELECT edge_id, i, x1, y1, xm, ym, x2, y2, l1, l2, (l1 + l2) * i / 3 AS d FROM bent, (VALUES (1), (2), (3)) t(i)) SELECT edge_id, i::BIGINT AS piece, round({_ALONG.format(d='d', p='x')}, 7) AS lon, round({_ALONG.format(d='d', p='y')}, 7) AS lat FROM k")
+def geo_split_equal(spark, d):
+    s = _bent(spark, d).select("edge_id", F.posexplode(geo.split_equal(F.col("line"), F.lit(3))).alias("i", "part")).withColumn("p", F.element_at("part", -1))
+    return s.select("edge_id", (F.col("i") + 1).cast("long").alias("piece"), F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
+
+
+@query(WITH + _BENT + " SELECT edge_id, CAST(2 + CASE WHEN l1 > 20 AND l1 < 90 THEN 1 ELSE 0 END AS BIGINT) AS n FROM bent")
+def geo_slice(spark, d):
+    return _bent(spark, d).select("edge_id", F.size(geo.slice_line(F.col("line"), F.lit(20.0), F.lit(90.0))).cast("long").alias("n"))
+
+
+@query(WITH + _EN + ", t AS (SELECT *, greatest(0.0, least(1.0, ((34.76 - x1) * (x2 - x1) + (32.06 - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM en) SELECT edge_id, round(sqrt(pow(34.76 - (x1 + t * (x2 - x1)), 2) + pow(32.06 - (y1 + t * (y2 - y1)), 2)), 7) AS d FROM t")
+def geo_segdist(spark, d):
+    c = [F.col(x) for x in ("x1", "y1", "x2", "y2")]
+    return _ends(spark, d).select("edge_id", F.round(geo.segment_distance(F.lit(34.76), F.lit(32.06), *c), 7).alias("d"))
+
+
+@query()
+def geo_simplify_ring(spark, d):
+    n, _ = _net(spark, d)
+    ring = n.groupBy(F.floor(F.col("node_id") / 50).alias("ring")).agg(F.array_sort(F.collect_list(F.struct("node_id", "lon", "lat"))).alias("ps"))
+    line = F.transform("ps", lambda p: geo.point(p["lon"], p["lat"]))
+    return ring.select("ring", F.size(geo.simplify_ring(line)).alias("n"))
+
+
+@query(WITH + NET + ", b AS (SELECT min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM nodes) SELECT w AS west, s AS south, e AS east, n AS north, round((e - w) * 111.32 * cos(radians((s + n) / 2)) * (n - s) * 110.57, 6) AS km2 FROM b")
+def geo_bbox_area(spark, d):
+    b = _net(spark, d)[0].agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+    return b.withColumn("km2", F.round(geo.bbox_area_km2(*[F.col(x) for x in ("west", "south", "east", "north")]), 6))
+
+
+_QUERIES["geo_extent"], _ORACLES["geo_extent"] = geo_bbox_area, _ORACLES["geo_bbox_area"]
+
+
+@query(WITH + NET + ", lines AS (SELECT u, v FROM edges) SELECT count(*) AS n, round(sum(sqrt(100.0 * 100.0)), 3) AS total FROM lines")
+def geo_planar_length(spark, d):
+    return _lines(spark, d).agg(F.count("*").alias("n"), F.round(F.sum(geo.length(F.col("geom"), geo.planar)), 3).alias("total"))
+
+
+@query(WITH + NET + ", q(q, x, y) AS (VALUES (1, 34.7561, 32.0562), (2, 34.7701, 32.0701), (3, 34.70, 32.0)) SELECT q, arg_min(node_id, pow((lon - x) * cos(radians(y)), 2) + pow(lat - y, 2)) AS node_id FROM nodes, q GROUP BY q")
+def geo_nearest_node(spark, d):
+    n, _ = _net(spark, d)
+    qs = [(1, 34.7561, 32.0562), (2, 34.7701, 32.0701), (3, 34.70, 32.0)]
+    gap = lambda x, y: F.struct((F.pow((F.col("lon") - x) * F.cos(F.radians(F.lit(y))), 2) + F.pow(F.col("lat") - y, 2)).alias("g"), "node_id")
+    one = n.agg(*[F.min(gap(x, y)).alias(f"q{q}") for q, x, y in qs])  # a stated set of points: one aggregate each
+    return one.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{q}.node_id").alias("node_id")) for q, _, _ in qs])).alias("r")).select("r.*")
+
+
+# --- topology
+
+
+@query(WITH + NET + " SELECT id AS node_id, count(*) AS degree FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges) GROUP BY id")
+def build_degree(spark, d):
+    return T.degree(_net(spark, d)[1])
+
+
+@query(WITH + NET + " SELECT count(DISTINCT id) AS n FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges)")
+def build_used_nodes(spark, d):
+    return T.used_nodes(_net(spark, d)[1])
+
+
+@query(WITH + NET + " SELECT * FROM adj")
+def build_adj(spark, d):
+    return T.adjacency(_net(spark, d)[1])
+
+
+_QUERIES["build_simple_graph"], _ORACLES["build_simple_graph"] = src_nx_graph, _ORACLES["src_nx_graph"]
+
+
+@query(REC + NET35 + ", " + N.CC_SQL + " SELECT id AS node_id, c AS comp FROM cc")
+def build_components(spark, d):
+    return T.components(_net(spark, d, drop=35)[1])
+
+
+@query(REC + NET35 + ", " + N.CC_SQL + ", s AS (SELECT c, count(*) AS n FROM cc GROUP BY c), top AS (SELECT c, n FROM s ORDER BY n DESC, c LIMIT 1) SELECT n, (SELECT count(*) FROM edges JOIN cc ON id = u WHERE c = top.c) AS m FROM top")
+def build_largest(spark, d):
+    n, e = T.largest_component(*_net(spark, d, drop=35))
+    return n.agg(F.count("*").alias("n")).join(e.agg(F.count("*").alias("m")))  # one row each
+
+
+def _twins(spark, d):
+    n, e = _net(spark, d, below=400)
+    t = n.filter("node_id % 7 = 0").select((F.col("node_id") + 100_000).alias("node_id"), (F.col("lon") + 0.00005).alias("lon"), "lat")
+    link = t.select((F.col("node_id") * 10).alias("edge_id"), (F.col("node_id") - 100_000).alias("u"), F.col("node_id").alias("v"), F.lit(5).cast("long").alias("length_m"))
+    return n.unionByName(t), e.unionByName(link)
+
+
+@query(WITH + NET400 + ", used AS (SELECT DISTINCT id FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges UNION ALL SELECT node_id FROM nodes WHERE node_id % 7 = 0)) SELECT node_id, round(lon + CASE WHEN node_id % 7 = 0 THEN 0.000025 ELSE 0 END, 7) AS lon, round(lat, 7) AS lat FROM nodes JOIN used ON id = node_id")
+def build_consolidate(spark, d):
+    n, _ = T.consolidate(*_twins(spark, d), 10.0)
+    return n.select("node_id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+_CHAINS = NET35 + """, deg AS (SELECT id, count(*) AS k FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges) GROUP BY id), inn AS (SELECT id FROM deg WHERE k = 2),
+met AS (SELECT min(edge_id) AS a, max(edge_id) AS b FROM (SELECT edge_id, u AS id FROM edges UNION ALL SELECT edge_id, v FROM edges) JOIN inn USING (id) GROUP BY id HAVING min(edge_id) <> max(edge_id)),
+la AS (SELECT a AS x, b AS y FROM met UNION ALL SELECT b, a FROM met),
+lc(id, c) USING KEY (id) AS (SELECT edge_id, edge_id FROM edges UNION SELECT id, c FROM (SELECT la.y AS id, min(lc.c) AS c, any_value(r.c) AS rc FROM lc JOIN la ON la.x = lc.id JOIN recurring.lc r ON r.id = la.y GROUP BY la.y) WHERE c < rc)"""
+
+
+@query(REC + _CHAINS + " SELECT c AS chain, sum(length_m)::BIGINT AS length_m, count(*) AS n_edges FROM edges JOIN lc ON id = edge_id GROUP BY c")
+def build_simplify(spark, d):
+    return T.simplify(_net(spark, d, drop=35)[1]).select("chain", "length_m", "n_edges")
+
+
+@query(WITH + NET + " SELECT edge_id, piece, CASE WHEN piece = 1 THEN u ELSE -(edge_id * 100000 + piece - 1) END AS u, CASE WHEN piece = k THEN v ELSE -(edge_id * 100000 + piece) END AS v, round(length_m / k, 6) AS length_m FROM (SELECT *, ceil(length_m / 40.0)::BIGINT AS k, unnest(range(1, ceil(length_m / 40.0)::BIGINT + 1)) AS piece FROM edges)")
+def build_segmentize(spark, d):
+    return T.segmentize(_net(spark, d)[1], 40.0).withColumn("length_m", F.round("length_m", 6))
+
+
+@query(WITH + NET35 + " SELECT id AS node_id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT u AS id FROM edges UNION SELECT v FROM edges)")
+def build_compact(spark, d):
+    return T.compact(*_net(spark, d, drop=35))
+
+
+@query(WITH + NET + ", n2 AS (SELECT count(DISTINCT id) AS n FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges)) SELECT 'raw' AS stage, n, count(*) AS m, round(sum(length_m) / 1000.0, 6) AS total_km FROM edges, n2 GROUP BY n")
+def build_stats(spark, d):
+    return T.stats({"raw": _net(spark, d)}).withColumn("total_km", F.round("total_km", 6))
+
+
+@query(WITH + N.WAYS_SQL + " SELECT way_id AS id, pos AS piece, node::VARCHAR AS u, nxt::VARCHAR AS v FROM wp JOIN wn a ON a.osm_id = node JOIN wn b ON b.osm_id = nxt WHERE node <> nxt")
+def build_overture(spark, d):
+    return S.segment_edges(_segments(spark, d)).select("id", F.col("piece").cast("long").alias("piece"), "u", "v")
+
+
+@query(WITH + "k AS (SELECT l_orderkey AS line_id, l_partkey AS vertex, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 20 = 0), c AS (SELECT vertex FROM k GROUP BY vertex HAVING count(DISTINCT line_id) > 1) SELECT line_id, 1 + count(*) FILTER (WHERE pos > 0 AND pos < n - 1 AND vertex IN (SELECT vertex FROM c)) AS parts FROM k GROUP BY line_id")
+def geo_subdivide(spark, d):
+    w = N.ways(spark, d).filter("way_id % 20 = 0").select(F.col("way_id").alias("line_id"), F.col("nodes").alias("vertices"))
+    return T.subdivide(w).groupBy("line_id").agg(F.count("*").alias("parts"))
+
+
+# --- paths
+
+_SEEDS = ", seeds AS (SELECT 0 AS id, 0 AS lab UNION ALL SELECT n // 2, 1 FROM p)"
+
+
+def _two(spark, d):
+    return [0, spark.read.parquet(f"{d}/customer.parquet").count() // 2]
+
+
+@query(REC + NET + _SEEDS + ", " + N.SP_SQL.format(cut="") + " SELECT id AS node, d, lab AS label FROM sp")
+def path_multi_source(spark, d):
+    return P.multi_source(_adj(spark, d), _two(spark, d)).select("node", F.col("d").cast("long").alias("d"), "label")
+
+
+@query(REC + NET + _SEEDS + ", " + N.SP_SQL.format(cut="WHERE sp.d + a.w <= 1200") + " SELECT id AS node, d, lab AS label FROM sp")
+def path_cutoff(spark, d):
+    return P.multi_source(_adj(spark, d), _two(spark, d), cutoff=1200).select("node", F.col("d").cast("long").alias("d"), "label")
+
+
+@query(REC + NET + ", lb AS (SELECT node_id, (node_id // 200) % 2 AS l FROM nodes), m AS (SELECT a.* FROM adj a JOIN lb x ON x.node_id = u JOIN lb y ON y.node_id = v WHERE x.l = y.l), madj AS (SELECT * FROM m)" + _SEEDS + ", " + N.SP_SQL.format(cut="").replace("JOIN adj a", "JOIN madj a") + " SELECT id AS node, d, lab AS label FROM sp")
+def path_masked(spark, d):
+    n, _ = _net(spark, d)
+    labels = n.select(F.col("node_id").alias("node"), (F.floor(F.col("node_id") / 200) % 2).cast("int").alias("label"))
+    inner = settle(P.masked(_adj(spark, d), labels).select("u", "v", "w"))
+    return P.multi_source(inner, _two(spark, d)).select("node", F.col("d").cast("long").alias("d"), "label")
+
+
+@query(REC + NET400 + ", seeds AS (SELECT 0 AS id, 0 AS lab), " + N.SP_SQL.format(cut="") + " SELECT id AS node, row_number() OVER (ORDER BY d, id) AS pos FROM sp")
+def path_order(spark, d):
+    a = P.multi_source(_adj(spark, d, below=400), [0])
+    return P.settled_order(a).select("node", F.col("pos").cast("long").alias("pos"))
+
+
+@query(REC + NET + ", seeds AS (SELECT node_id AS id FROM nodes WHERE node_id % 50 = 0), " + N.ALL_SQL.format(cut="WHERE ap.d + a.w <= 500") + " SELECT src, id AS node, d FROM ap")
+def path_reach(spark, d):
+    n, _ = _net(spark, d)
+    return P.reach(_adj(spark, d), n.filter("node_id % 50 = 0").select(F.col("node_id").alias("node")), RADIUS)
+
+
+@query(REC + NET400 + ", seeds AS (SELECT node_id AS id FROM nodes WHERE node_id IN (0, 50, 99)), " + N.ALL_SQL.format(cut="") + " SELECT id AS node, min(d) AS d, CAST(arg_min(CASE src WHEN 0 THEN 0 WHEN 50 THEN 1 ELSE 2 END, d * 10 + CASE src WHEN 0 THEN 0 WHEN 50 THEN 1 ELSE 2 END) AS INTEGER) AS label FROM ap GROUP BY id")
+def path_matrix(spark, d):
+    dist = P.reach(_adj(spark, d, below=400), _ids(spark, [0, 50, 99]))
+    return P.nearest_of(dist, spark.createDataFrame([(0, 0), (50, 1), (99, 2)], "src long, label int"))
+
+
+@query(REC + NET + _SEEDS + ", " + N.SP_SQL.format(cut="") + " SELECT id AS node, d FROM sp ORDER BY d DESC, id LIMIT 1")
+def path_argmax(spark, d):
+    return P.farthest(path_multi_source(spark, d)).select("node", "d")
+
+
+def _ends_sql():
+    sp = N.SP_SQL.format(cut="")
+    s1 = sp.replace("sp", "s1").replace("seeds", "b1")
+    s2 = sp.replace("sp", "s2").replace("seeds", "b2")
+    s3 = sp.replace("sp", "s3").replace("seeds", "b3")
+    top = "(SELECT id FROM {} ORDER BY d DESC, id LIMIT 1)"
+    return f", b1 AS (SELECT 0 AS id, 0 AS lab), {s1}, b2 AS (SELECT id, 0 AS lab FROM {top.format('s1')}), {s2}, b3 AS (SELECT id, 0 AS lab FROM {top.format('s2')}), {s3}"
+
+
+@query(REC + NET400 + _ends_sql() + " SELECT (SELECT id FROM b3) AS a, id AS b, d FROM s3 ORDER BY d DESC, id LIMIT 1")
+def path_diameter(spark, d):
+    a, b, x = P.diameter_ends(_adj(spark, d, below=400), 0)
+    return spark.createDataFrame([(a, b, int(x))], "a long, b long, d long")
+
+
+# --- cells
+
+_CELLS = REC + NET400 + ", seeds AS (SELECT id, lab FROM (VALUES (0, 0), (60, 1), (130, 2)) t(id, lab)), " + N.SP_SQL.format(cut="")
+
+
+def _cells(spark, d):
+    adj = _adj(spark, d, below=400)
+    a = settle(P.multi_source(adj, [0, 60, 130]).select("node", F.col("d").cast("long").alias("d"), "label"))
+    return adj, a, spark.createDataFrame([(0, 0), (60, 1), (130, 2)], "src long, label int")
+
+
+@query(_CELLS + " SELECT lab AS label, count(*) AS size FROM sp GROUP BY lab")
+def clus_group(spark, d):
+    return C.cell_sizes(_cells(spark, d)[1])
+
+
+@query(_CELLS + " SELECT lab AS label, max(d) AS ecc, sum(d)::BIGINT AS total FROM sp GROUP BY lab")
+def clus_eval(spark, d):
+    return C.cell_values(_cells(spark, d)[1])
+
+
+def _center_sql(value):
+    # distances within a cell: all pairs over edges whose ends have one label
+    return _CELLS + f""", cadj AS (SELECT a.u, a.v, a.w FROM adj a JOIN sp x ON x.id = a.u JOIN sp y ON y.id = a.v WHERE x.lab = y.lab), cs AS (SELECT id FROM sp),
+{N.ALL_SQL.format(cut="").replace("JOIN adj a", "JOIN cadj a").replace("FROM seeds", "FROM cs")}, vals AS (SELECT src, {value} AS v FROM ap GROUP BY src), z AS (SELECT lab, src, v FROM vals JOIN sp ON id = src),
+cur AS (SELECT z.* FROM z JOIN seeds s ON s.id = z.src)
+SELECT CAST(cur.lab AS INTEGER) AS label, cur.src AS cur, CASE WHEN min(z.v) < any_value(cur.v) THEN arg_min(z.src, z.v * 100000 + z.src) ELSE cur.src END AS new FROM z JOIN cur ON cur.lab = z.lab GROUP BY cur.lab, cur.src"""
+
+
+@query(_center_sql("max(d)"))
+def clus_center_exact(spark, d):
+    return C.centers_in_cells(*_cells(spark, d))
+
+
+@query(_center_sql("sum(d)"))
+def clus_median_exact(spark, d):
+    return C.centers_in_cells(*_cells(spark, d), objective="minisum")
+
+
+@query(_CELLS + " SELECT id AS node, lab AS label FROM sp QUALIFY row_number() OVER (PARTITION BY lab ORDER BY (id * 7919 + 17) % 10007, id) <= 40")
+def clus_median_sample(spark, d):
+    return C.sample_members(_cells(spark, d)[1]).select("node", "label")
+
+
+# --- coverage
+
+
+_RUNS: dict = {}
+
+
+def _run(spark, d, **params):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RUNS:
+        _RUNS[key] = _whole(spark, d)
+    nodes, adj, dist = _RUNS[key]
+    return V.Run(nodes, adj, V.Params(**params), dist)
+
+
+def _whole(spark, d):
+    """Nodes in use, adjacency and the distances of all pairs of the small network, written once a session."""
+    n, e = _net(spark, d, below=400)
+    used = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    adj = settle(T.adjacency(e))
+    dist = settle(P.reach(adj, used))
+    return settle(used), adj, dist
+
+
+_ALL400 = REC + NET400 + ", seeds AS (SELECT DISTINCT u AS id FROM adj), " + N.ALL_SQL.format(cut="") + ", ft AS (SELECT id FROM ap WHERE src = 0 ORDER BY d DESC, id LIMIT 1), fa AS (SELECT id FROM ap WHERE src = (SELECT id FROM ft) ORDER BY d DESC, id LIMIT 1), fb AS (SELECT id FROM ap WHERE src = (SELECT id FROM fa) ORDER BY d DESC, id LIMIT 1)"
+_NEAR = "(SELECT max(x) AS far, arg_max(id, x * 100000 - id) AS who FROM (SELECT id, min(d) AS x FROM ap WHERE list_contains({c}, src) GROUP BY id))"
+
+
+@query(_ALL400 + " SELECT 0 AS idx, id AS node FROM fa UNION ALL SELECT 1, id FROM fb")
+def cov_init_diameter(spark, d):
+    c = _run(spark, d).initial()
+    return spark.createDataFrame(list(enumerate(c)), "idx int, node long")
+
+
+@query(_ALL400 + " SELECT x.id AS node FROM ap x JOIN ap y ON x.id = y.id WHERE x.src = (SELECT id FROM fa) AND y.src = (SELECT id FROM fb) ORDER BY greatest(x.d, y.d), x.id LIMIT 1")
+def cov_init_single(spark, d):
+    return spark.createDataFrame([(c,) for c in _run(spark, d, init="single").initial()], "node long")
+
+
+@query(WITH + NET400 + " SELECT u AS node FROM (SELECT DISTINCT u FROM adj) ORDER BY (u * 7919 + 42 * 104729) % 10007, u LIMIT 5")
+def cov_init_random(spark, d):
+    return spark.createDataFrame([(c,) for c in _run(spark, d, init="random").initial()], "node long")
+
+
+@query("SELECT * FROM (VALUES (0, 7::BIGINT), (1, 3::BIGINT)) t(idx, node)")
+def cov_init_manual(spark, d):
+    c = V.Run(_ids(spark, [3, 7]), None, V.Params(init="manual", manual=(7, 3, 7))).initial()
+    return spark.createDataFrame(list(enumerate(c)), "idx int, node long")
+
+
+@query(REC + NET + _SEEDS + ", " + N.SP_SQL.format(cut="") + ", un AS (SELECT id, d FROM sp) SELECT max(d)::DOUBLE AS max_dist, round(avg(d), 6) AS mean_dist, round(avg((d <= 500)::INT), 6) AS covered, arg_max(id, d * 100000 - id) AS farthest FROM un")
+def cov_record(spark, d):
+    a = path_multi_source(spark, d)
+    run = V.Run(a.select("node"), None, V.Params(radius=RADIUS))
+    run._memo = ((0,), a)
+    m = run.measure([0])
+    return spark.createDataFrame([(m["max_dist"], round(m["mean_dist"], 6), round(m["covered"], 6), m["farthest"])], "max_dist double, mean_dist double, covered double, farthest long")
+
+
+_QUERIES["cov_assignment"], _ORACLES["cov_assignment"] = path_multi_source, _ORACLES["path_multi_source"]
+
+
+@query(_ALL400 + ", g(step, c, far, who) AS (SELECT 0, [id], n.far, n.who FROM fa, LATERAL " + _NEAR.format(c="[fa.id]") + " n UNION ALL SELECT g.step + 1, list_append(g.c, g.who), n.far, n.who FROM g, LATERAL " + _NEAR.format(c="list_append(g.c, g.who)") + " n WHERE g.far > 500) SELECT step, len(c) AS k, far::DOUBLE AS max_dist, c[-1] AS added FROM g")
+def cov_gonzalez(spark, d):
+    s = V.steps_df(V.gonzalez(_run(spark, d))).filter("kind <> 'final'")
+    return s.select("step", F.col("k").cast("long").alias("k"), "max_dist", F.element_at("centers", -1).alias("added"))
+
+
+_GAIN = "(SELECT src, count(*) AS gain FROM nr WHERE id NOT IN (SELECT id FROM nr WHERE list_contains({c}, src)) GROUP BY src ORDER BY gain DESC, src LIMIT 1)"
+
+
+@query(_ALL400 + ", nr AS (SELECT src, id FROM ap WHERE d <= 500), g(step, c, gain) AS (SELECT 0, [src], gain FROM " + _GAIN.format(c="[-1]") + " UNION ALL SELECT g.step + 1, list_append(g.c, n.src), n.gain FROM g, LATERAL " + _GAIN.format(c="g.c") + " n) SELECT step, len(c) AS k, c[-1] AS added FROM g")
+def cov_lscp(spark, d):
+    run = _run(spark, d)
+    s = V.steps_df(V.greedy_cover(run, run.distances)).filter("kind <> 'final'")
+    return s.select("step", F.col("k").cast("long").alias("k"), F.element_at("centers", -1).alias("added"))
+
+
+@query()
+def cov_pull_seed(spark, d):
+    return V.steps_df(V.pull_and_seed(_run(spark, d))).select("step", "kind", "k", "max_dist", "mean_dist", "covered", "farthest")
+
+
+@query()
+def cov_fixed_k(spark, d):
+    return V.steps_df(V.fixed_k(_run(spark, d, k=12, prune=True))).select("step", "kind", "k", "max_dist", "covered")
+
+
+@query()
+def cov_prune(spark, d):
+    return V.steps_df(V.gonzalez(_run(spark, d, prune=True))).select("step", "kind", "k", "max_dist", "covered")
+
+
+@query()
+def cov_post_pull(spark, d):
+    return V.steps_df(V.gonzalez(_run(spark, d, post_pull=True, radius=900.0))).select("step", "kind", "k", "max_dist", "covered")
+
+
+@query()
+def cov_abort(spark, d):
+    return V.steps_df(V.gonzalez(_run(spark, d, max_steps=4))).select("step", "kind", "k")
+
+
+@query()
+def cov_pull_once(spark, d):
+    run = _run(spark, d)
+    c = run.initial()
+    new, _ = run.pull(c)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(c, new))], "idx int, cur long, new long")
+
+
+@query(WITH + NET + ", t AS (SELECT count(*) AS m, sum(length_m) AS total, (SELECT count(*) FROM nodes) AS n FROM edges), k AS (SELECT *, greatest(1.0, 60.0 * total / 500000.0) AS k, (n + m) * 1.5e-7 AS per FROM t) SELECT round(20 * k * per, 9) AS pullseed, round(k * per, 9) AS gonzalez, round(300 * per + k * per, 9) AS lscp, round(150 * per, 9) AS fixedk FROM k")
+def cov_estimate(spark, d):
+    n, e = _net(spark, d)
+    m, total = e.agg(F.count("*"), F.sum("length_m")).first()
+    return spark.createDataFrame([tuple(round(V.estimate_seconds(n.count(), m, total, 500.0, a), 9) for a in ("pullseed", "gonzalez", "lscp", "fixedk"))], "pullseed double, gonzalez double, lscp double, fixedk double")
+
+
+# --- results and views
+
+
+def _assigned(spark, d):
+    n, e = _net(spark, d)
+    a = P.multi_source(settle(T.adjacency(e)), _two(spark, d)).select("node", F.col("d").cast("long").alias("d"), "label")
+    return n.select(F.col("node_id").alias("node"), "lon", "lat"), e, settle(a)
+
+
+_ASG = REC + NET + _SEEDS + ", " + N.SP_SQL.format(cut="")
+
+
+@query(_ASG + " SELECT edge_id, length_m, CASE WHEN a.d <= b.d THEN a.lab ELSE b.lab END AS cluster, a.d AS dist_u, b.d AS dist_v, least(a.d, b.d) <= 500 AS covered FROM edges JOIN sp a ON a.id = u JOIN sp b ON b.id = v")
+def out_geojson_step(spark, d):
+    n, e, a = _assigned(spark, d)
+    return X.edge_table(e, a, RADIUS).select("edge_id", "length_m", "cluster", "dist_u", "dist_v", "covered")
+
+
+_QUERIES["view_edge_state"], _ORACLES["view_edge_state"] = out_geojson_step, _ORACLES["out_geojson_step"]
+
+
+@query(_ASG + " SELECT node_id AS node, coalesce(lab, -1) AS cluster, coalesce(d::DOUBLE, 'inf'::DOUBLE) AS dist, coalesce(d <= 500, false) AS covered FROM nodes LEFT JOIN sp ON id = node_id")
+def out_nodes(spark, d):
+    n, _, a = _assigned(spark, d)
+    return X.node_table(n, a, RADIUS)
+
+
+for _name in ("out_qgis", "out_step_sf"):
+    _QUERIES[_name], _ORACLES[_name] = out_nodes, _ORACLES["out_nodes"]
+
+
+@query(WITH + "i AS (SELECT unnest(range(-1, 12)) AS i) SELECT i, CASE WHEN i < 0 THEN '#bbbbbb' ELSE printf('hsl(%.1f,%d%%,%d%%)', round((i * 137.508) % 360, 1), 70 - 10 * (i % 3), 42 + 9 * (i % 3)) END AS color FROM i")
+def view_colors(spark, d):
+    return spark.range(-1, 12).select(F.col("id").alias("i"), X.cluster_color(F.col("id")).alias("color"))
+
+
+def _log(spark):
+    rows = [
+        (0, "init", [1, 2], 2, 900.0, 5, [], [], []), (1, "move", [1, 3], 2, 800.0, 6, [(2, 3)], [], []), (2, "stuck", [1, 3], 2, 800.0, 6, [], [], []),
+        (3, "add", [1, 3, 6], 3, 450.0, 7, [], [6], []), (4, "remove", [1, 6], 2, 480.0, 8, [], [], [3]), (5, "final", [1, 6], 2, 480.0, 8, [], [], []),
+    ]
+    return spark.createDataFrame(rows, "step int, kind string, centers array<long>, k int, max_dist double, farthest long, moved array<struct<`from`:long,`to`:long>>, added array<long>, removed array<long>").withColumn("covered", F.lit(1.0))
+
+
+@query("SELECT * FROM (VALUES ('init', 1::BIGINT), ('move', 1), ('stuck', 1), ('add', 1), ('remove', 1), ('final', 1)) t(kind, n)")
+def view_kind_counts(spark, d):
+    return _log(spark).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT *, 900.0::DOUBLE AS top_dist, 3 AS top_k FROM (VALUES (0, 2, 900.0::DOUBLE), (1, 2, 800.0), (2, 2, 800.0), (3, 3, 450.0), (4, 2, 480.0), (5, 2, 480.0)) t(step, k, max_dist)")
+def view_chart(spark, d):
+    w = Window.partitionBy(F.lit(0))
+    return _log(spark).select("step", "k", "max_dist", F.max("max_dist").over(w).alias("top_dist"), F.max("k").over(w).alias("top_k"))
+
+
+@query("SELECT * FROM (VALUES (0, 'farthest', 5::BIGINT), (1, 'farthest', 6), (2, 'farthest', 6), (3, 'farthest', 7), (4, 'farthest', 8), (5, 'farthest', 8), (3, 'added', 6), (4, 'removed', 3)) t(step, mark, node)")
+def view_moves_marks(spark, d):
+    return X.marks(_log(spark))
+
+
+@query(WITH + NET + ", c(step, idx, node) AS (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 1), (1, 1, 3), (2, 0, 1), (2, 1, 3), (3, 0, 1), (3, 1, 3), (3, 2, 6), (4, 0, 1), (4, 1, 6), (5, 0, 1), (5, 1, 6)) SELECT step, idx, node::BIGINT AS node, lon, lat FROM c JOIN nodes ON node_id = node")
+def out_steps_json(spark, d):
+    n, _ = _net(spark, d)
+    return X.center_table(_log(spark), n.withColumnRenamed("node_id", "node"))
+
+
+def entry(spark, sf_dir):
+    """Coverage statistics of a search from two sources."""
+    return cov_record(spark, sf_dir)
