@@ -237,8 +237,8 @@ def possible_groups(n: np.ndarray, bitmaps: list[bytes]) -> np.ndarray:
     width = np.array([len(b) * 8 for b in bitmaps])
     forest = Forest(len(n))
     for w in np.unique(width):
-        # sets whose sizes fit have equal or neighbouring widths; the wider bitmap is folded
-        own = np.flatnonzero((width == w) | (width == 2 * w))
+        # sets whose sizes fit have equal or neighbouring widths; of the wider ones, those that fit a set of width w are folded
+        own = np.flatnonzero((width == w) | ((width == 2 * w) & (4 * n <= 5 * w)))
         own = own[np.argsort(n[own], kind="stable")]
         if len(own) < 2:
             continue
