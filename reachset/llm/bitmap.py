@@ -1,6 +1,6 @@
 """A bitmap of fixed size over hashed keys, to pass over rows that a later join would drop.
 
-BITS / 8 bytes reach the driver and the tasks, whatever the number of keys; a bit shared by chance only lets a row through
+bits / 8 bytes reach the driver and the tasks, whatever the number of keys; a bit shared by chance only lets a row through
 to the join, which stays exact.
 """
 
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 1 << 27
+#: Bits for lists of members; small, as drivers of long sessions keep what they broadcast for a while.
+MEMBER_BITS = 1 << 23
 CHUNK = 1 << 16  # bits in one row
 
 
@@ -25,19 +27,19 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(rows, pa.binary())], names=["chunk", "bits"])
 
 
-def bitmap_of(keys: DataFrame, hashed: Column) -> np.ndarray:
-    """Bit hashed mod BITS is set for each row; hashed is a column of well mixed 64-bit values."""
-    bit = hashed.bitwiseAND(F.lit(BITS - 1))
+def bitmap_of(keys: DataFrame, hashed: Column, bits: int = BITS) -> np.ndarray:
+    """Bit hashed mod bits is set for each row; hashed is a column of well mixed 64-bit values."""
+    bit = hashed.bitwiseAND(F.lit(bits - 1))
     chunks = keys.select(F.shiftright(bit, 16).alias("chunk"), bit.bitwiseAND(F.lit(CHUNK - 1)).cast("int").alias("place")).distinct()
     packed = chunks.groupBy("chunk").agg(F.collect_list("place").alias("places")).mapInArrow(_pack, "chunk long, bits binary")
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in packed.toLocalIterator():
         out[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def test_bits(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    bit = hashed & np.uint64(BITS - 1)
+    bit = hashed & np.uint64(8 * len(bitmap) - 1)
     return ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1) == 1
 
 
@@ -53,5 +55,5 @@ def _keep(shared):
 
 def only_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """rows without most of those whose ``column`` is not among keys' ``column``; all rows with a key stay."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(keys, F.xxhash64(column)))
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(keys, F.xxhash64(column), MEMBER_BITS))
     return rows.withColumn("key__", F.xxhash64(column)).mapInArrow(_keep(shared), rows.schema)
