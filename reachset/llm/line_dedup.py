@@ -8,8 +8,8 @@ removed if an earlier line, by (doc_id, line number), matches it; what is earlie
 1. Tokens are ordered by rarity: a table of BUCKETS counts over all lines, of a fixed size whatever the corpus, gives each
    token's frequency.
 2. A line of n tokens offers its first floor(n / 5) + 1 tokens (prefix filter; below 4 tokens only equal sets match). Lines
-   that share one meet; length filter, positional filter and a 64-bit signature of the prefix, which bounds how many tokens
-   two prefixes share, leave those that may match.
+   that share one meet; length filter, positional filter and a 64-bit signature, which bounds how many tokens two lines (of long
+   lines: two prefixes) share, leave those that may match.
 3. These meet under hubs (see ``routing``) with their words, and are joined in order with a prefix index; a line's first
    match ends its search, so a group of copies costs a step each.
 
@@ -39,7 +39,9 @@ PART = 1 << 14  # buckets in one row of the frequency table
 #: Sets below this size match equal sets only.
 LEAST = 4
 #: Lines that share a token are compared pair by pair up to this number; beyond it neighbours by size are taken together.
-SHORT_RUN = 48
+SHORT_RUN = 128
+#: Up to this number of tokens a line's signature covers all of them; beyond it only its prefix, as the bits would fill up.
+WHOLE = 64
 
 
 class LineTokens:
@@ -135,10 +137,12 @@ def _offers(shared):
                 if big and k not in offered:
                     offered.add(k)
                     fresh[i] = True
-            offer = fresh[line] & (np.arange(len(line)) - start[line] < prefix_length(n)[line])
+            early = np.arange(len(line)) - start[line] < prefix_length(n)[line]
+            offer = fresh[line] & early
             per_line = np.bincount(line[offer], minlength=len(t.owner))[has]
             mark = np.zeros(len(t.owner), np.uint64)
-            np.bitwise_or.at(mark, line[offer], np.uint64(1) << ((h[offer] >> np.uint64(7)) & np.uint64(63)))
+            covered = fresh[line] & (early | (n[line] <= WHOLE))
+            np.bitwise_or.at(mark, line[covered], np.uint64(1) << ((h[covered] >> np.uint64(7)) & np.uint64(63)))
             ids = piece.column("member").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[t.owner[has]]), pa.array(t.number[has].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n[has].astype(np.int32)), list_array(signed(h[offer]), per_line, pa.int64()), pa.array(signed(mark[has]))],
@@ -157,9 +161,12 @@ def _near_rows(t: pa.Table):
     tok, key, n, place, mark = tok[shared], *(t.column(c).to_numpy()[shared] for c in ("k1", "n", "place", "mark"))
     if not len(tok):
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], schema=schema)
-    order = np.lexsort((n, tok))
+    order = np.lexsort((key, n, tok))
+    # several tasks may offer a class
+    new = np.append(True, (tok[order][1:] != tok[order][:-1]) | (key[order][1:] != key[order][:-1]))
+    order = order[new]
     tok, key, n, place, mark = tok[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64), mark[order].view(np.uint64)
-    spare = prefix_length(n) - np.bitwise_count(mark)
+    spare = np.where(n <= WHOLE, n, prefix_length(n)) - np.bitwise_count(mark)
     cuts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
     length = np.diff(np.append(cuts, len(tok)))
     run = np.repeat(np.arange(len(cuts)), length)
@@ -176,7 +183,8 @@ def _near_rows(t: pa.Table):
         ok = (key[a] != key[b]) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= need)
         a, b, need = a[ok], b[ok], need[ok]
         # the prefix that ends first in the token order lies within the other's reach, so the prefixes share what it can't lack
-        share = np.minimum(prefix_length(n[a]) - n[a], prefix_length(n[b]) - n[b]) + need
+        share = np.where(n[b] <= WHOLE, need, np.minimum(prefix_length(n[a]) - n[a], prefix_length(n[b]) - n[b]) + need)
+        share[(n[a] <= WHOLE) & (n[b] > WHOLE)] = 0  # signatures of different kinds tell nothing
         ok = np.bitwise_count(mark[a] & mark[b]) + np.minimum(spare[a], spare[b]) >= share
         alive[a[ok]] = True
         alive[b[ok]] = True
