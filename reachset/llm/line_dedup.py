@@ -226,6 +226,13 @@ def _late(shared):
             order = np.lexsort((t.column("line_no").to_numpy(), t.column("doc").to_numpy()))
             keys = t.column("member").to_numpy()[order]
             h, line = LineTokens(t.column("line").combine_chunks().take(pa.array(order))).ordered(rank)
+            # rows that share an id may have another line at the place sought
+            sums = np.zeros(len(keys), np.uint64)
+            np.add.at(sums, line, mix(h))
+            sought = signed(sums) == keys
+            fresh = np.zeros(len(keys), bool)
+            fresh[np.flatnonzero(sought)[np.unique(keys[sought], return_index=True)[1]]] = True  # repeated rows bring a line twice
+            fresh = fresh.tolist()
             ordered = h.tolist()
             ends = np.cumsum(np.bincount(line, minlength=len(keys))).tolist()
             index: dict[int, list[tuple[int, int]]] = {}
@@ -236,6 +243,9 @@ def _late(shared):
                 toks = ordered[a:b]
                 a = b
                 own, n = set(toks), len(toks)
+                if not fresh[x]:
+                    sets.append(set())
+                    continue
                 tried: set[int] = set()
                 match = False
                 for place, tok in enumerate(toks[: prefix_length(n)]):

@@ -237,6 +237,18 @@ def test_line_dedup(docs):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    """A repeated row's line isn't its own earlier copy, and another row's line at the same place isn't taken for it."""
+    other = A.replace("alpha", "omega")
+    near = other.replace("omega9 ", "psi ")
+    rows = [(20, A), (20, A), (21, B), (22, other), (None, near), (None, "a line of quite different words that matches nothing at all here"), (None, A + " more")]
+    got = {r.doc_id: r.removed_lines for r in line_dedup.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {20: "", 21: "0", 22: "", None: "0"}
+    rows = [(30, other), (None, A), (None, near)]  # only the second null row matches; its place is the first one's too
+    got = {r.doc_id: r.removed_lines for r in line_dedup.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {30: "", None: "0"}
+
+
 def test_decontamination(docs, spark):
     bench = spark.createDataFrame([(1, "Alpha3 alpha4, alpha5 ALPHA6 alpha8"), (2, "alpha10 alpha11 alpha12 alpha13 alpha14 alpha15"), (3, None), (4, "one two"), (5, ""), (5, "never seen words at all here")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
