@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BITS = 1 << 27
 #: Bits for lists of members; small, as drivers of long sessions keep what they broadcast for a while.
 MEMBER_BITS = 1 << 23
+#: Bits for lists of lines, which are several to a member.
+LINE_BITS = 1 << 26
 CHUNK = 1 << 16  # bits in one row
 
 
@@ -53,7 +55,7 @@ def _keep(shared):
     return run
 
 
-def only_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """rows without most of those whose ``column`` is not among keys' ``column``; all rows with a key stay."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(keys, F.xxhash64(column), MEMBER_BITS))
-    return rows.withColumn("key__", F.xxhash64(column)).mapInArrow(_keep(shared), rows.schema)
+def only_members(rows: DataFrame, keys: DataFrame, *columns: str, bits: int = MEMBER_BITS) -> DataFrame:
+    """rows without most of those whose ``columns`` are not among keys' ``columns``; all rows with a key stay."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(keys, F.xxhash64(*columns), bits))
+    return rows.withColumn("key__", F.xxhash64(*columns)).mapInArrow(_keep(shared), rows.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import only_members
+from .bitmap import LINE_BITS, only_members
 from .ngram_join import grouped
 from .routing import in_blocks, needed_overlap, prefix_length
 from .store import materialize
@@ -291,12 +291,12 @@ def judge_lines(docs: DataFrame) -> DataFrame:
     near = offers.select("tok", "k1", "n", "place", "mark").repartition("tok").sortWithinPartitions("tok").mapInArrow(_near, "hub long, member long")
     near = materialize(near.distinct(), "line-near")
     wanted = materialize(near.select(F.col("member").alias("k1")).distinct().join(first, "k1"), "line-wanted")
-    by_doc = wanted.groupBy(F.col("doc").alias("member")).agg(F.collect_list(F.struct("k1", "line_no")).alias("wanted"))
-    found = only_members(rows, by_doc.select("member"), "member").join(by_doc.hint("merge"), "member")  # no size bound: never broadcast
-    found = found.select(F.col("member").alias("doc"), "wanted", F.split("text", "\n").alias("ls"))
-    # rows that share an id may be shorter than the line sought; only the row that has the line gives it
-    found = found.select("doc", F.explode(F.transform("wanted", lambda w: F.struct(w["k1"].alias("member"), w["line_no"].alias("line_no"), F.get(F.col("ls"), w["line_no"]).alias("line")))).alias("w"))
-    found = found.filter("w.line is not null").select("doc", "w.*")
+    # lines, not texts, go through the join: of a long text only the few lines that may match are moved
+    lookup = wanted.select("k1", F.col("doc").alias("member"), "line_no")
+    split = rows.select("member", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    found = only_members(split, lookup.select("member", "line_no"), "member", "line_no", bits=LINE_BITS)
+    found = found.join(lookup.hint("merge"), ["member", "line_no"])  # no size bound: never broadcast
+    found = found.select(F.col("k1").alias("member"), F.col("member").alias("doc"), "line_no", "line")
     tasks = in_blocks(near.join(wanted.select(F.col("k1").alias("member"), "n"), "member"), "n").select("hub", "i", "j", "member")
     tasks = tasks.hint("merge").join(found, "member").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     late = materialize(tasks.mapInArrow(_late(shared), "k1 long").distinct(), "line-late")
