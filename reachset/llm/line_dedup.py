@@ -217,58 +217,90 @@ def _near(batches):
         yield _near_rows(pa.Table.from_batches(held))
 
 
-def _late(shared):
-    """Keys of the classes for which an earlier class of the group matches."""
+def _changes(rows, keys: tuple[str, ...]) -> np.ndarray:
+    """True where a row's keys differ from those of the row before; rows is not empty."""
+    change = np.zeros(rows.num_rows, bool)
+    change[0] = True
+    for k in keys:
+        c = rows.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return change
+
+
+def _whole_groups(batches, keys: tuple[str, ...]):
+    """Tables of whole groups from sorted batches; the last group of a batch waits for its rest."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cut = int(np.flatnonzero(_changes(batch, keys))[-1])
+        if cut == 0 and held and all(held[-1].column(k)[0] == batch.column(k)[0] for k in keys):
+            held.append(batch)
+            continue
+        rows = pa.Table.from_batches([*held, batch.slice(0, cut)])
+        if rows.num_rows:
+            yield rows
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _late_rows(t: pa.Table, rank: np.ndarray) -> np.ndarray:
+    """Keys of the classes for which an earlier class of their group matches; t holds whole groups (hub, i, j)."""
+    group = np.cumsum(_changes(t, ("hub", "i", "j")))
+    order = np.lexsort((t.column("line_no").to_numpy(), t.column("doc").to_numpy(), group))
+    keys, group = t.column("member").to_numpy()[order], group[order]
+    h, line = LineTokens(t.column("line").combine_chunks().take(pa.array(order))).ordered(rank)
+    # rows that share an id may have another line at the place sought, and repeated rows bring a line twice
+    sums = np.zeros(len(keys), np.uint64)
+    np.add.at(sums, line, mix(h))
+    sought = np.flatnonzero(signed(sums) == keys)
+    first = np.lexsort((sought, keys[sought], group[sought]))
+    sought = sought[first]
+    new = np.ones(len(sought), bool)
+    new[1:] = (keys[sought][1:] != keys[sought][:-1]) | (group[sought][1:] != group[sought][:-1])
+    ends = np.cumsum(np.bincount(line, minlength=len(keys)))
+    ordered = h.tolist()
+    index: dict[int, list[tuple[int, int]]] = {}
+    sets: dict[int, set[int]] = {}
+    late = []
+    now = -1
+    for x in np.sort(sought[new]).tolist():
+        if group[x] != now:
+            now = group[x]
+            index.clear()
+            sets.clear()
+        toks = ordered[ends[x - 1] if x else 0 : ends[x]]
+        own, n = set(toks), len(toks)
+        early = toks[: prefix_length(n)]
+        tried: set[int] = set()
+        match = False
+        for place, tok in enumerate(early):
+            for y, other in index.get(tok, ()):
+                m = len(sets[y])
+                if y in tried or 5 * min(n, m) < 4 * max(n, m):
+                    continue
+                need = needed_overlap(n, m)
+                if min(n - place, m - other) < need:
+                    continue
+                tried.add(y)
+                if len(own & sets[y]) >= need:
+                    match = True
+                    break
+            if match:
+                break
+        sets[x] = own
+        for place, tok in enumerate(early):
+            index.setdefault(tok, []).append((x, place))
+        if match:
+            late.append(x)
+    return np.unique(keys[late]) if late else keys[:0]
 
+
+def _late(shared):
     def run(batches):
-        rank = shared.value
-        for t in grouped(batches, ("hub", "i", "j")):
-            order = np.lexsort((t.column("line_no").to_numpy(), t.column("doc").to_numpy()))
-            keys = t.column("member").to_numpy()[order]
-            h, line = LineTokens(t.column("line").combine_chunks().take(pa.array(order))).ordered(rank)
-            # rows that share an id may have another line at the place sought
-            sums = np.zeros(len(keys), np.uint64)
-            np.add.at(sums, line, mix(h))
-            sought = signed(sums) == keys
-            fresh = np.zeros(len(keys), bool)
-            fresh[np.flatnonzero(sought)[np.unique(keys[sought], return_index=True)[1]]] = True  # repeated rows bring a line twice
-            fresh = fresh.tolist()
-            ordered = h.tolist()
-            ends = np.cumsum(np.bincount(line, minlength=len(keys))).tolist()
-            index: dict[int, list[tuple[int, int]]] = {}
-            sets: list[set[int]] = []
-            late = []
-            a = 0
-            for x, b in enumerate(ends):
-                toks = ordered[a:b]
-                a = b
-                own, n = set(toks), len(toks)
-                if not fresh[x]:
-                    sets.append(set())
-                    continue
-                tried: set[int] = set()
-                match = False
-                for place, tok in enumerate(toks[: prefix_length(n)]):
-                    for y, other in index.get(tok, ()):
-                        m = len(sets[y])
-                        if y in tried or 5 * min(n, m) < 4 * max(n, m):
-                            continue
-                        need = needed_overlap(n, m)
-                        if min(n - place, m - other) < need:
-                            continue
-                        tried.add(y)
-                        if len(own & sets[y]) >= need:
-                            match = True
-                            break
-                    if match:
-                        break
-                sets.append(own)
-                for place, tok in enumerate(toks[: prefix_length(n)]):
-                    index.setdefault(tok, []).append((x, place))
-                if match:
-                    late.append(keys[x])
-            if late:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(late, np.int64)))], names=["k1"])
+        for t in _whole_groups(pieces(batches, "line"), ("hub", "i", "j")):
+            late = _late_rows(t, shared.value)
+            if len(late):
+                yield pa.RecordBatch.from_arrays([pa.array(late)], names=["k1"])
 
     return run
 
