@@ -323,14 +323,12 @@ def judge_lines(docs: DataFrame) -> DataFrame:
     near = offers.select("tok", "k1", "n", "place", "mark").repartition("tok").sortWithinPartitions("tok").mapInArrow(_near, "hub long, member long")
     near = materialize(near.distinct(), "line-near")
     wanted = materialize(near.select(F.col("member").alias("k1")).distinct().join(first, "k1"), "line-wanted")
-    # lines, not texts, go through the join: of a long text only the few lines that may match are moved
-    lookup = wanted.select("k1", F.col("doc").alias("member"), "line_no")
-    split = rows.select("member", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    found = only_members(split, lookup.select("member", "line_no"), "member", "line_no", bits=LINE_BITS)
-    found = found.join(lookup.hint("merge"), ["member", "line_no"])  # no size bound: never broadcast
-    found = found.select(F.col("k1").alias("member"), F.col("member").alias("doc"), "line_no", "line")
-    tasks = in_blocks(near.join(wanted.select(F.col("k1").alias("member"), "n"), "member"), "n").select("hub", "i", "j", "member")
-    tasks = tasks.hint("merge").join(found, "member").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    tasks = in_blocks(near.join(wanted.withColumnRenamed("k1", "member"), "member"), "n").select("hub", "i", "j", "member", "doc", "line_no")
+    # single lines, not texts, are moved: of a long text only the few lines that may match
+    lines_of = rows.select(F.col("member").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    found = only_members(lines_of, wanted.select("doc", "line_no"), "doc", "line_no", bits=LINE_BITS)
+    tasks = tasks.hint("merge").join(found, ["doc", "line_no"])  # no size bound: never broadcast
+    tasks = tasks.select("hub", "i", "j", "member", "doc", "line_no", "line").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     late = materialize(tasks.mapInArrow(_late(shared), "k1 long").distinct(), "line-late")
     heads = first.select("k1", F.col("doc").alias("d"), F.col("line_no").alias("l")).join(late.withColumn("late", F.lit(True)), "k1", "left")
     gone = (F.col("member") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.coalesce("late", F.lit(False))
