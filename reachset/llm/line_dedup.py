@@ -1,8 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct pairs of neighbouring words (A-Z lowered), or its only word. Single words would not do as
-tokens at scale: each is held by a share of all lines that doesn't shrink, so lines that share one grow as the square of the
-corpus. Two lines match at a Jaccard similarity of 4/5 or more. A line is
+A line's tokens are its distinct words (A-Z lowered). Two lines match at a Jaccard similarity of 4/5 or more. A line is
 removed if an earlier line, by (doc_id, line number), matches it; what is earlier and what matches is judged on the input.
 
 1. Tokens are ordered by rarity: a table of BUCKETS counts over all lines, of a fixed size whatever the corpus, gives each
@@ -49,16 +47,8 @@ class LineTokens:
 
     def __init__(self, texts: pa.Array):
         words = Hashed(texts, lower=True)
-        line, self.owner, self.number = words.lines()
-        h = words.h
-        if len(h):
-            pair = line[1:] == line[:-1]
-            with np.errstate(over="ignore"):
-                both = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(32))))[pair]
-            alone = ~(np.append(pair, False) | np.append(False, pair))
-            self.h, self.line = np.concatenate([both, h[alone]]), np.concatenate([line[:-1][pair], line[alone]])
-        else:
-            self.h, self.line = h, line
+        self.line, self.owner, self.number = words.lines()
+        self.h = words.h
 
     def ordered(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct tokens (h, line), by line and within a line by rarity, then hash; rank: rarity of each bucket."""
@@ -366,8 +356,7 @@ def dedup_sql(table: str) -> str:
     return f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {table}),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM d),
-v AS (SELECT doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS v FROM l),
-s AS (SELECT doc_id, line_no, list_sort(list_distinct(CASE WHEN len(v) < 2 THEN v ELSE list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1]) END)) AS s FROM v),
+s AS (SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'))) AS s FROM l),
 w AS (SELECT * FROM s WHERE len(s) > 0),
 c AS (SELECT s, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id, min((doc_id, line_no)) AS f, len(s) AS n FROM w GROUP BY s),
 t AS (SELECT id, n, unnest(s) AS tok FROM c),

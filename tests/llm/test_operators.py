@@ -237,6 +237,26 @@ def test_line_dedup(docs):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def test_line_dedup_counts_words(spark):
+    """One inner word replaced, or phrases moved: distinct words decide, not what stands next to them."""
+    rng = np.random.default_rng(9)
+    lines = []
+    for size in (4, 5, 8, 9, 10, 14, 18, 30, 70):
+        base = [f"v{x}" for x in rng.choice(10**6, size, replace=False)]
+        for edits in (0, 1, 2, 3):
+            words = list(base)
+            for at in range(edits):
+                words[2 + 2 * at if 2 + 2 * at < size else 0] = f"e{rng.integers(0, 10**6)}"
+            lines.append(" ".join(words))
+        lines.append(" ".join(base[size // 2 :] + base[: size // 2]))
+    lines += [f"{x} common{i % 3} the of and" for i, x in enumerate(lines)]
+    sets = [set(x.split()) for x in lines]
+    want = {i for i, a in enumerate(sets) if any(5 * len(a & b) >= 4 * len(a | b) for b in sets[:i])}
+    out = line_dedup.dedup_digest(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect() if r.n_removed} == want
+    assert 21 in want and 24 in want  # ten words: one replaced, and halves swapped
+
+
 def test_line_dedup_rows_that_share_an_id(spark):
     """A repeated row's line isn't its own earlier copy, and another row's line at the same place isn't taken for it."""
     other = A.replace("alpha", "omega")
