@@ -320,9 +320,9 @@ def build_overture(spark, d):
     return S.segment_edges(_segments(spark, d)).select("id", F.col("piece").cast("long").alias("piece"), "u", "v")
 
 
-@query(WITH + "k AS (SELECT l_orderkey AS line_id, l_partkey AS vertex, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 20 = 0), c AS (SELECT vertex FROM k GROUP BY vertex HAVING count(DISTINCT line_id) > 1) SELECT line_id, 1 + count(*) FILTER (WHERE pos > 0 AND pos < n - 1 AND vertex IN (SELECT vertex FROM c)) AS parts FROM k GROUP BY line_id")
+@query(WITH + "k AS (SELECT l_orderkey AS line_id, l_partkey AS vertex, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), c AS (SELECT vertex FROM k GROUP BY vertex HAVING count(DISTINCT line_id) > 1) SELECT line_id, 1 + count(*) FILTER (WHERE pos > 0 AND pos < n - 1 AND vertex IN (SELECT vertex FROM c)) AS parts FROM k GROUP BY line_id")
 def geo_subdivide(spark, d):
-    w = N.ways(spark, d).filter("way_id % 20 = 0").select(F.col("way_id").alias("line_id"), F.col("nodes").alias("vertices"))
+    w = N.ways(spark, d).select(F.col("way_id").alias("line_id"), F.col("nodes").alias("vertices"))
     return T.subdivide(w).groupBy("line_id").agg(F.count("*").alias("parts"))
 
 

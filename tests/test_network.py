@@ -116,3 +116,13 @@ def test_query_cache(spark, tmp_path):
     for _ in range(2):
         assert network.cached_query(spark, str(tmp_path), "q", make).count() == 3
     assert len(calls) == 1
+
+
+def test_subdivide_query_takes_every_way(spark, tmp_path):
+    """Ways 20 and 21 share their inner vertex; only a query over all ways sees it."""
+    from reachset.plans import registry
+
+    parts = [(w, i, v, 1, 1.0) for w, vs in ((20, (1, 2, 3)), (21, (4, 2, 5)), (22, (6, 7, 8))) for i, v in enumerate(vs)]
+    spark.createDataFrame(parts, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(w, "1-URGENT", "F") for w in (20, 21, 22)], "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {(r.line_id, r.parts) for r in registry.geo_subdivide(spark, str(tmp_path)).collect()} == {(20, 2), (21, 2), (22, 1)}
