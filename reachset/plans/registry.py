@@ -38,7 +38,7 @@ def oracle_sql():
     return dict(_ORACLES)
 
 
-NET, NET400, NET35 = N.net_sql(), N.net_sql(400), N.net_sql(None, 35)
+NET, NET35 = N.net_sql(), N.net_sql(None, 35)
 WITH, REC = "WITH ", "WITH RECURSIVE "
 
 
@@ -276,14 +276,18 @@ def build_largest(spark, d):
     return n.agg(F.count("*").alias("n")).join(e.agg(F.count("*").alias("m")))  # one row each
 
 
+#: Above all ids of the tables.
+_TWIN = 10**12
+
+
 def _twins(spark, d):
-    n, e = _net(spark, d, below=400)
-    t = n.filter("node_id % 7 = 0").select((F.col("node_id") + 100_000).alias("node_id"), (F.col("lon") + 0.00005).alias("lon"), "lat")
-    link = t.select((F.col("node_id") * 10).alias("edge_id"), (F.col("node_id") - 100_000).alias("u"), F.col("node_id").alias("v"), F.lit(5).cast("long").alias("length_m"))
+    n, e = _net(spark, d)
+    t = n.filter("node_id % 7 = 0").select((F.col("node_id") + _TWIN).alias("node_id"), (F.col("lon") + 0.00005).alias("lon"), "lat")
+    link = t.select((F.col("node_id") * 10).alias("edge_id"), (F.col("node_id") - _TWIN).alias("u"), F.col("node_id").alias("v"), F.lit(5).cast("long").alias("length_m"))
     return n.unionByName(t), e.unionByName(link)
 
 
-@query(WITH + NET400 + ", used AS (SELECT DISTINCT id FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges UNION ALL SELECT node_id FROM nodes WHERE node_id % 7 = 0)) SELECT node_id, round(lon + CASE WHEN node_id % 7 = 0 THEN 0.000025 ELSE 0 END, 7) AS lon, round(lat, 7) AS lat FROM nodes JOIN used ON id = node_id")
+@query(WITH + NET + ", used AS (SELECT DISTINCT id FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges UNION ALL SELECT node_id FROM nodes WHERE node_id % 7 = 0)) SELECT node_id, round(lon + CASE WHEN node_id % 7 = 0 THEN 0.000025 ELSE 0 END, 7) AS lon, round(lat, 7) AS lat FROM nodes JOIN used ON id = node_id")
 def build_consolidate(spark, d):
     n, _ = T.consolidate(*_twins(spark, d), 10.0)
     return n.select("node_id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
@@ -353,9 +357,9 @@ def path_masked(spark, d):
     return P.multi_source(inner, _two(spark, d)).select("node", F.col("d").cast("long").alias("d"), "label")
 
 
-@query(REC + NET400 + ", seeds AS (SELECT 0 AS id, 0 AS lab), " + N.SP_SQL.format(cut="") + " SELECT id AS node, row_number() OVER (ORDER BY d, id) AS pos FROM sp")
+@query(REC + NET + ", seeds AS (SELECT 0 AS id, 0 AS lab), " + N.SP_SQL.format(cut="") + " SELECT id AS node, row_number() OVER (ORDER BY d, id) AS pos FROM sp")
 def path_order(spark, d):
-    a = P.multi_source(_adj(spark, d, below=400), [0])
+    a = P.multi_source(_adj(spark, d), [0])
     return P.settled_order(a).select("node", F.col("pos").cast("long").alias("pos"))
 
 
@@ -365,9 +369,11 @@ def path_reach(spark, d):
     return P.reach(_adj(spark, d), n.filter("node_id % 50 = 0").select(F.col("node_id").alias("node")), RADIUS)
 
 
-@query(REC + NET400 + ", seeds AS (SELECT node_id AS id FROM nodes WHERE node_id IN (0, 50, 99)), " + N.ALL_SQL.format(cut="") + " SELECT id AS node, min(d) AS d, CAST(arg_min(CASE src WHEN 0 THEN 0 WHEN 50 THEN 1 ELSE 2 END, d * 10 + CASE src WHEN 0 THEN 0 WHEN 50 THEN 1 ELSE 2 END) AS INTEGER) AS label FROM ap GROUP BY id")
+@query(REC + NET + ", seeds AS (SELECT node_id AS id FROM nodes WHERE node_id IN (0, 50, 99)), " + N.ALL_SQL.format(cut="") + " SELECT id AS node, min(d) AS d, CAST(arg_min(CASE src WHEN 0 THEN 0 WHEN 50 THEN 1 ELSE 2 END, d * 10 + CASE src WHEN 0 THEN 0 WHEN 50 THEN 1 ELSE 2 END) AS INTEGER) AS label FROM ap GROUP BY id")
 def path_matrix(spark, d):
-    dist = P.reach(_adj(spark, d, below=400), _ids(spark, [0, 50, 99]))
+    adj = _adj(spark, d)
+    one = [P.multi_source(adj, [s]).select(F.lit(s).cast("long").alias("src"), "node", F.col("d").cast("long").alias("d")) for s in (0, 50, 99)]
+    dist = one[0].unionByName(one[1]).unionByName(one[2])
     return P.nearest_of(dist, spark.createDataFrame([(0, 0), (50, 1), (99, 2)], "src long, label int"))
 
 
@@ -385,19 +391,19 @@ def _ends_sql():
     return f", b1 AS (SELECT 0 AS id, 0 AS lab), {s1}, b2 AS (SELECT id, 0 AS lab FROM {top.format('s1')}), {s2}, b3 AS (SELECT id, 0 AS lab FROM {top.format('s2')}), {s3}"
 
 
-@query(REC + NET400 + _ends_sql() + " SELECT (SELECT id FROM b3) AS a, id AS b, d FROM s3 ORDER BY d DESC, id LIMIT 1")
+@query(REC + NET + _ends_sql() + " SELECT (SELECT id FROM b3) AS a, id AS b, d FROM s3 ORDER BY d DESC, id LIMIT 1")
 def path_diameter(spark, d):
-    a, b, x = P.diameter_ends(_adj(spark, d, below=400), 0)
+    a, b, x = P.diameter_ends(_adj(spark, d), 0)
     return spark.createDataFrame([(a, b, int(x))], "a long, b long, d long")
 
 
 # --- cells
 
-_CELLS = REC + NET400 + ", seeds AS (SELECT id, lab FROM (VALUES (0, 0), (60, 1), (130, 2)) t(id, lab)), " + N.SP_SQL.format(cut="")
+_CELLS = REC + NET + ", seeds AS (SELECT id, lab FROM (VALUES (0, 0), (60, 1), (130, 2)) t(id, lab)), " + N.SP_SQL.format(cut="")
 
 
 def _cells(spark, d):
-    adj = _adj(spark, d, below=400)
+    adj = _adj(spark, d)
     a = settle(P.multi_source(adj, [0, 60, 130]).select("node", F.col("d").cast("long").alias("d"), "label"))
     return adj, a, spark.createDataFrame([(0, 0), (60, 1), (130, 2)], "src long, label int")
 
@@ -445,35 +451,29 @@ def _run(spark, d, **params):
     key = (spark.sparkContext.applicationId, d)
     if key not in _RUNS:
         _RUNS[key] = _whole(spark, d)
-    nodes, adj, dist = _RUNS[key]
-    return V.Run(nodes, adj, V.Params(**params), dist)
+    nodes, adj = _RUNS[key]
+    return V.Run(nodes, adj, V.Params(**{"budget_s": V.INF, "max_steps": 2**31 - 1, **params}))
 
 
 def _whole(spark, d):
-    """Nodes in use, adjacency and the distances of all pairs of the small network, written once a session."""
-    n, e = _net(spark, d, below=400)
+    """Nodes in use and adjacency of the whole network, written once a session. Runs end by their rule, not by time or steps."""
+    n, e = _net(spark, d)
     used = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    adj = settle(T.adjacency(e))
-    dist = settle(P.reach(adj, used))
-    return settle(used), adj, dist
-
-
-_ALL400 = REC + NET400 + ", seeds AS (SELECT DISTINCT u AS id FROM adj), " + N.ALL_SQL.format(cut="") + ", ft AS (SELECT id FROM ap WHERE src = 0 ORDER BY d DESC, id LIMIT 1), fa AS (SELECT id FROM ap WHERE src = (SELECT id FROM ft) ORDER BY d DESC, id LIMIT 1), fb AS (SELECT id FROM ap WHERE src = (SELECT id FROM fa) ORDER BY d DESC, id LIMIT 1)"
-_NEAR = "(SELECT max(x) AS far, arg_max(id, x * 100000 - id) AS who FROM (SELECT id, min(d) AS x FROM ap WHERE list_contains({c}, src) GROUP BY id))"
+    return settle(used), settle(T.adjacency(e))
 
 
-@query(_ALL400 + " SELECT 0 AS idx, id AS node FROM fa UNION ALL SELECT 1, id FROM fb")
+@query()
 def cov_init_diameter(spark, d):
     c = _run(spark, d).initial()
     return spark.createDataFrame(list(enumerate(c)), "idx int, node long")
 
 
-@query(_ALL400 + " SELECT x.id AS node FROM ap x JOIN ap y ON x.id = y.id WHERE x.src = (SELECT id FROM fa) AND y.src = (SELECT id FROM fb) ORDER BY greatest(x.d, y.d), x.id LIMIT 1")
+@query()
 def cov_init_single(spark, d):
     return spark.createDataFrame([(c,) for c in _run(spark, d, init="single").initial()], "node long")
 
 
-@query(WITH + NET400 + " SELECT u AS node FROM (SELECT DISTINCT u FROM adj) ORDER BY (u * 7919 + 42 * 104729) % 10007, u LIMIT 5")
+@query(WITH + NET + " SELECT u AS node FROM (SELECT DISTINCT u FROM adj) ORDER BY (u * 7919 + 42 * 104729) % 10007, u LIMIT 5")
 def cov_init_random(spark, d):
     return spark.createDataFrame([(c,) for c in _run(spark, d, init="random").initial()], "node long")
 
@@ -496,19 +496,16 @@ def cov_record(spark, d):
 _QUERIES["cov_assignment"], _ORACLES["cov_assignment"] = path_multi_source, _ORACLES["path_multi_source"]
 
 
-@query(_ALL400 + ", g(step, c, far, who) AS (SELECT 0, [id], n.far, n.who FROM fa, LATERAL " + _NEAR.format(c="[fa.id]") + " n UNION ALL SELECT g.step + 1, list_append(g.c, g.who), n.far, n.who FROM g, LATERAL " + _NEAR.format(c="list_append(g.c, g.who)") + " n WHERE g.far > 500) SELECT step, len(c) AS k, far::DOUBLE AS max_dist, c[-1] AS added FROM g")
+@query()
 def cov_gonzalez(spark, d):
     s = V.steps_df(V.gonzalez(_run(spark, d))).filter("kind <> 'final'")
     return s.select("step", F.col("k").cast("long").alias("k"), "max_dist", F.element_at("centers", -1).alias("added"))
 
 
-_GAIN = "(SELECT src, count(*) AS gain FROM nr WHERE id NOT IN (SELECT id FROM nr WHERE list_contains({c}, src)) GROUP BY src ORDER BY gain DESC, src LIMIT 1)"
-
-
-@query(_ALL400 + ", nr AS (SELECT src, id FROM ap WHERE d <= 500), g(step, c, gain) AS (SELECT 0, [src], gain FROM " + _GAIN.format(c="[-1]") + " UNION ALL SELECT g.step + 1, list_append(g.c, n.src), n.gain FROM g, LATERAL " + _GAIN.format(c="g.c") + " n) SELECT step, len(c) AS k, c[-1] AS added FROM g")
+@query()
 def cov_lscp(spark, d):
     run = _run(spark, d)
-    s = V.steps_df(V.greedy_cover(run, run.distances)).filter("kind <> 'final'")
+    s = V.steps_df(V.greedy_cover(run, P.reach(run.adj, run.nodes, RADIUS))).filter("kind <> 'final'")
     return s.select("step", F.col("k").cast("long").alias("k"), F.element_at("centers", -1).alias("added"))
 
 

@@ -126,3 +126,43 @@ def test_subdivide_query_takes_every_way(spark, tmp_path):
     spark.createDataFrame(parts, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(w, "1-URGENT", "F") for w in (20, 21, 22)], "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     assert {(r.line_id, r.parts) for r in registry.geo_subdivide(spark, str(tmp_path)).collect()} == {(20, 2), (21, 2), (22, 1)}
+
+
+def test_registered_coverage_takes_the_whole_network(spark, tmp_path):
+    """Registered queries against brute force over all pairs, on more than 400 nodes."""
+    import heapq
+
+    from reachset.plans import fixtures, registry
+
+    spark.range(480).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    d = str(tmp_path)
+    adj = {}
+    for r in topology.adjacency(fixtures.net(spark, d)[1]).collect():
+        adj.setdefault(r.u, []).append((r.v, r.w))
+
+    def search(s):
+        best, heap = {s: 0}, [(0, s)]
+        while heap:
+            x, u = heapq.heappop(heap)
+            for v, w in adj[u] if x == best[u] else ():
+                if x + w < best.get(v, x + w + 1):
+                    best[v] = x + w
+                    heapq.heappush(heap, (x + w, v))
+        return best
+
+    far = {s: search(s) for s in adj}
+    end = lambda s: min(far[s], key=lambda n: (-far[s][n], n))
+    a = end(end(min(adj)))
+    assert [r.node for r in registry.cov_init_diameter(spark, d).orderBy("idx").collect()] == [a, end(a)]
+    inf, c = float("inf"), [a]
+    steps = []
+    while True:
+        dist = {n: min(far[s].get(n, inf) for s in c) for n in adj}
+        top = min(dist, key=lambda n: (-dist[n], n))
+        steps.append((list(c), dist[top]))
+        if dist[top] <= 1200:
+            break
+        c.append(top)
+    got = coverage.gonzalez(registry._run(spark, d, radius=1200.0)).steps
+    assert [(s["centers"], s["max_dist"]) for s in got if s["kind"] != "final"] == steps
+    assert sum(r["size"] for r in registry.clus_group(spark, d).collect()) == len(far[0].keys() | far[60].keys() | far[130].keys())
