@@ -194,6 +194,12 @@ def test_window_entropy(spark):
         assert spark.range(1).select(secrets.max_window_entropy(F.lit(s)).alias("h")).first().h == pytest.approx(want)
 
 
+def test_default_policy_keeps_long_texts(spark):
+    ledger = spark.createDataFrame([(1, quality.BIT["too_long"]), (2, quality.BIT["too_short"])], "doc_id long, failed long")
+    assert {r.doc_id: r.kept for r in quality.apply_policy(ledger).collect()} == {1: True, 2: False}
+    assert {r.doc_id: r.kept for r in quality.apply_policy(ledger, "web-1").collect()} == {1: False, 2: False}
+
+
 def test_line_candidates_keep_similar_lines():
     """Lines of sizes on both sides of the signatures' switch: every similar pair must come out under a common hub."""
     rng = np.random.default_rng(5)
