@@ -1,9 +1,9 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by exact counts of window hashes behind a winnowed prefilter.
 
-Seeds: in every window of WINDOW words the smallest hash of its 8-word runs is the window's anchor (winnowing), so equal
-windows have equal anchors. Anchors that occur once are dropped; the others are joined, and from each of their places the
-match is extended to both sides as far as the windows that own the anchor reach: a window is repeated if its hash occurs
-at another place as well. Neighbouring repeated windows run together into maximal repeats, whose words are removed.
+In every window of WINDOW words the smallest hash of its 8-word runs is the window's anchor (winnowing), so equal windows have
+equal anchors. Windows whose anchor occurs once are dropped. Of the others the hashes are counted and joined back: a window is
+repeated if its hash occurs at another place as well. This stands in for a join on anchors and an extension to both sides;
+there is none. Neighbouring repeated windows run together into maximal repeats, whose words are removed.
 
 Anchors are counted within tasks first. What is known of them reaches the tasks as a bitmap of a fixed size, whatever
 the corpus; a bit shared by chance only lets a window through to the exact count.
