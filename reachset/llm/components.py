@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, release
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(small, f"cc-{i + 1}")
+        last, e = e, materialize(small, f"cc-{i + 1}")
+        release(last)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == mark:
             roots = e.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))

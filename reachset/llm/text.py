@@ -97,31 +97,37 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0x2545F4914F6CDD1D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, as many as were asked for so far."""
-
-    up = down = np.ones(1, U64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                x = np.full(size, U64(base))
-                x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
-        return cls.up, cls.down
+#: Words up to this many bytes are hashed side by side in steps of eight bytes; longer ones one by one.
+LONG_WORD = 64
+_KEYS = mix(np.arange(1, LONG_WORD // 8 + 2, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word buf[start:end]: the length and every eight bytes go through a mixer of their own."""
+    size = ends - starts
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    at_byte = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(U64) ^ _KEYS[0])
+    own, left, at = np.flatnonzero(size <= LONG_WORD), size, starts
+    left, at = left[own], at[own]
+    step = 0
+    with np.errstate(over="ignore"):
+        while len(own):
+            step += 1
+            bytes8 = at_byte[at] & _MASKS[np.minimum(left, 8)]
+            h[own] = mix((h[own] + bytes8 * _ODD[0]) ^ _KEYS[step])
+            more = left > 8
+            own, left, at = own[more], left[more] - 8, at[more] + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return h
 
 
 class Hashed:
     """Hashes of all words of n texts, computed on the bytes at once: h[offsets[i]:offsets[i+1]] are those of text i.
 
-    A word's hash is a polynomial of mixed byte values modulo 2^64, finally mixed with its length.
+    See ``word_hashes``; no polynomial, under which whole families of different words would share a hash.
     """
 
     __slots__ = ("bounds", "buf", "ends", "h", "offsets", "starts")
@@ -143,11 +149,7 @@ class Hashed:
             first[1:] &= ~inside[:-1] | cut[1:-1]
             last[:-1] &= ~inside[1:] | cut[1:-1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _Powers.upto(size + 1)
-        sums = np.zeros(size + 1, U64)
-        np.cumsum(_TABLE[buf] * up[:size], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        self.h = mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        self.h = word_hashes(buf, starts, ends)
         self.offsets = np.searchsorted(starts, bounds)
         self.starts, self.ends, self.buf, self.bounds = starts, ends, buf, bounds
 
