@@ -60,4 +60,5 @@ def oracle_sql():
         "op1_decontamination": decontaminate.leaks_sql(),
         "op2_line_dedup": line_dedup.dedup_sql("documents"),
         "op6_source_mixing": mixing.mix_sql("documents"),
+        "op7_substring_dedup": substrings.repeats_sql("documents"),
     }
