@@ -45,17 +45,34 @@ def test_bits(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1) == 1
 
 
-def _keep(shared):
+#: Keys that a task remembers when rows with one key are let through once.
+REMEMBERED = 1_000_000
+
+
+def _keep(shared, columns: tuple[str, ...], once: bool):
     def run(batches):
+        seen: set = set()
         for b in batches:
-            keep = test_bits(shared.value, b.column("key__").to_numpy().view(np.uint64))
-            if keep.any():
-                yield b.filter(pa.array(keep)).drop_columns("key__")
+            at = np.flatnonzero(test_bits(shared.value, b.column("key__").to_numpy().view(np.uint64)))
+            if once and len(at):
+                fresh = []
+                for i, key in zip(at.tolist(), zip(*[b.column(c).take(pa.array(at)).to_pylist() for c in columns])):
+                    if key not in seen:
+                        seen.add(key)
+                        fresh.append(i)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                at = np.array(fresh, np.int64)
+            if len(at):
+                yield b.take(pa.array(at)).drop_columns("key__")
 
     return run
 
 
-def only_members(rows: DataFrame, keys: DataFrame, *columns: str, bits: int = MEMBER_BITS) -> DataFrame:
-    """rows without most of those whose ``columns`` are not among keys' ``columns``; all rows with a key stay."""
+def only_members(rows: DataFrame, keys: DataFrame, *columns: str, bits: int = MEMBER_BITS, once: bool = False) -> DataFrame:
+    """rows without most of those whose ``columns`` are not among keys' ``columns``; all rows with a key stay.
+
+    once: of rows with equal ``columns``, which then stand for each other, a task lets the first through (and again what it forgot).
+    """
     shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(keys, F.xxhash64(*columns), bits))
-    return rows.withColumn("key__", F.xxhash64(*columns)).mapInArrow(_keep(shared), rows.schema)
+    return rows.withColumn("key__", F.xxhash64(*columns)).mapInArrow(_keep(shared, columns, once), rows.schema)

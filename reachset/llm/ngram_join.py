@@ -3,7 +3,7 @@
 A document's set holds its distinct 5-word shingles (A-Z lowered); a text of fewer words is one shingle, a text without
 words has the empty set and links with nothing. Two documents link at 100 * intersection >= 80 * union.
 
-1. Documents with equal sets form a class, and one document stands for it.
+1. Documents with equal sets (by 128 bits of two hashes) form a class, and one row stands for it; classes, not rows, are routed.
 2. Classes that may be similar meet under hubs (see ``routing``). Shingles that many documents hold come last in the
    token order, so a shared passage brings few unrelated documents together.
 3. Under each hub a signature tree is built over the members' token bitmaps: a node holds the OR of the bitmaps below it,
@@ -13,7 +13,7 @@ words has the empty set and links with nothing. Two documents link at 100 * inte
    over the same kind of tree; it returns a spanning forest of the links, so a group of copies never becomes all pairs.
 4. Connected components over the links give the classes of linked documents.
 
-Shingles are compared as 64-bit hashes. Defined results: null text is empty; a null id takes part like any other, and a
+Shingles are compared as 64-bit hashes, texts are found again by 128 bits. Defined results: null text is empty; a null id takes part like any other, and a
 component made only of null ids has a null component_id; repeated rows are linked copies; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import only_members
 from .components import components
 from .routing import hubs_of, in_blocks, needed_overlap, prefix_length
-from .store import materialize
+from .store import materialize, release
 from .text import Hashed, list_array, mix, pieces, rolling, signed
 
 SHINGLE = 5
@@ -100,10 +101,14 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(counted.filter(F.floor(F.log2("n")) >= k).select("tok").toPandas()["tok"].to_numpy(np.int64).view(np.uint64))
 
 
+PREFIX = "row_id long, doc_id long, t1 long, t2 long, n long, k1 long, k2 long, prefix array<long>, bits binary"
+
+
 def _prefixes(common: np.ndarray):
-    schema = pa.schema([("member", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in ("row_id", "doc_id", "t1", "t2", "n", "k1", "k2")] + [("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches):
+        row_id = TaskContext.get().partitionId() << 36
         for piece in pieces(batches, "text"):
             sets = shingle_sets(piece.column("text"))
             keys = np.array([_set_key(s) for s in sets], np.int64).reshape(-1, 2)
@@ -118,9 +123,13 @@ def _prefixes(common: np.ndarray):
                 chosen.append(s[:p])
             lens = np.array([len(c) for c in chosen], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("member"), piece.column("doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), list_array(signed(np.concatenate(chosen)), lens, pa.int64()), pa.array([token_bitmap(s, bitmap_width(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary())],
+                [
+                    pa.array(row_id + np.arange(len(sets))), *[piece.column(c) for c in ("doc_id", "t1", "t2")], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                    list_array(signed(np.concatenate(chosen)), lens, pa.int64()), pa.array([token_bitmap(s, bitmap_width(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                ],
                 schema=schema,
-            )
+            )
+            row_id += len(sets)
 
     return run
 
@@ -321,51 +330,99 @@ def _possible(batches):
 
 def _links(batches):
     for t in grouped(batches, ("hub", "i", "j")):
-        sets, keys, seen = [], [], set()
+        sets, members, seen = [], [], set()
         for piece in pieces(t.to_batches(), "text"):
-            for s in shingle_sets(piece.column("text")):
-                if len(s) and (k := _set_key(s)) not in seen:
-                    seen.add(k)
+            for member, s in zip(piece.column("member").to_pylist(), shingle_sets(piece.column("text"))):
+                if len(s) and member not in seen:  # several tasks may bring a text
+                    seen.add(member)
                     sets.append(s)
-                    keys.append(k[0])
+                    members.append(member)
         if len(sets) > 1 and (found := spanning_links(sets)):
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.int64()), pa.array([keys[j] for _, j in found], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([members[i] for i, _ in found], pa.int64()), pa.array([members[j] for _, j in found], pa.int64())], names=["a", "b"])
 
 
-def join_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): per row doc_id, n_shingles, set_key, component (key of its linked class); and the links between sets."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and its 128 bits t1, t2."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # the row's id in the routing; rows that share one are routed together, which loses nothing
-    rows = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("member"), "doc_id", "text")
+    return rows.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text")
+
+
+def join_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links).
+
+    members: per row doc_id, t1, t2, n, k1, k2; classes: per set k1, k2, member (its id), low (smallest doc_id), root (the class
+    that stands for all linked ones); links: pairs of classes, a spanning forest of all.
+    """
+    rows = _rows(docs)
     common = common_shingles(rows.select("text"))
-    prefix = materialize(rows.mapInArrow(_prefixes(common), "member long, doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary"), "shingle-prefixes")
-    sets = prefix.filter("n > 0").groupBy("k1").agg(F.min("member").alias("rep"), F.max("n").alias("n"), (F.min("k2") < F.max("k2")).alias("clash"))
-    sets = sets.filter(F.when(F.col("clash"), F.raise_error(F.lit("two shingle sets share a 64-bit key")).cast("boolean")).otherwise(F.lit(True)))
-    hubs = materialize(hubs_of(prefix.select("member", F.explode("prefix").alias("tok"))), "shingle-hubs")
-    reps = prefix.filter("n > 0").select("member", "k1").join(sets.select("k1", "rep"), "k1").select("member", "rep").distinct()
-    own = hubs.join(reps, "member").select("hub", F.col("rep").alias("member")).distinct()
-    own = materialize(own.join(prefix.filter("n > 0").select("member", "n"), "member"), "shingle-routes")
-    routed = in_blocks(own, "n").drop("n").join(prefix.filter("n > 0").select("member", "n", "bits"), "member")
+    prefix = materialize(rows.mapInArrow(_prefixes(common), PREFIX), "shingle-prefixes")
+    sets = materialize(prefix.filter("n > 0").groupBy("k1", "k2").agg(F.min("row_id").alias("member"), F.min("doc_id").alias("low")), "shingle-classes")
+    heads = prefix.join(sets.select(F.col("member").alias("row_id")), "row_id", "left_semi").drop("k1", "k2", "doc_id").withColumnRenamed("row_id", "member")
+    heads = materialize(heads, "shingle-heads")
+    sizes = heads.select("member", "n")
+    hubs = materialize(hubs_of(heads.select("member", F.explode("prefix").alias("tok"))), "shingle-hubs")
+    own = materialize(hubs.join(sizes, "member"), "shingle-routes")
+    routed = in_blocks(own, "n").drop("n").join(heads.select("member", "n", "bits"), "member")
     near = routed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "member", "n", "bits")
     near = materialize(near.mapInArrow(_possible, "member long, part long").distinct(), "shingle-near")
+    release(hubs, own)
     # members that may link, over all hubs, with each member's text once; the list has no size bound, so it is never broadcast
     loose = components(near.select(F.col("member").alias("a"), F.col("part").alias("b")))
-    loose = materialize(loose.select(F.col("node").alias("member"), F.col("root").alias("hub")), "shingle-loose")
-    tasks = in_blocks(loose.join(prefix.filter("n > 0").select("member", "n"), "member").distinct(), "n", TEXT_WEIGHT).select("hub", "i", "j", "member")
-    texts = only_members(rows.select("member", "text"), loose, "member")
-    tasks = tasks.hint("merge").join(texts, "member").select("hub", "i", "j", "text")
+    loose = materialize(loose.select(F.col("node").alias("member"), F.col("root").alias("hub")).join(heads.select("member", "n", "t1", "t2"), "member"), "shingle-loose")
+    tasks = in_blocks(loose, "n", TEXT_WEIGHT).select("hub", "i", "j", "member", "t1", "t2")
+    texts = only_members(rows.select("t1", "t2", "text"), loose, "t1", "t2", once=True)
+    tasks = tasks.hint("merge").join(texts, ["t1", "t2"]).select("hub", "i", "j", "member", "text")
     tasks = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     links = materialize(tasks.mapInArrow(_links, "a long, b long").distinct(), "shingle-links")
+    release(near, loose, heads)
     found = components(links)
-    members = prefix.select("doc_id", F.col("n").alias("n_shingles"), F.col("k1").alias("set_key")).join(found, F.col("set_key") == F.col("node"), "left")
-    return members.select("doc_id", "n_shingles", "set_key", F.coalesce("root", "set_key").alias("component")), links
+    classes = sets.join(found, F.col("member") == F.col("node"), "left").select("k1", "k2", "member", "low", F.coalesce("root", "member").alias("root"))
+    return prefix.select("doc_id", "t1", "t2", "n", "k1", "k2"), materialize(classes, "shingle-components"), links
 
 
 def join_digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id linked to it, itself included)."""
-    members = materialize(join_documents(docs)[0], "shingle-members")
-    linked = members.filter("n_shingles > 0")
-    lowest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = linked.join(lowest, "component").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    members, classes, _ = join_documents(docs)
+    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = classes.join(lowest, "root").select("k1", "k2", "component_id")
+    out = members.filter("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of linked rows: that with the smallest id (null last), then the smallest text hash.
+
+    Rows without words stay. Rows that are equal in id and text are linked copies too, and one of them stays.
+    """
+    members, classes, _ = join_documents(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    rows = members.filter("n > 0").join(classes.select("k1", "k2", "root"), ["k1", "k2"])
+    first = rows.groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.t1", "p.t2")
+    alike = members.filter("n > 0").groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("times"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["t1"] == b["t1"]) & (a["t2"] == b["t2"])
+    first = materialize(first.join(alike, same(first, alike)).select(first["doc_id"].alias("id__"), first["t1"].alias("t1__"), first["t2"].alias("t2__"), F.col("times").alias("times__")), "shingle-first")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    keyed = docs.withColumn("u1__", F.xxhash64(text)).withColumn("u2__", F.xxhash64(F.lit(7), text))
+    match = keyed["doc_id"].cast("long").eqNullSafe(F.col("id__")) & (F.col("u1__") == F.col("t1__")) & (F.col("u2__") == F.col("t2__"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    single = keyed.join(first.filter("times__ = 1"), match, "left_semi").select(*names)
+    several = keyed.join(first.filter("times__ > 1"), match).dropDuplicates(["id__", "t1__", "t2__"]).select(*names)
+    return single.unionByName(several).unionByName(docs.filter(~F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
+
+
+def join_sql(table: str) -> str:
+    """DuckDB SQL for join_digest; rows with equal shingle sets count as one in the pairs."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+g AS (SELECT doc_id, CASE WHEN len(w) >= {SHINGLE} THEN list_sort(list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda p: array_to_string(w[p:p + {SHINGLE - 1}], ' '))))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ') || chr(10) || len(w)] ELSE [] END AS s FROM d),
+c AS MATERIALIZED (SELECT s, len(s) AS n, min(doc_id) AS id FROM g WHERE len(s) > 0 GROUP BY s),
+t AS MATERIALIZED (SELECT id, n, unnest(s) AS sh FROM c),
+o AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS m FROM t a JOIN t b ON a.sh = b.sh AND a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * m >= 80 * (na + nb - m)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(id, k) USING KEY (id) AS (SELECT id, id FROM c UNION
+  SELECT id, k FROM (SELECT u.b AS id, min(cc.k) AS k, any_value(r.k) AS old FROM cc JOIN u ON u.a = cc.id JOIN recurring.cc r ON r.id = u.b GROUP BY u.b) WHERE k < old)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, CASE WHEN len(g.s) = 0 THEN g.doc_id ELSE cc.k END AS component_id
+FROM g LEFT JOIN c USING (s) LEFT JOIN cc ON cc.id = c.id"""

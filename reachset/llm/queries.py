@@ -59,6 +59,7 @@ def oracle_sql():
     return {
         "op1_decontamination": decontaminate.leaks_sql(),
         "op2_line_dedup": line_dedup.dedup_sql("documents"),
+        "op3_ngram_jaccard_join": ngram_join.join_sql("documents"),
         "op6_source_mixing": mixing.mix_sql("documents"),
         "op7_substring_dedup": substrings.repeats_sql("documents"),
     }
