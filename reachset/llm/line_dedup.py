@@ -5,22 +5,26 @@ removed if an earlier line, by (doc_id, line number), matches it; what is earlie
 
 1. Tokens are ordered by rarity: a table of BUCKETS counts over all lines, of a fixed size whatever the corpus, gives each
    token's frequency.
-2. A line of n tokens offers its first floor(n / 5) + 1 tokens (prefix filter; below 4 tokens only equal sets match). Lines
-   that share one meet; length filter, positional filter and a 64-bit signature, which bounds how many tokens two lines (of long
-   lines: two prefixes) share, leave those that may match.
-3. These meet under hubs (see ``routing``) with their words, and are joined in order with a prefix index; a line's first
-   match ends its search, so a group of copies costs a step each.
-
-Equal sets are one class: only its first line takes part, and the other lines of the class go without a join. Words are
-compared as 64-bit hashes.
-
-Defined results: null and empty texts, and lines without words, lose nothing; rows that share an id are one document, equal
-lines at equal places in them are one line; a null id comes after all others; an empty table gives an empty result; other
-columns are kept where a whole table is returned.
+2. A line of n tokens offers its first floor(n / 5) + 1 tokens (prefix filter; below 4 tokens only equal sets match). In place
+   of a token that is very frequent it offers the pairs of it with each later token of one place more: lines that first share
+   a token share a second one within that reach, so a frequent token brings no long run of lines together. Lines that share
+   an offer meet; length filter, positional filter and a 64-bit signature, which bounds how many tokens two lines (of long
+   lines: two prefixes) share, leave pairs that may match.
+3. What such pairs connect meets under a hub, its smallest key, with its words, and is joined in order with a prefix index; a
+   line's first match ends its search, so a group of copies costs a step each.
+
+Equal sets are one class (by 128 bits of two hashes): only its first line takes part, and the other lines of the class go
+without a join. Words are compared as 64-bit hashes.
+
+Defined results: null and empty texts, and lines without words, lose nothing; rows that share an id are told apart by their
+texts, and equal rows are one document; a null id comes after all others; an empty table gives an empty result; other
+columns are kept where a whole table is returned. The digest has one row per id, over all rows that share it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,15 +33,21 @@ from pyspark.sql import functions as F
 from .bitmap import LINE_BITS, only_members
 from .ngram_join import grouped
 from .routing import in_blocks, needed_overlap, prefix_length
-from .store import materialize
+from .store import materialize, release
 from .text import Hashed, list_array, mix, pieces, signed
 
 BUCKETS = 1 << 21
 PART = 1 << 14  # buckets in one row of the frequency table
 #: Sets below this size match equal sets only.
 LEAST = 4
-#: Lines that share a token are compared pair by pair up to this number; beyond it neighbours by size are taken together.
-SHORT_RUN = 128
+#: Lines that share an offer are compared pair by pair up to this number; beyond it neighbours by size are taken together.
+LONG_RUN = 16_384
+#: Offers compared at once.
+TOGETHER = 200_000
+#: Occurrences of a token bucket from which its offers are pairs of tokens.
+HOT = 200_000
+#: Line sets that a task remembers as offered.
+REMEMBERED = 500_000
 #: Up to this number of tokens a line's signature covers all of them; beyond it only its prefix, as the bits would fill up.
 WHOLE = 64
 
@@ -52,6 +62,12 @@ class LineTokens:
 
     def ordered(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct tokens (h, line), by line and within a line by rarity, then hash; rank: rarity of each bucket."""
+        if len(self.owner) >= 1 << 22:  # the line does not fit beside the rest of a key
+            order = np.lexsort((self.h, rank[_bucket(self.h)], self.line))
+            h, line = self.h[order], self.line[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+            return h[new], line[new]
         top = self.h >> np.uint64(32)
         key = (self.line.astype(np.uint64) << np.uint64(42)) | (rank[_bucket(self.h)].astype(np.uint64) << np.uint64(32)) | top
         order = np.argsort(key)
@@ -103,11 +119,30 @@ def token_ranks(texts: DataFrame) -> np.ndarray:
     return (np.log2(counts.astype(float) + 1) * 31).astype(np.uint16)
 
 
-LINE = "member long, line_no int, k1 long, k2 long, n int, toks array<long>, mark long"
+LINE = "member long, row long, line_no int, k1 long, k2 long, n int, toks array<long>, places array<int>, mark long"
+
+
+def _offered(h: np.ndarray, line: np.ndarray, start: np.ndarray, n: np.ndarray, fresh: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, place) of every offer of the fresh lines, by line; hot tells which of the tokens h are very frequent."""
+    place = np.arange(len(line)) - start[line]
+    reach = prefix_length(n)[line]
+    early = fresh[line] & (place < reach)
+    single = np.flatnonzero(early & ~hot)
+    first = np.flatnonzero(early & hot)
+    with_later = reach[first] - place[first]  # the places up to reach, that one included, behind this one
+    with_later = np.minimum(with_later, n[line[first]] - 1 - place[first])
+    a = np.repeat(first, with_later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(with_later) - with_later, with_later)
+    with np.errstate(over="ignore"):
+        key = np.concatenate([h[single], mix(h[a] * np.uint64(0x9E3779B97F4A7C15) + h[b])])
+    at = np.concatenate([single, a])
+    order = np.argsort(line[at], kind="stable")
+    return line[at][order], key[order], place[at][order]
 
 
-def _offers(shared):
-    schema = pa.schema([("member", pa.int64()), ("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("mark", pa.int64())])
+def _offers(shared, hot_from: int = HOT):
+    hot_rank = math.log2(hot_from + 1) * 31
+    schema = pa.schema([("member", pa.int64()), ("row", pa.int64()), ("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("mark", pa.int64())])
 
     def run(batches):
         rank, offered = shared.value, set()
@@ -123,86 +158,114 @@ def _offers(shared):
             k1, k2 = signed(k1), signed(k2)
             # a set that this task has offered before is not offered again
             fresh = np.zeros(len(t.owner), bool)
-            for i, k, big in zip(has.tolist(), k1.tolist(), (n[has] >= LEAST).tolist()):
+            if len(offered) > REMEMBERED:
+                offered.clear()
+            for i, k, big in zip(has.tolist(), zip(k1.tolist(), k2.tolist()), (n[has] >= LEAST).tolist()):
                 if big and k not in offered:
                     offered.add(k)
                     fresh[i] = True
             early = np.arange(len(line)) - start[line] < prefix_length(n)[line]
-            offer = fresh[line] & early
-            per_line = np.bincount(line[offer], minlength=len(t.owner))[has]
+            of_line, toks, places = _offered(h, line, start, n, fresh, rank[_bucket(h)] >= hot_rank)
+            per_line = np.bincount(of_line, minlength=len(t.owner))[has]
             mark = np.zeros(len(t.owner), np.uint64)
             covered = fresh[line] & (early | (n[line] <= WHOLE))
             np.bitwise_or.at(mark, line[covered], np.uint64(1) << ((h[covered] >> np.uint64(7)) & np.uint64(63)))
-            ids = piece.column("member").to_numpy()
+            ids, rows = piece.column("member").to_numpy(), piece.column("row").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[t.owner[has]]), pa.array(t.number[has].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n[has].astype(np.int32)), list_array(signed(h[offer]), per_line, pa.int64()), pa.array(signed(mark[has]))],
+                [
+                    pa.array(ids[t.owner[has]]), pa.array(rows[t.owner[has]]), pa.array(t.number[has].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n[has].astype(np.int32)),
+                    list_array(signed(toks), per_line, pa.int64()), list_array(places.astype(np.int32), per_line, pa.int32()), pa.array(signed(mark[has])),
+                ],
                 schema=schema,
             )
 
     return run
 
 
+def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    up = parent[x]
+    while (up != x).any():
+        x, up = up, parent[up]
+    return x
+
+
 def _near_rows(t: pa.Table):
-    """(hub, member) of the lines in sorted token runs that may match another line of their run."""
-    schema = pa.schema([("hub", pa.int64()), ("member", pa.int64())])
+    """(hub, member) of the lines in sorted offer runs that may match another line of their run; possible pairs have a hub in common."""
     tok = t.column("tok").to_numpy()
     same = tok[1:] == tok[:-1]
-    shared = np.append(same, False) | np.append(False, same)
+    shared = np.append(same, False) | np.append(False, same) if len(tok) else np.zeros(0, bool)
     tok, key, n, place, mark = tok[shared], *(t.column(c).to_numpy()[shared] for c in ("k1", "n", "place", "mark"))
-    if not len(tok):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], schema=schema)
     order = np.lexsort((key, n, tok))
     # several tasks may offer a class
-    new = np.append(True, (tok[order][1:] != tok[order][:-1]) | (key[order][1:] != key[order][:-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = (tok[order][1:] != tok[order][:-1]) | (key[order][1:] != key[order][:-1])
     order = order[new]
     tok, key, n, place, mark = tok[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64), mark[order].view(np.uint64)
     spare = np.where(n <= WHOLE, n, prefix_length(n)) - np.bitwise_count(mark)
-    cuts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+    change = np.ones(len(tok), bool)
+    change[1:] = tok[1:] != tok[:-1]
+    cuts = np.flatnonzero(change)
     length = np.diff(np.append(cuts, len(tok)))
     run = np.repeat(np.arange(len(cuts)), length)
-    alive = length[run] > SHORT_RUN
-    open_ = np.arange(len(tok))  # rows whose run may reach the next distance
-    for d in range(1, SHORT_RUN):
+    parent = np.arange(len(tok))
+    # in a run that is too long, whatever a chain of fitting sizes connects may match
+    chained = np.flatnonzero((length[run][1:] > LONG_RUN) & (run[1:] == run[:-1]) & (5 * n[:-1] >= 4 * n[1:])) + 1
+    head = np.arange(len(tok))
+    head[chained] = 0
+    parent = np.maximum.accumulate(head)
+    open_ = np.flatnonzero(length[run] <= LONG_RUN)  # rows whose run may reach the next distance
+    d = 0
+    while len(open_):
+        d += 1
         open_ = open_[open_ + d < len(tok)]
-        open_ = open_[(run[open_] == run[open_ + d]) & (length[run[open_]] <= SHORT_RUN)]
+        open_ = open_[run[open_] == run[open_ + d]]
         open_ = open_[5 * n[open_] >= 4 * n[open_ + d]]  # sizes rise within a run
-        if not len(open_):
-            break
+        if d & (d - 1) == 0 and d >= 16 and len(open_):  # runs that are joined already
+            root = _find(parent, np.arange(len(tok)))
+            low, high = np.minimum.reduceat(root, cuts), np.maximum.reduceat(root, cuts)
+            open_ = open_[(low != high)[run[open_]]]
         a, b = open_, open_ + d
         need = needed_overlap(n[a], n[b])
-        ok = (key[a] != key[b]) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= need)
+        ok = np.minimum(n[a] - place[a], n[b] - place[b]) >= need
         a, b, need = a[ok], b[ok], need[ok]
         # the prefix that ends first in the token order lies within the other's reach, so the prefixes share what it can't lack
         share = np.where(n[b] <= WHOLE, need, np.minimum(prefix_length(n[a]) - n[a], prefix_length(n[b]) - n[b]) + need)
         share[(n[a] <= WHOLE) & (n[b] > WHOLE)] = 0  # signatures of different kinds tell nothing
         ok = np.bitwise_count(mark[a] & mark[b]) + np.minimum(spare[a], spare[b]) >= share
-        alive[a[ok]] = True
-        alive[b[ok]] = True
-    tok, key, n = tok[alive], key[alive], n[alive]
-    if not len(tok):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], schema=schema)
-    # what shares a token and a chain of fitting sizes meets under the smallest key
-    chain = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (5 * n[:-1] < 4 * n[1:])))
-    hub = np.repeat(np.minimum.reduceat(key, chain), np.diff(np.append(chain, len(tok))))
-    found = np.unique(np.stack([hub, key], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+        a, b = a[ok], b[ok]
+        ra, rb = _find(parent, a), _find(parent, b)
+        for x, y in zip(ra[ra != rb].tolist(), rb[ra != rb].tolist()):
+            while parent[x] != x:
+                x = int(parent[x])
+            while parent[y] != y:
+                y = int(parent[y])
+            parent[max(x, y)] = min(x, y)
+    root = _find(parent, np.arange(len(tok)))
+    alive = np.bincount(root, minlength=len(tok))[root] > 1
+    hub = np.full(len(tok), np.iinfo(np.int64).max)
+    np.minimum.at(hub, root, key)
+    found = np.unique(np.stack([hub[root][alive], key[alive]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["hub", "member"])
 
 
 def _near(batches):
-    """Whole token runs at a time; the last run of a batch waits for its rest."""
+    """Whole offer runs at a time; the last run of the rows held waits for its rest."""
     held: list[pa.RecordBatch] = []
+    rows, enough = 0, TOGETHER
     for batch in batches:
         if not batch.num_rows:
             continue
-        tok = batch.column("tok").to_numpy()
-        cut = int(np.searchsorted(tok, tok[-1]))
-        if cut == 0 and held and held[-1].column("tok")[0].as_py() == tok[0]:
-            held.append(batch)
-            continue
-        rows = pa.Table.from_batches([*held, batch.slice(0, cut)])
-        if rows.num_rows:
-            yield _near_rows(rows)
-        held = [batch.slice(cut)]
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= enough:
+            t = pa.Table.from_batches(held)
+            tok = t.column("tok").to_numpy()
+            cut = int(np.searchsorted(tok, tok[-1]))
+            if cut:
+                yield _near_rows(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+            rows -= cut
+            enough = max(TOGETHER, 2 * rows)
     if held:
         yield _near_rows(pa.Table.from_batches(held))
 
@@ -233,27 +296,23 @@ def _whole_groups(batches, keys: tuple[str, ...]):
         yield pa.Table.from_batches(held)
 
 
-def _late_rows(t: pa.Table, rank: np.ndarray) -> np.ndarray:
-    """Keys of the classes for which an earlier class of their group matches; t holds whole groups (hub, i, j)."""
+def _late_rows(t: pa.Table, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (k1, k2) of the classes for which an earlier class of their group matches; t holds whole groups (hub, i, j)."""
     group = np.cumsum(_changes(t, ("hub", "i", "j")))
-    order = np.lexsort((t.column("line_no").to_numpy(), t.column("doc").to_numpy(), group))
-    keys, group = t.column("member").to_numpy()[order], group[order]
+    order = np.lexsort((t.column("row").to_numpy(), t.column("line_no").to_numpy(), t.column("doc").to_numpy(), group))
+    keys, second, group = t.column("k1").to_numpy()[order], t.column("k2").to_numpy()[order], group[order]
     h, line = LineTokens(t.column("line").combine_chunks().take(pa.array(order))).ordered(rank)
-    # rows that share an id may have another line at the place sought, and repeated rows bring a line twice
-    sums = np.zeros(len(keys), np.uint64)
-    np.add.at(sums, line, mix(h))
-    sought = np.flatnonzero(signed(sums) == keys)
-    first = np.lexsort((sought, keys[sought], group[sought]))
-    sought = sought[first]
-    new = np.ones(len(sought), bool)
-    new[1:] = (keys[sought][1:] != keys[sought][:-1]) | (group[sought][1:] != group[sought][:-1])
+    # repeated rows bring a line twice
+    first = np.lexsort((np.arange(len(keys)), second, keys, group))
+    new = np.ones(len(first), bool)
+    new[1:] = (keys[first][1:] != keys[first][:-1]) | (second[first][1:] != second[first][:-1]) | (group[first][1:] != group[first][:-1])
     ends = np.cumsum(np.bincount(line, minlength=len(keys)))
     ordered = h.tolist()
     index: dict[int, list[tuple[int, int]]] = {}
     sets: dict[int, set[int]] = {}
     late = []
     now = -1
-    for x in np.sort(sought[new]).tolist():
+    for x in np.sort(first[new]).tolist():
         if group[x] != now:
             now = group[x]
             index.clear()
@@ -282,47 +341,49 @@ def _late_rows(t: pa.Table, rank: np.ndarray) -> np.ndarray:
             index.setdefault(tok, []).append((x, place))
         if match:
             late.append(x)
-    return np.unique(keys[late]) if late else keys[:0]
+    return keys[late], second[late]
 
 
 def _late(shared):
     def run(batches):
         for t in _whole_groups(pieces(batches, "line"), ("hub", "i", "j")):
-            late = _late_rows(t, shared.value)
-            if len(late):
-                yield pa.RecordBatch.from_arrays([pa.array(late)], names=["k1"])
+            k1, k2 = _late_rows(t, shared.value)
+            if len(k1):
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2)], names=["k1", "k2"])
 
     return run
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """member: the id, a null one after all others."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("member"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """member: the id, a null one after all others; row: a hash of the text, which tells rows of one id apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("member"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def judge_lines(docs: DataFrame) -> DataFrame:
-    """(member, line_no, gone) for every line with a word; member is the id, the largest long for a null one."""
+def judge_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(member, row, line_no, gone) for every line with a word; member is the id, the largest long for a null one."""
     spark = docs.sparkSession
     rows = _rows(docs)
     shared = spark.sparkContext.broadcast(token_ranks(rows.select("text")))
-    lines = materialize(rows.mapInArrow(_offers(shared), LINE), "lines")
-    first = lines.groupBy("k1").agg(F.min(F.struct("member", "line_no")).alias("f"), F.max("n").alias("n"), (F.min("k2") < F.max("k2")).alias("clash"))
-    first = first.filter(F.when(F.col("clash"), F.raise_error(F.lit("two line sets share a 64-bit key")).cast("boolean")).otherwise(F.lit(True)))
-    first = materialize(first.select("k1", F.col("f.member").alias("doc"), F.col("f.line_no").alias("line_no"), "n"), "line-classes")
-    offers = lines.filter(F.size("toks") > 0).select(F.posexplode("toks").alias("place", "tok"), "k1", "n", "mark")
-    near = offers.select("tok", "k1", "n", "place", "mark").repartition("tok").sortWithinPartitions("tok").mapInArrow(_near, "hub long, member long")
+    lines = materialize(rows.mapInArrow(_offers(shared, hot), LINE), "lines")
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("member", "line_no", "row")).alias("f"), F.max("n").alias("n"))
+    first = materialize(first.select("k1", "k2", F.col("f.member").alias("doc"), F.col("f.row").alias("row"), F.col("f.line_no").alias("line_no"), "n"), "line-classes")
+    offers = lines.filter(F.size("toks") > 0).select(F.explode(F.arrays_zip("toks", "places")).alias("o"), "k1", "n", "mark").select(F.col("o.toks").alias("tok"), "k1", "n", F.col("o.places").alias("place"), "mark")
+    near = offers.repartition("tok").sortWithinPartitions("tok").mapInArrow(_near, "hub long, member long")
     near = materialize(near.distinct(), "line-near")
-    wanted = materialize(near.select(F.col("member").alias("k1")).distinct().join(first, "k1"), "line-wanted")
-    tasks = in_blocks(near.join(wanted.withColumnRenamed("k1", "member"), "member"), "n").select("hub", "i", "j", "member", "doc", "line_no")
+    wanted = near.select(F.col("member").alias("k1")).distinct().join(first, "k1")
+    wanted = materialize(wanted, "line-wanted")
+    tasks = in_blocks(near.join(wanted.withColumnRenamed("k1", "member"), "member"), "n").select("hub", "i", "j", F.col("member").alias("k1"), "k2", "doc", "row", "line_no")
     # single lines, not texts, are moved: of a long text only the few lines that may match
-    lines_of = rows.select(F.col("member").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    found = only_members(lines_of, wanted.select("doc", "line_no"), "doc", "line_no", bits=LINE_BITS)
-    tasks = tasks.hint("merge").join(found, ["doc", "line_no"])  # no size bound: never broadcast
-    tasks = tasks.select("hub", "i", "j", "member", "doc", "line_no", "line").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    late = materialize(tasks.mapInArrow(_late(shared), "k1 long").distinct(), "line-late")
-    heads = first.select("k1", F.col("doc").alias("d"), F.col("line_no").alias("l")).join(late.withColumn("late", F.lit(True)), "k1", "left")
-    gone = (F.col("member") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.coalesce("late", F.lit(False))
-    return lines.select("member", "line_no", "k1").join(heads, "k1").select("member", "line_no", gone.alias("gone"))
+    lines_of = rows.select(F.col("member").alias("doc"), "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    found = only_members(lines_of, wanted.select("doc", "row", "line_no"), "doc", "row", "line_no", bits=LINE_BITS)
+    tasks = tasks.hint("merge").join(found, ["doc", "row", "line_no"])  # no size bound: never broadcast
+    tasks = tasks.select("hub", "i", "j", "k1", "k2", "doc", "row", "line_no", "line").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    late = materialize(tasks.mapInArrow(_late(shared), "k1 long, k2 long").distinct(), "line-late")
+    release(near, wanted)
+    heads = first.select("k1", "k2", F.col("doc").alias("d"), F.col("row").alias("r"), F.col("line_no").alias("l")).join(late.withColumn("late", F.lit(True)), ["k1", "k2"], "left")
+    gone = (F.col("member") != F.col("d")) | (F.col("line_no") != F.col("l")) | (F.col("row") != F.col("r")) | F.coalesce("late", F.lit(False))
+    return lines.select("member", "row", "line_no", "k1", "k2").join(heads, ["k1", "k2"]).select("member", "row", "line_no", gone.alias("gone"))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -346,8 +407,9 @@ def _without(text: Column, gone: Column) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the removed lines taken out of text; rows and columns stay."""
-    gone = judge_lines(docs).filter("gone").groupBy(F.col("member").alias("member__")).agg(F.collect_set("line_no").alias("gone__"))
-    out = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("member__"), "left")
+    gone = judge_lines(docs).filter("gone").groupBy(F.col("member").alias("member__"), F.col("row").alias("row__")).agg(F.collect_set("line_no").alias("gone__"))
+    own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("member__")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("row__"))
+    out = docs.join(gone, own, "left")
     return out.withColumn("text", _without(docs["text"], F.col("gone__"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -200,7 +200,8 @@ def test_default_policy_keeps_long_texts(spark):
     assert {r.doc_id: r.kept for r in quality.apply_policy(ledger, "web-1").collect()} == {1: False, 2: False}
 
 
-def test_line_candidates_keep_similar_lines():
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 0])
+def test_line_candidates_keep_similar_lines(hot):
     """Lines of sizes on both sides of the signatures' switch: every similar pair must come out under a common hub."""
     rng = np.random.default_rng(5)
     lines = []
@@ -212,16 +213,16 @@ def test_line_candidates_keep_similar_lines():
                 words.insert(int(rng.integers(0, len(words) + 1)), f"e{rng.integers(0, 10**6)}")
             lines.append(" ".join(words))
     rank = np.zeros(line_dedup.BUCKETS, np.uint16)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], names=["member", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], names=["member", "row", "text"])
     shared = type("Shared", (), {"value": rank})
-    rows = pa.Table.from_batches(list(line_dedup._offers(shared)([batch]))).to_pylist()
-    offers = sorted((tok, r["k1"], r["n"], place, r["mark"]) for r in rows for place, tok in enumerate(r["toks"]))
+    rows = pa.Table.from_batches(list(line_dedup._offers(shared, hot)([batch]))).to_pylist()
+    offers = sorted((tok, r["k1"], r["n"], place, r["mark"]) for r in rows for place, tok in zip(r["places"], r["toks"]))
     offers += offers[:50]  # offered again by another task
     table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(offers)), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["tok", "k1", "n", "place", "mark"])
     hubs: dict = {}
     for r in pa.Table.from_batches([line_dedup._near_rows(table)]).to_pylist():
         hubs.setdefault(r["hub"], set()).add(r["member"])
-    sets = [(r["k1"], {tuple(w) for w in zip(x.split(), x.split()[1:])}) for r, x in zip(rows, lines)]
+    sets = [(r["k1"], set(x.split())) for r, x in zip(rows, lines)]
     similar = [(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if a != b and 5 * len(s & t) >= 4 * len(s | t)]
     assert any(min(len(s) for k, s in sets if k in p) <= line_dedup.WHOLE < max(len(s) for k, s in sets if k in p) for p in similar)
     assert all(any({a, b} <= m for m in hubs.values()) for a, b in similar)
@@ -231,8 +232,7 @@ def test_line_dedup(docs):
     lines = [(sys.maxsize if i is None else i, k, x) for i, t in TEXTS for k, x in enumerate((t or "").split("\n"))]
 
     def tokens(x):
-        w = SPLIT.findall(lower(x))
-        return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w)
+        return frozenset(SPLIT.findall(lower(x)))
 
     sets = [(i, k, tokens(x)) for i, k, x in lines if tokens(x)]
     gone = {(i, k) for i, k, a in sets for j, m, b in sets if (j, m) < (i, k) and 9 * len(a & b) >= 4 * (len(a) + len(b))}
