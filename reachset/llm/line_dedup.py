@@ -8,7 +8,7 @@ removed if an earlier line, by (doc_id, line number), matches it; what is earlie
 2. A line of n tokens offers its first floor(n / 5) + 1 tokens (prefix filter; below 4 tokens only equal sets match). In place
    of a token that is very frequent it offers the pairs of it with each later token of one place more: lines that first share
    a token share a second one within that reach, so a frequent token brings no long run of lines together. Lines that share
-   an offer meet; length filter, positional filter and a 64-bit signature, which bounds how many tokens two lines (of long
+   an offer meet; length filter, positional filter and a 128-bit signature, which bounds how many tokens two lines (of long
    lines: two prefixes) share, leave pairs that may match.
 3. What such pairs connect meets under a hub, its smallest key, with its words, and is joined in order with a prefix index; a
    line's first match ends its search, so a group of copies costs a step each.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import LINE_BITS, only_members
+from .bitmap import LINE_BITS, bitmap_of, test_bits
 from .ngram_join import grouped
 from .routing import in_blocks, needed_overlap, prefix_length
 from .store import materialize, release
@@ -49,7 +49,7 @@ HOT = 200_000
 #: Line sets that a task remembers as offered.
 REMEMBERED = 500_000
 #: Up to this number of tokens a line's signature covers all of them; beyond it only its prefix, as the bits would fill up.
-WHOLE = 64
+WHOLE = 128
 
 
 class LineTokens:
@@ -119,7 +119,7 @@ def token_ranks(texts: DataFrame) -> np.ndarray:
     return (np.log2(counts.astype(float) + 1) * 31).astype(np.uint16)
 
 
-LINE = "member long, row long, line_no int, k1 long, k2 long, n int, toks array<long>, places array<int>, mark long"
+LINE = "member long, row long, line_no int, k1 long, k2 long, n int, toks array<long>, places array<int>, mark long, mark2 long"
 
 
 def _offered(h: np.ndarray, line: np.ndarray, start: np.ndarray, n: np.ndarray, fresh: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def _offered(h: np.ndarray, line: np.ndarray, start: np.ndarray, n: np.ndarray,
 
 def _offers(shared, hot_from: int = HOT):
     hot_rank = math.log2(hot_from + 1) * 31
-    schema = pa.schema([("member", pa.int64()), ("row", pa.int64()), ("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("mark", pa.int64())])
+    schema = pa.schema([("member", pa.int64()), ("row", pa.int64()), ("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("mark", pa.int64()), ("mark2", pa.int64())])
 
     def run(batches):
         rank, offered = shared.value, set()
@@ -167,14 +167,15 @@ def _offers(shared, hot_from: int = HOT):
             early = np.arange(len(line)) - start[line] < prefix_length(n)[line]
             of_line, toks, places = _offered(h, line, start, n, fresh, rank[_bucket(h)] >= hot_rank)
             per_line = np.bincount(of_line, minlength=len(t.owner))[has]
-            mark = np.zeros(len(t.owner), np.uint64)
+            mark = np.zeros((len(t.owner), 2), np.uint64)
             covered = fresh[line] & (early | (n[line] <= WHOLE))
-            np.bitwise_or.at(mark, line[covered], np.uint64(1) << ((h[covered] >> np.uint64(7)) & np.uint64(63)))
+            of, x = line[covered], h[covered] >> np.uint64(7)
+            np.bitwise_or.at(mark, (of, ((x >> np.uint64(6)) & np.uint64(1)).astype(np.int64)), np.uint64(1) << (x & np.uint64(63)))
             ids, rows = piece.column("member").to_numpy(), piece.column("row").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[t.owner[has]]), pa.array(rows[t.owner[has]]), pa.array(t.number[has].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n[has].astype(np.int32)),
-                    list_array(signed(toks), per_line, pa.int64()), list_array(places.astype(np.int32), per_line, pa.int32()), pa.array(signed(mark[has])),
+                    list_array(signed(toks), per_line, pa.int64()), list_array(places.astype(np.int32), per_line, pa.int32()), pa.array(signed(mark[has, 0])), pa.array(signed(mark[has, 1])),
                 ],
                 schema=schema,
             )
@@ -194,14 +195,14 @@ def _near_rows(t: pa.Table):
     tok = t.column("tok").to_numpy()
     same = tok[1:] == tok[:-1]
     shared = np.append(same, False) | np.append(False, same) if len(tok) else np.zeros(0, bool)
-    tok, key, n, place, mark = tok[shared], *(t.column(c).to_numpy()[shared] for c in ("k1", "n", "place", "mark"))
+    tok, key, n, place, mark, mark2 = tok[shared], *(t.column(c).to_numpy()[shared] for c in ("k1", "n", "place", "mark", "mark2"))
     order = np.lexsort((key, n, tok))
     # several tasks may offer a class
     new = np.ones(len(order), bool)
     new[1:] = (tok[order][1:] != tok[order][:-1]) | (key[order][1:] != key[order][:-1])
     order = order[new]
-    tok, key, n, place, mark = tok[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64), mark[order].view(np.uint64)
-    spare = np.where(n <= WHOLE, n, prefix_length(n)) - np.bitwise_count(mark)
+    tok, key, n, place, mark = tok[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64), np.stack([mark[order], mark2[order]], axis=1).view(np.uint64)
+    spare = np.where(n <= WHOLE, n, prefix_length(n)) - np.bitwise_count(mark).sum(axis=1, dtype=np.int64)
     change = np.ones(len(tok), bool)
     change[1:] = tok[1:] != tok[:-1]
     cuts = np.flatnonzero(change)
@@ -231,7 +232,7 @@ def _near_rows(t: pa.Table):
         # the prefix that ends first in the token order lies within the other's reach, so the prefixes share what it can't lack
         share = np.where(n[b] <= WHOLE, need, np.minimum(prefix_length(n[a]) - n[a], prefix_length(n[b]) - n[b]) + need)
         share[(n[a] <= WHOLE) & (n[b] > WHOLE)] = 0  # signatures of different kinds tell nothing
-        ok = np.bitwise_count(mark[a] & mark[b]) + np.minimum(spare[a], spare[b]) >= share
+        ok = np.bitwise_count(mark[a] & mark[b]).sum(axis=1, dtype=np.int64) + np.minimum(spare[a], spare[b]) >= share
         a, b = a[ok], b[ok]
         ra, rb = _find(parent, a), _find(parent, b)
         for x, y in zip(ra[ra != rb].tolist(), rb[ra != rb].tolist()):
@@ -360,6 +361,45 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("member"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
+#: Odd factor below 2^32, so that its product with a line number fits in 63 bits.
+SPREAD = 2654435761
+
+
+def _line_key(row: Column, line_no: Column) -> Column:
+    """The row's text hash and the line number in one number; see ``_lines_of``."""
+    return row.bitwiseXOR(line_no.cast("long") * F.lit(SPREAD))
+
+
+def _lines_of(shared):
+    """The lines whose bit is set, with their places; of a long text only the few that are sought."""
+
+    def run(batches):
+        for piece in pieces(batches, "text"):
+            texts = piece.column("text")
+            n = piece.num_rows
+            where = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4).astype(np.int64)
+            buf = np.frombuffer(texts.buffers()[2], np.uint8, int(where[-1])) if where[-1] else np.zeros(0, np.uint8)
+            feeds = np.flatnonzero(buf[where[0] : where[-1]] == 10) + where[0]
+            per_text = np.searchsorted(feeds, where[1:]) - np.searchsorted(feeds, where[:-1])
+            owner = np.repeat(np.arange(n), per_text + 1)
+            first = np.cumsum(per_text + 1) - per_text - 1
+            number = np.arange(len(owner)) - first[owner]
+            # a line starts at its text's start or behind a feed, and ends at a feed or its text's end
+            starts, ends = np.empty(len(owner), np.int64), np.empty(len(owner), np.int64)
+            starts[number > 0], starts[first] = feeds + 1, where[:-1]
+            ends[np.append(number[1:] > 0, False)], ends[first + per_text] = feeds, where[1:]
+            row = piece.column("row").to_numpy()
+            key = row[owner].view(np.uint64) ^ (number * SPREAD).view(np.uint64)
+            at = np.flatnonzero(test_bits(shared.value, key))
+            if len(at):
+                lines = [buf[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(piece.column("member").to_numpy()[owner[at]]), pa.array(row[owner[at]]), pa.array(number[at].astype(np.int32)), pa.array(lines, pa.string())], names=["doc", "row", "line_no", "line"]
+                )
+
+    return run
+
+
 def judge_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(member, row, line_no, gone) for every line with a word; member is the id, the largest long for a null one."""
     spark = docs.sparkSession
@@ -368,15 +408,15 @@ def judge_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     lines = materialize(rows.mapInArrow(_offers(shared, hot), LINE), "lines")
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct("member", "line_no", "row")).alias("f"), F.max("n").alias("n"))
     first = materialize(first.select("k1", "k2", F.col("f.member").alias("doc"), F.col("f.row").alias("row"), F.col("f.line_no").alias("line_no"), "n"), "line-classes")
-    offers = lines.filter(F.size("toks") > 0).select(F.explode(F.arrays_zip("toks", "places")).alias("o"), "k1", "n", "mark").select(F.col("o.toks").alias("tok"), "k1", "n", F.col("o.places").alias("place"), "mark")
+    offers = lines.filter(F.size("toks") > 0).select(F.explode(F.arrays_zip("toks", "places")).alias("o"), "k1", "n", "mark", "mark2").select(F.col("o.toks").alias("tok"), "k1", "n", F.col("o.places").alias("place"), "mark", "mark2")
     near = offers.repartition("tok").sortWithinPartitions("tok").mapInArrow(_near, "hub long, member long")
     near = materialize(near.distinct(), "line-near")
     wanted = near.select(F.col("member").alias("k1")).distinct().join(first, "k1")
     wanted = materialize(wanted, "line-wanted")
     tasks = in_blocks(near.join(wanted.withColumnRenamed("k1", "member"), "member"), "n").select("hub", "i", "j", F.col("member").alias("k1"), "k2", "doc", "row", "line_no")
     # single lines, not texts, are moved: of a long text only the few lines that may match
-    lines_of = rows.select(F.col("member").alias("doc"), "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    found = only_members(lines_of, wanted.select("doc", "row", "line_no"), "doc", "row", "line_no", bits=LINE_BITS)
+    bits = spark.sparkContext.broadcast(bitmap_of(wanted, _line_key(F.col("row"), F.col("line_no")), LINE_BITS))
+    found = rows.mapInArrow(_lines_of(bits), "doc long, row long, line_no int, line string")
     tasks = tasks.hint("merge").join(found, ["doc", "row", "line_no"])  # no size bound: never broadcast
     tasks = tasks.select("hub", "i", "j", "k1", "k2", "doc", "row", "line_no", "line").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     late = materialize(tasks.mapInArrow(_late(shared), "k1 long, k2 long").distinct(), "line-late")
