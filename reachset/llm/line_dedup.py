@@ -8,8 +8,8 @@ removed if an earlier line, by (doc_id, line number), matches it; what is earlie
 2. A line of n tokens offers its first floor(n / 5) + 1 tokens (prefix filter; below 4 tokens only equal sets match). In place
    of a token that is very frequent it offers the pairs of it with each later token of one place more: lines that first share
    a token share a second one within that reach, so a frequent token brings no long run of lines together. Lines that share
-   an offer meet; length filter, positional filter and a 128-bit signature, which bounds how many tokens two lines (of long
-   lines: two prefixes) share, leave pairs that may match.
+   an offer meet; length filter, positional filter and a signature of 128 bits (of long lines, 256), which
+   bounds how many tokens two lines share, leave pairs that may match.
 3. What such pairs connect meets under a hub, its smallest key, with its words, and is joined in order with a prefix index; a
    line's first match ends its search, so a group of copies costs a step each.
 
@@ -48,7 +48,7 @@ TOGETHER = 200_000
 HOT = 200_000
 #: Line sets that a task remembers as offered.
 REMEMBERED = 500_000
-#: Up to this number of tokens a line's signature covers all of them; beyond it only its prefix, as the bits would fill up.
+#: Beyond this number of tokens a line has the longer signature as well, as 128 bits would fill up.
 WHOLE = 128
 
 
@@ -119,7 +119,7 @@ def token_ranks(texts: DataFrame) -> np.ndarray:
     return (np.log2(counts.astype(float) + 1) * 31).astype(np.uint16)
 
 
-LINE = "member long, row long, line_no int, k1 long, k2 long, n int, toks array<long>, places array<int>, mark long, mark2 long"
+LINE = "member long, row long, line_no int, k1 long, k2 long, n int, toks array<long>, places array<int>, mark long, mark2 long, more binary"
 
 
 def _offered(h: np.ndarray, line: np.ndarray, start: np.ndarray, n: np.ndarray, fresh: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def _offered(h: np.ndarray, line: np.ndarray, start: np.ndarray, n: np.ndarray,
 
 def _offers(shared, hot_from: int = HOT):
     hot_rank = math.log2(hot_from + 1) * 31
-    schema = pa.schema([("member", pa.int64()), ("row", pa.int64()), ("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("mark", pa.int64()), ("mark2", pa.int64())])
+    schema = pa.schema([("member", pa.int64()), ("row", pa.int64()), ("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("mark", pa.int64()), ("mark2", pa.int64()), ("more", pa.binary())])
 
     def run(batches):
         rank, offered = shared.value, set()
@@ -164,18 +164,19 @@ def _offers(shared, hot_from: int = HOT):
                 if big and k not in offered:
                     offered.add(k)
                     fresh[i] = True
-            early = np.arange(len(line)) - start[line] < prefix_length(n)[line]
             of_line, toks, places = _offered(h, line, start, n, fresh, rank[_bucket(h)] >= hot_rank)
             per_line = np.bincount(of_line, minlength=len(t.owner))[has]
-            mark = np.zeros((len(t.owner), 2), np.uint64)
-            covered = fresh[line] & (early | (n[line] <= WHOLE))
+            bits = np.zeros((len(t.owner), 4), np.uint64)
+            covered = fresh[line]
             of, x = line[covered], h[covered] >> np.uint64(7)
-            np.bitwise_or.at(mark, (of, ((x >> np.uint64(6)) & np.uint64(1)).astype(np.int64)), np.uint64(1) << (x & np.uint64(63)))
+            np.bitwise_or.at(bits, (of, ((x >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (x & np.uint64(63)))
+            mark = bits[:, :2] | bits[:, 2:]
+            more = [b.tobytes() if long else None for b, long in zip(bits[has], (n[has] > WHOLE) & fresh[has])]
             ids, rows = piece.column("member").to_numpy(), piece.column("row").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[t.owner[has]]), pa.array(rows[t.owner[has]]), pa.array(t.number[has].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n[has].astype(np.int32)),
-                    list_array(signed(toks), per_line, pa.int64()), list_array(places.astype(np.int32), per_line, pa.int32()), pa.array(signed(mark[has, 0])), pa.array(signed(mark[has, 1])),
+                    list_array(signed(toks), per_line, pa.int64()), list_array(places.astype(np.int32), per_line, pa.int32()), pa.array(signed(mark[has, 0])), pa.array(signed(mark[has, 1])), pa.array(more, pa.binary()),
                 ],
                 schema=schema,
             )
@@ -195,6 +196,7 @@ def _near_rows(t: pa.Table):
     tok = t.column("tok").to_numpy()
     same = tok[1:] == tok[:-1]
     shared = np.append(same, False) | np.append(False, same) if len(tok) else np.zeros(0, bool)
+    where = np.flatnonzero(shared)
     tok, key, n, place, mark, mark2 = tok[shared], *(t.column(c).to_numpy()[shared] for c in ("k1", "n", "place", "mark", "mark2"))
     order = np.lexsort((key, n, tok))
     # several tasks may offer a class
@@ -202,7 +204,11 @@ def _near_rows(t: pa.Table):
     new[1:] = (tok[order][1:] != tok[order][:-1]) | (key[order][1:] != key[order][:-1])
     order = order[new]
     tok, key, n, place, mark = tok[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64), np.stack([mark[order], mark2[order]], axis=1).view(np.uint64)
-    spare = np.where(n <= WHOLE, n, prefix_length(n)) - np.bitwise_count(mark).sum(axis=1, dtype=np.int64)
+    spare = n - np.bitwise_count(mark).sum(axis=1, dtype=np.int64)
+    long = np.flatnonzero(n > WHOLE)
+    more = np.frombuffer(b"".join(t.column("more").take(pa.array(where[order[long]])).to_pylist()), np.uint64).reshape(-1, 4)
+    spare_long = n[long] - np.bitwise_count(more).sum(axis=1, dtype=np.int64)
+    place_long = np.cumsum(n > WHOLE) - 1
     change = np.ones(len(tok), bool)
     change[1:] = tok[1:] != tok[:-1]
     cuts = np.flatnonzero(change)
@@ -229,10 +235,10 @@ def _near_rows(t: pa.Table):
         need = needed_overlap(n[a], n[b])
         ok = np.minimum(n[a] - place[a], n[b] - place[b]) >= need
         a, b, need = a[ok], b[ok], need[ok]
-        # the prefix that ends first in the token order lies within the other's reach, so the prefixes share what it can't lack
-        share = np.where(n[b] <= WHOLE, need, np.minimum(prefix_length(n[a]) - n[a], prefix_length(n[b]) - n[b]) + need)
-        share[(n[a] <= WHOLE) & (n[b] > WHOLE)] = 0  # signatures of different kinds tell nothing
-        ok = np.bitwise_count(mark[a] & mark[b]).sum(axis=1, dtype=np.int64) + np.minimum(spare[a], spare[b]) >= share
+        ok = np.bitwise_count(mark[a] & mark[b]).sum(axis=1, dtype=np.int64) + np.minimum(spare[a], spare[b]) >= need
+        both = np.flatnonzero(ok & (n[a] > WHOLE))  # b is no smaller
+        x, y = place_long[a[both]], place_long[b[both]]
+        ok[both] = np.bitwise_count(more[x] & more[y]).sum(axis=1, dtype=np.int64) + np.minimum(spare_long[x], spare_long[y]) >= need[both]
         a, b = a[ok], b[ok]
         ra, rb = _find(parent, a), _find(parent, b)
         for x, y in zip(ra[ra != rb].tolist(), rb[ra != rb].tolist()):
@@ -406,12 +412,12 @@ def judge_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = _rows(docs)
     shared = spark.sparkContext.broadcast(token_ranks(rows.select("text")))
     lines = materialize(rows.mapInArrow(_offers(shared, hot), LINE), "lines")
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("member", "line_no", "row")).alias("f"), F.max("n").alias("n"))
-    first = materialize(first.select("k1", "k2", F.col("f.member").alias("doc"), F.col("f.row").alias("row"), F.col("f.line_no").alias("line_no"), "n"), "line-classes")
-    offers = lines.filter(F.size("toks") > 0).select(F.explode(F.arrays_zip("toks", "places")).alias("o"), "k1", "n", "mark", "mark2").select(F.col("o.toks").alias("tok"), "k1", "n", F.col("o.places").alias("place"), "mark", "mark2")
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("member", "line_no", "row")).alias("f"), F.max("n").alias("n"), F.count("*").alias("times"))
+    first = materialize(first.select("k1", "k2", F.col("f.member").alias("doc"), F.col("f.row").alias("row"), F.col("f.line_no").alias("line_no"), "n", "times"), "line-classes")
+    offers = lines.filter(F.size("toks") > 0).select(F.explode(F.arrays_zip("toks", "places")).alias("o"), "k1", "n", "mark", "mark2", "more").select(F.col("o.toks").alias("tok"), "k1", "n", F.col("o.places").alias("place"), "mark", "mark2", "more")
     near = offers.repartition("tok").sortWithinPartitions("tok").mapInArrow(_near, "hub long, member long")
     near = materialize(near.distinct(), "line-near")
-    wanted = near.select(F.col("member").alias("k1")).distinct().join(first, "k1")
+    wanted = near.select(F.col("member").alias("k1")).distinct().join(first.drop("times"), "k1")
     wanted = materialize(wanted, "line-wanted")
     tasks = in_blocks(near.join(wanted.withColumnRenamed("k1", "member"), "member"), "n").select("hub", "i", "j", F.col("member").alias("k1"), "k2", "doc", "row", "line_no")
     # single lines, not texts, are moved: of a long text only the few lines that may match
@@ -421,9 +427,11 @@ def judge_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     tasks = tasks.select("hub", "i", "j", "k1", "k2", "doc", "row", "line_no", "line").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     late = materialize(tasks.mapInArrow(_late(shared), "k1 long, k2 long").distinct(), "line-late")
     release(near, wanted)
-    heads = first.select("k1", "k2", F.col("doc").alias("d"), F.col("row").alias("r"), F.col("line_no").alias("l")).join(late.withColumn("late", F.lit(True)), ["k1", "k2"], "left")
-    gone = (F.col("member") != F.col("d")) | (F.col("line_no") != F.col("l")) | (F.col("row") != F.col("r")) | F.coalesce("late", F.lit(False))
-    return lines.select("member", "row", "line_no", "k1", "k2").join(heads, ["k1", "k2"]).select("member", "row", "line_no", gone.alias("gone"))
+    # a line goes if its class is late or has an earlier line; classes of one line that aren't late need no join
+    heads = first.filter("times > 1").select("k1", "k2", F.col("doc").alias("d"), F.col("row").alias("r"), F.col("line_no").alias("l")).join(late.withColumn("late", F.lit(True)), ["k1", "k2"], "full")
+    behind = (F.col("member") != F.col("d")) | (F.col("line_no") != F.col("l")) | (F.col("row") != F.col("r"))
+    gone = F.coalesce("late", F.lit(False)) | F.coalesce(behind, F.lit(False))
+    return lines.select("member", "row", "line_no", "k1", "k2").join(heads, ["k1", "k2"], "left").select("member", "row", "line_no", gone.alias("gone"))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:

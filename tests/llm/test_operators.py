@@ -216,9 +216,9 @@ def test_line_candidates_keep_similar_lines(hot):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], names=["member", "row", "text"])
     shared = type("Shared", (), {"value": rank})
     rows = pa.Table.from_batches(list(line_dedup._offers(shared, hot)([batch]))).to_pylist()
-    offers = sorted((tok, r["k1"], r["n"], place, r["mark"], r["mark2"]) for r in rows for place, tok in zip(r["places"], r["toks"]))
+    offers = sorted((tok, r["k1"], r["n"], place, r["mark"], r["mark2"], r["more"] or b"") for r in rows for place, tok in zip(r["places"], r["toks"]))
     offers += offers[:50]  # offered again by another task
-    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(offers)), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["tok", "k1", "n", "place", "mark", "mark2"])
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(offers)), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["tok", "k1", "n", "place", "mark", "mark2", "more"])
     hubs: dict = {}
     for r in pa.Table.from_batches([line_dedup._near_rows(table)]).to_pylist():
         hubs.setdefault(r["hub"], set()).add(r["member"])
