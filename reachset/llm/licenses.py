@@ -2,8 +2,11 @@
 
 All rolling word k-grams of a text are hashed and joined to the positions of the same k-grams in the templates. A hit at
 text position p and template position q votes for the diagonal p - q. Votes are added up per (document, template,
-diagonal); neighbouring diagonals, which an inserted or lost word separates, are merged; the span is verified by the share
-of the template's k-grams that it really holds. Hits are compared word by word, so a hash collision never counts.
+diagonal); neighbouring diagonals, which an inserted or lost word separates, are merged in bands of a bounded width, two
+sets of bands that overlap by half. A band whose distinct template positions are enough goes on to the verification: the
+longest chain of its hits that rises in the text and in the template, which is the span, must hold LEAST_SHARE of the
+template's k-grams. A k-gram that the text repeats counts once. Hits are compared word by word, so a hash collision never
+counts.
 
 Defined results: a null or empty text has no words, no spans, empty labels and score 0; ids may be null or repeat (each row
 is scanned on its own); an empty table gives an empty result; other columns of the input are ignored. The template table
@@ -12,29 +15,23 @@ is fixed in size, so it is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_left
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .license_texts import TEXTS
 from .store import materialize
 
 K = 3
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that alone name a license (fixed values of the query's contract).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Opening or granting sentences of widely used license texts.
-TEXTS = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike",
-    "proprietary": "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
-}
-#: Diagonals at most so far apart are one match; share of a text template's k-grams that a span must hold.
-DRIFT, LEAST_SHARE = 4, 0.5
+#: Width of a band of diagonals; share of a text template's k-grams that a span must hold.
+BAND, LEAST_SHARE = 64, 0.5
 
 
 def words_of(text: Column) -> Column:
@@ -45,8 +42,8 @@ def words_of(text: Column) -> Column:
 def template_rows() -> list[tuple]:
     """(template, label, is_phrase, k-grams in the template, position, the k words)."""
     rows = []
-    for i, (text, label, phrase) in enumerate([(t, la, True) for t, la in PHRASES.items()] + [(t, la, False) for la, t in TEXTS.items()]):
-        w = text.split()
+    for i, (text, label, phrase) in enumerate([(t, la, True) for t, la in PHRASES.items()] + [(t, la, False) for la, t in TEXTS]):
+        w = [x for x in re.split(WORD_BREAK, text.lower()) if x]
         rows += [(i, label, phrase, len(w) - K + 1, p, w[p : p + K]) for p in range(len(w) - K + 1)]
     return rows
 
@@ -69,28 +66,54 @@ def scan_hits(words: DataFrame) -> DataFrame:
     return found.filter(same).select("row_id", F.col("pos").cast("long").alias("pos"), "template", "label", "is_phrase", "grams", "tpos")
 
 
+def longest_chain(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Longest run of (pos, tpos) that rises strictly in both."""
+    ends: list[int] = []  # smallest last tpos of a chain of each length
+    last: list[int] = []  # and the hit that ends it
+    before = [-1] * len(hits)
+    hits = sorted(hits, key=lambda h: (h[0], -h[1]))
+    for i, (_, t) in enumerate(hits):
+        at = bisect_left(ends, t)
+        before[i] = last[at - 1] if at else -1
+        ends[at : at + 1] = [t]
+        last[at : at + 1] = [i]
+    chain, i = [], last[-1] if last else -1
+    while i >= 0:
+        chain.append(hits[i])
+        i = before[i]
+    return chain[::-1]
+
+
+def _aligned(batches):
+    """Bands of hits -> their longest chains: first and last text position, share of the template's k-grams."""
+    for b in batches:
+        chains = [longest_chain([(h["pos"], h["tpos"]) for h in hits]) for hits in b.column("hits").to_pylist()]
+        share = [len(c) / g for c, g in zip(chains, b.column("grams").to_pylist())]
+        first, end = (pa.array(x, pa.int64()) for x in ([c[0][0] for c in chains], [c[-1][0] + K for c in chains]))
+        kept = ("row_id", "template", "label", "is_phrase")
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], first, end, pa.array(share)], names=[*kept, "first_word", "end_word", "share"])
+
+
 def vote(hits: DataFrame) -> DataFrame:
-    """Verified spans: row_id, template, label, is_phrase, first_word, n_places, share.
+    """Verified spans: row_id, template, label, is_phrase, first_word, end_word (exclusive), share.
 
-    A phrase counts only where one diagonal holds all its k-grams; a text template where merged diagonals hold enough.
+    A phrase counts only where one diagonal holds all its k-grams; a text template where a chain of hits holds enough.
     """
-    votes = hits.groupBy("row_id", "template", "label", "is_phrase", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
-    )
-    phrases = votes.filter(F.col("is_phrase") & (F.col("votes") == F.col("grams"))).select(
-        "row_id", "template", "label", "is_phrase", F.col("diagonal").alias("first_word"), F.lit(1.0).alias("share")
-    )
-    w = Window.partitionBy("row_id", "template").orderBy("diagonal")
-    near = F.col("diagonal") - F.lag("diagonal").over(w) <= DRIFT
-    merged = (
-        votes.filter(~F.col("is_phrase"))
-        .withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
-        .withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("row_id", "template", "label", "is_phrase", "grams", "cluster")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("first_word"))
+    diagonal = F.col("pos") - F.col("tpos")
+    votes = hits.filter("is_phrase").groupBy("row_id", "template", "label", "is_phrase", "grams", diagonal.alias("diagonal")).agg(F.count("*").alias("votes"))
+    phrases = votes.filter(F.col("votes") == F.col("grams")).select(
+        "row_id", "template", "label", "is_phrase", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("grams") + K - 1).alias("end_word"), F.lit(1.0).alias("share")
     )
-    texts = merged.withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams"))).filter(F.col("share") >= LEAST_SHARE)
-    return phrases.unionByName(texts.select(*phrases.columns))
+    # every diagonal lies in a band of each of the two sets
+    sets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor((diagonal + i * BAND // 2) / BAND).alias("band")) for i in (0, 1)]))
+    banded = hits.filter(~F.col("is_phrase")).select("*", sets.alias("s")).select("*", "s.i", "s.band")
+    key = ["row_id", "template", "label", "is_phrase", "grams", "i", "band"]
+    held = banded.groupBy(*key, "tpos").agg(F.collect_list("pos").alias("at")).groupBy(*key).agg(F.count("*").alias("held"), F.collect_list(F.struct("tpos", "at")).alias("found"))
+    held = held.filter(F.col("held") >= LEAST_SHARE * F.col("grams"))
+    flat = F.flatten(F.transform("found", lambda f: F.transform(f["at"], lambda p: F.struct(p.cast("int").alias("pos"), f["tpos"].alias("tpos")))))
+    out = StructType(held.select("row_id", "template", "label", "is_phrase").schema.fields).add("first_word", "long").add("end_word", "long").add("share", "double")
+    spans = held.select("row_id", "template", "label", "is_phrase", "grams", flat.alias("hits")).mapInArrow(_aligned, out).filter(F.col("share") >= LEAST_SHARE)
+    return phrases.unionByName(spans.distinct())
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
