@@ -131,11 +131,64 @@ def test_mixing(docs):
 
 
 def test_permutation_is_a_bijection(spark):
+    """For every size, keyed by source and pass, and no fixed stride; equal to the network computed step by step."""
     from pyspark.sql import functions as F
 
-    for n in (1, 2, 31, 1000):
-        rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(4).cast("long")).alias("b")).collect()
-        assert sorted(r.b for r in rows) == list(range(n))
+    def brute(x, n, source, turn):
+        a = math.ceil(math.sqrt(n))
+        b, p = -(-n // a), mixing.PRIME
+        keys = [(mixing.SEED * mixing.KEYS[0] + source * mixing.KEYS[1] + turn * mixing.KEYS[2] + j * mixing.KEYS[3]) % p for j in range(mixing.ROUNDS)]
+        while True:
+            left, right = divmod(x, b)
+            for j, k in enumerate(keys):
+                t = ((left if j % 2 else right) + k) % p
+                by = ((t * t + mixing.FACTORS[0] * t) % p * mixing.FACTORS[1] + k) % p
+                left, right = (left, (right + by) % b) if j % 2 else ((left + by) % a, right)
+            x = left * b + right
+            if x < n:
+                return x
+
+    long = lambda x: F.lit(x).cast("long")
+    for n in (1, 2, 3, 7, 31, 50, 91, 300, 1001, 1050, 4530, 9150):
+        cols = {(s, t): mixing.permuted(F.col("id"), long(n), long(s), long(t)) for s, t in ((1, 0), (1, 1), (2, 0))}
+        rows = spark.range(n).select("id", *[c.alias(f"p{s}_{t}") for (s, t), c in cols.items()]).collect()
+        for s, t in cols:
+            got = [r[f"p{s}_{t}"] for r in rows]
+            assert got == [brute(r.id, n, s, t) for r in rows]
+            assert sorted(got) == list(range(n))
+            if n > 300:  # neighbours lie anywhere
+                assert len({(y - x) % n for x, y in zip(got, got[1:])}) > n / 3
+        if n > 30:
+            assert rows[0:] and [r.p1_0 for r in rows] != [r.p1_1 for r in rows] != [r.p2_0 for r in rows]
+
+
+def test_mix_blocks_hold_what_the_digest_counts(docs):
+    """The packed blocks, word for word: each document's words in them are what mix_digest says the mix takes."""
+    blocks = mixing.mix_blocks(docs).collect()
+    assert all(r.n_tokens == len(r.text.split(" ")) <= mixing.BLOCK for r in blocks)
+    taken = Counter(w for r in blocks for w in r.text.split(" "))
+    size = Counter()
+    for r in mixing.mix_digest(docs).collect():
+        size[str(r.source_size)] += r.taken
+    assert sum(taken.values()) == sum(size.values())
+    repeated = Counter((r.source, r.block) for r in blocks)
+    assert max(repeated.values()) <= mixing.MOST
+    for r in blocks:
+        assert len(r.doc_ids) >= 1
+
+
+def test_draws_meet_the_quotas(spark):
+    rows = [(i, f"s{i % 5}", 50 * (1 + i % 5) ** 2) for i in range(4000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    sources = mixing.source_targets(sized)
+    for small in (True, False):
+        shards = mixing.draw_shards(sources, small).collect()
+        by = Counter()
+        for r in shards:
+            by[r.source_id] += r.n
+        assert dict(by) == {r.source_id: r.quota for r in sources.collect() if r.quota}
+        assert all(s <= mixing.SHARD_SLOTS for s in Counter({k: sum(r.n for r in shards if r.shard == k) for k in {r.shard for r in shards}}).values())
+        assert mixing.slot_blocks(sources, mixing.draw_shards(sources, small), small).count() == sum(by.values())
 
 
 def test_substrings(docs):
