@@ -1,8 +1,11 @@
 """LM scoring with a hidden Markov language model.
 
-Latent states emit word classes (fixed hash buckets, so the emission table has a fixed size); within its class a word has
-its smoothed share of the training counts. Baum-Welch runs over all training texts: each task adds up the expected counts
-of its texts, and only the sums per parameter leave the executors. Scaled forward recursion gives the exact likelihood of
+Latent states emit word classes: the OWN most frequent words are classes of their own, the others fall into hash classes, so
+the emission table has a fixed size; within its class a word has its smoothed share of the training counts. The states start
+far apart: for each of the ANCHORS most frequent words the class distribution of the texts that hold it is added up over all
+training texts, and the states take those that lie farthest from each other (languages and kinds of text, mostly). Baum-Welch
+then runs over all training texts until the likelihood gains less than TOLERANCE, ITERATIONS times at most: each task adds up
+the expected counts of its texts, and only the sums per parameter leave the executors. Scaled forward recursion gives the exact likelihood of
 a whole text; texts are cut into segments whose transfer matrices are computed side by side and then chained, which is the
 same recursion in another order of multiplication.
 
@@ -25,15 +28,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ngram_join import grouped
 from .store import materialize
 from .text import Hashed, list_array, pieces, signed
 
-CLASSES = 4096
+#: Words that are classes of their own, and hash classes for the others.
+OWN, HASHED = 3584, 512
+CLASSES = OWN + HASHED
 END_CLASS = CLASSES
 #: Hash given to the end token.
 END = 0x0F7A3C5D9B1E2468
-STATES = 3
-ITERATIONS = 3
+STATES = 6
+ITERATIONS, TOLERANCE = 3, 1e-3
+#: Frequent words whose surroundings the states may start from.
+ANCHORS = 64
 SEGMENT = 32
 BIG_WORDS = 131_072
 
@@ -42,8 +50,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def _class_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(52)).astype(np.int64)
+class Classes:
+    """Class of a word by its hash: own holds the hashes of the words that are classes of their own, most frequent first."""
+
+    def __init__(self, own: np.ndarray):
+        order = np.argsort(own)
+        self.sorted, self.number = own[order], order
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = OWN + (h >> np.uint64(55)).astype(np.int64)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            out = np.where(self.sorted[at] == h, self.number[at], out)
+        return out
 
 
 def _count(batches):
@@ -175,23 +194,61 @@ class Model:
         return trans, emit, ll.sum()
 
 
-def start_model(class_counts: np.ndarray) -> Model:
-    """Classes by their counts, tilted differently for each state; states tend to stay."""
-    c = np.arange(CLASSES + 1, dtype=np.uint64)
-    share = (class_counts + 0.5) / (class_counts + 0.5).sum()
-    tilt = np.stack([((c * np.uint64(2654435761 + 40503 * i)) >> np.uint64(7)) % np.uint64(1000) for i in range(STATES)]).astype(float) / 1000
-    b = share * (0.5 + tilt)
-    a = np.full((STATES, STATES), 0.4 / (STATES - 1)) if STATES > 1 else np.ones((1, 1))
-    np.fill_diagonal(a, 0.6 if STATES > 1 else 1.0)
-    return Model(a, b / b.sum(axis=1)[:, None])
+def _surroundings(classes: Classes):
+    """(anchor, sums): for each anchor class the class distributions, added up with a weight by length, of the texts that hold it."""
+
+    def run(batches):
+        sums = np.zeros((ANCHORS, CLASSES + 1))
+        for piece in pieces(batches, "text"):
+            words = Coded(piece.column("text"))
+            cls, owner, size = classes(words.vocab)[words.codes], words.owner(), np.diff(words.offsets)
+            for lo in range(0, piece.num_rows, 512):
+                part = slice(words.offsets[lo], words.offsets[min(lo + 512, piece.num_rows)])
+                counts = np.bincount((owner[part] - lo) * (CLASSES + 1) + cls[part], minlength=512 * (CLASSES + 1)).reshape(512, -1)
+                n = size[lo : lo + 512]
+                counts = counts[: len(n)] * (np.log1p(n) / np.maximum(n, 1))[:, None]
+                sums += (counts[:, :ANCHORS] > 0).astype(float).T @ counts
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ANCHORS)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["anchor", "sums"])
+
+    return run
+
+
+def _added(batches):
+    for t in grouped(batches, ("anchor",)):
+        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in t.column("sums"))
+        yield pa.RecordBatch.from_arrays([t.column("anchor").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], names=["anchor", "sums"])
 
 
-def _expectations(model: Model):
+def start_states(texts: DataFrame, classes: Classes, class_counts: np.ndarray) -> np.ndarray:
+    """STATES class distributions that lie far apart; ANCHORS rows of CLASSES + 1 numbers reach the driver."""
+    share = (class_counts + 0.5) / (class_counts + 0.5).sum()
+    rows = texts.mapInArrow(_surroundings(classes), "anchor long, sums binary").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_added, "anchor long, sums binary").collect()
+    table = [np.frombuffer(r["sums"], np.float64) for r in sorted(rows, key=lambda r: r["anchor"])]
+    table = [t / t.sum() for t in table if t.sum() > 0]
+    chosen: list[np.ndarray] = []
+    while len(chosen) < STATES and table:
+        near = [min(np.abs(t - c).sum() for c in chosen or [share]) for t in table]
+        chosen.append(table.pop(int(np.argmax(np.round(near, 9)))))
+    chosen += [share] * (STATES - len(chosen))
+    tilt = 1 + 0.01 * np.cos(np.outer(np.arange(1, STATES + 1), np.arange(CLASSES + 1)))  # no two states are equal
+    b = (0.8 * np.stack(chosen) + 0.2 * share) * tilt
+    b[:, END_CLASS] = share[END_CLASS]
+    return b / b.sum(axis=1)[:, None]
+
+
+def start_model(b: np.ndarray) -> Model:
+    """States tend to stay."""
+    a = np.full((STATES, STATES), 0.1 / max(1, STATES - 1))
+    np.fill_diagonal(a, 0.9 if STATES > 1 else 1.0)
+    return Model(a, b)
+
+
+def _expectations(model: Model, classes: Classes):
     def run(batches):
         trans, emit, ll = np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1)), 0.0
         for piece in pieces(batches, "text"):
             words = Coded(piece.column("text"))
-            t, e, x = model.expect(Segments(words, _class_of(words.vocab)))
+            t, e, x = model.expect(Segments(words, classes(words.vocab)))
             trans, emit, ll = trans + t, emit + e, ll + x
         flat = np.concatenate([trans.ravel(), emit.ravel(), [ll]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
@@ -199,11 +256,11 @@ def _expectations(model: Model):
     return run
 
 
-def train(texts: DataFrame, class_counts: np.ndarray, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
+def train(texts: DataFrame, classes: Classes, class_counts: np.ndarray, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
     """Baum-Welch over all rows of texts; the log likelihood before each update shows that it rises."""
-    model, path = start_model(class_counts), []
+    model, path = start_model(start_states(texts, classes, class_counts)), []
     for _ in range(iterations):
-        sums = texts.mapInArrow(_expectations(model), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+        sums = texts.mapInArrow(_expectations(model, classes), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
         if not len(sums):
             break
         flat = sums.set_index("i")["x"].sort_index().to_numpy()
@@ -212,10 +269,12 @@ def train(texts: DataFrame, class_counts: np.ndarray, iterations: int = ITERATIO
         # every class keeps a little weight in every state, so that texts outside the training set have a likelihood
         floor = 0.01 * (class_counts + 0.5) / (class_counts + 0.5).sum()
         model = Model((trans + 0.1) / (trans + 0.1).sum(axis=1)[:, None], 0.99 * emit / np.maximum(emit.sum(axis=1), 1e-9)[:, None] + floor)
+        if len(path) > 1 and path[-1] - path[-2] < TOLERANCE * abs(path[-2]):
+            break
     return model, path
 
 
-def _score(model: Model, big_tok: np.ndarray, big_log: np.ndarray, class_log: np.ndarray):
+def _score(model: Model, classes: Classes, big_tok: np.ndarray, big_log: np.ndarray, class_log: np.ndarray):
     schema = pa.schema(
         [("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("rest", pa.float64()), ("tok", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32()))]
     )
@@ -226,7 +285,7 @@ def _score(model: Model, big_tok: np.ndarray, big_log: np.ndarray, class_log: np
             n = piece.num_rows
             words = Coded(piece.column("text"))
             h = words.vocab
-            cls = _class_of(h)
+            cls = classes(h)
             ll = model.likelihood(Segments(words, cls)) / math.log(10)
             owner = words.owner()
             at = np.minimum(np.searchsorted(big_tok, h), max(0, len(big_tok) - 1))
@@ -260,20 +319,29 @@ def word_counts(train_docs: DataFrame) -> DataFrame:
     return train_docs.select("text").mapInArrow(_count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
 
 
+def word_classes(counts: DataFrame) -> tuple[Classes, np.ndarray, np.ndarray]:
+    """The classes, and the tokens and distinct words of each class and of the end token (last). OWN + HASHED + 1 rows reach the driver."""
+    end = F.col("tok") == F.lit(END)
+    top = counts.filter(~end).orderBy(F.desc("n"), "tok").limit(OWN).select("tok", "n").collect()
+    own = np.array([r["tok"] for r in top], np.int64)
+    n_class, v_class = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    n_class[: len(top)], v_class[: len(top)] = [r["n"] for r in top], 1
+    others = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(x),) for x in own], "tok long")), "tok", "left_anti")  # OWN rows
+    cls = F.when(end, F.lit(END_CLASS)).otherwise(F.shiftrightunsigned("tok", 55) + OWN).cast("int")
+    for r in others.groupBy(cls.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        n_class[r["c"]], v_class[r["c"]] = r["n"], r["v"]
+    return Classes(own.view(np.uint64)), n_class, v_class
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Train on the rows outside the held-out fold and score every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     learn = rows.filter(~F.col("held_out")).select("text")
     counts = materialize(word_counts(learn), "lm-counts")
-    end = F.col("tok") == F.lit(END)
-    cls = F.when(end, F.lit(END_CLASS)).otherwise(F.shiftrightunsigned("tok", 52)).cast("int")
-    per_class = counts.groupBy(cls.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    n_class, v_class = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in per_class:
-        n_class[r["c"]], v_class[r["c"]] = r["n"], r["v"]
+    classes, n_class, v_class = word_classes(counts)
     total, distinct = int(n_class.sum()), int(v_class.sum())
-    model, _ = train(learn, n_class)
+    model, _ = train(learn, classes, n_class)
     # the lowest power of two from which on at most BIG_WORDS words are counted that often
     sizes = {r["k"]: r["v"] for r in counts.groupBy(F.ceil(F.log2(F.col("n") + 1)).cast("int").alias("k")).agg(F.count("*").alias("v")).collect()}
     k, kept = 64, 0
@@ -284,8 +352,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     big = counts.filter(F.col("n") >= threshold).toPandas().astype({"tok": "int64", "n": "int64"})
     tok = big["tok"].to_numpy().view(np.uint64)
     order = np.argsort(tok)
+    # in its own class a word has the whole weight; a hash class leaves some to unseen words
     class_log = np.log10(n_class + 0.5 * (v_class + 1))[:CLASSES]
-    scorer = _score(model, tok[order], np.log10(big["n"].to_numpy()[order] + 0.5), class_log)
+    class_log[:OWN] = np.log10(n_class[:OWN] + 0.5)
+    scorer = _score(model, classes, tok[order], np.log10(big["n"].to_numpy()[order] + 0.5), class_log)
     scored = materialize(
         rows.mapInArrow(scorer, "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, rest double, tok array<long>, tf array<int>"), "lm-scored"
     )

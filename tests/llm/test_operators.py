@@ -244,26 +244,64 @@ def test_license_base_columns_against_brute_force(spark):
         assert got[r.doc_id] == want
 
 
-def test_hmm_is_exact_and_learns(docs):
-    words = hmm.Coded(pa.array(["a b c d " * 40, "", "x y", None]))
-    cls = hmm._class_of(words.vocab)
-    m = hmm.start_model(np.ones(hmm.CLASSES + 1))
-    for x, a, b in zip(m.likelihood(hmm.Segments(words, cls)), words.offsets, words.offsets[1:]):
-        v, ll = np.ones(hmm.STATES) / hmm.STATES, 0.0
-        for c in [*cls[words.codes[a:b]], hmm.END_CLASS]:
-            v = (v @ m.a) * m.b[c]
-            ll += math.log(v.sum())
-            v /= v.sum()
-        assert x == pytest.approx(ll)
-    path = hmm.train(docs.select("text"), np.ones(hmm.CLASSES + 1), 3)[1]
-    assert path[0] < path[1] <= path[2] + 1e-6
+def forward(model, classes):
+    """log10 likelihood by the plain scaled recursion, one text at a time."""
+    v, ll = np.ones(hmm.STATES) / hmm.STATES, 0.0
+    for c in classes:
+        v = (v @ model.a) * model.b[c]
+        ll += math.log10(v.sum())
+        v /= v.sum()
+    return ll
+
+
+def test_hmm_is_exact_and_learns(docs, spark, monkeypatch):
+    kept = {}
+    train = hmm.train
+
+    def watched(texts, classes, n_class, *more):
+        kept["classes"], kept["model"], kept["path"] = classes, *train(texts, classes, n_class, *more)
+        return kept["model"], kept["path"]
+
+    monkeypatch.setattr(hmm, "train", watched)
     rows = hmm.score_documents(docs).collect()
+    assert kept["path"] == sorted(kept["path"])
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    train = Counter(w for i, t in TEXTS if not fold(i) for w in [*SPLIT.findall(lower(t)), "\n"])
-    n, v = sum(train.values()), len(train)
-    want = sorted((str(i), fold(i), round(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*SPLIT.findall(lower(t)), "\n"]), 6)) for i, t in TEXTS)
-    assert sorted((str(r.doc_id), r.held_out, round(r.base_score, 6)) for r in rows) == want
-    assert all(r.train_tokens == n and r.score < 0 for r in rows)
+    counts = Counter(w for i, t in TEXTS if not fold(i) for w in [*SPLIT.findall(lower(t)), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    hashed = text.Hashed(pa.array([" ".join(sorted({w for _, t in TEXTS for w in SPLIT.findall(lower(t))}))]), lower=False)
+    number = dict(zip(sorted({w for _, t in TEXTS for w in SPLIT.findall(lower(t))}), kept["classes"](hashed.h).tolist()))
+    of_class = Counter()
+    for w, c in counts.items():
+        if w != "\n":
+            of_class[number[w]] += c
+    words_in = Counter(number[w] for w in counts if w != "\n")
+
+    def share(w):
+        c, own = number[w], number[w] < hmm.OWN
+        return math.log10((counts[w] + 0.5) / (of_class[c] + (0.5 if own else 0.5 * (words_in[c] + 1))))
+
+    want = []
+    for i, t in TEXTS:
+        w = SPLIT.findall(lower(t))
+        base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*w, "\n"])
+        score = forward(kept["model"], [*[number[x] for x in w], hmm.END_CLASS]) + sum(map(share, w))
+        want.append((str(i), fold(i), len(w) + 1, sum(counts[x] > 0 for x in [*w, "\n"]), n, round(base, 5), round(score, 5)))
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in rows) == sorted(want)
+    assert len({n for n in number.values() if n >= hmm.OWN}) > 100  # hash classes take part
+
+
+def test_hmm_beats_the_unigram_on_held_out_text(spark):
+    """Texts that keep to one of three vocabularies, or change between them now and then."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        topic, words = rng.integers(3), []
+        for _ in range(60):
+            topic = rng.integers(3) if rng.random() < 0.03 else topic
+            words.append(f"t{topic}w{int(rng.zipf(1.4)) % 50}")
+        rows.append((i, " ".join(words)))
+    held = [r for r in hmm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert len(held) > 30 and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
 
 
 def test_secrets(docs, spark):
