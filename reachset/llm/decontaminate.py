@@ -18,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 SHINGLE = 5
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Documents with a candidate up to which their keys are broadcast, so that only their texts move; beyond, the join shuffles.
+BROADCAST_KEYS = 500_000
 #: Sketch and shingle rows of the benchmark up to which they are broadcast; beyond, the joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -78,7 +82,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashes = F.concat(*[_hashes(F.col("w"), k) for k in lengths])
     seen = rows.select("row_key", words_of(F.col("text")).alias("w")).select("row_key", F.explode(hashes).alias("h"))
     hits = seen.join(_small(sketch, small), "h").groupBy("row_key", "key", "need").agg(F.count_distinct("h").alias("hits")).filter("hits >= need")
-    wanted = hits.groupBy("row_key").agg(F.collect_set("key").alias("keys"))
+    wanted = materialize(hits.groupBy("row_key").agg(F.collect_set("key").alias("keys")), "leak-candidates")
+    wanted = _small(wanted, wanted.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0] <= BROADCAST_KEYS)
     texts = rows.join(wanted, "row_key").dropDuplicates(["row_key"]).select("doc_id", "row_key", words_of(F.col("text")).alias("w"), "keys")
     texts = texts.select("doc_id", "row_key", "keys", *[_strings(F.col("w"), k).alias(f"s{k}") for k in lengths])
     pairs = texts.withColumn("key", F.explode("keys")).drop("keys").join(_small(items.select("key", "item_id", "k", "shingles", "n"), small), "key")

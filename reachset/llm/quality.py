@@ -148,3 +148,25 @@ def ablations(ledger: DataFrame, version: str = "web-1") -> DataFrame:
         F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"),
         F.sum(F.when(F.col("bits").isin(0) | (F.col("bits") == F.col("bit")), F.col("n")).otherwise(0)).alias("n_kept_without"),
     )
+
+
+def quality_sql(table: str) -> str:
+    """DuckDB SQL for apply_policy(build_ledger(...)) under the default policy."""
+    failed = {
+        "too_short": "n_words < 50", "repeated_windows": "100 * n_repeat_words > 50 * n_words", "symbol_heavy": "10 * n_symbols > n_words", "shouting": "100 * n_upper_words > 40 * n_words",
+        "duplicate_lines": "n_lines > 3 AND 100 * n_dup_lines > 40 * n_lines", "odd_word_length": "word_chars < 2 * n_words OR word_chars > 14 * n_words", "too_long": "n_words > 1000000",
+    }
+    bits = " + ".join(f"CASE WHEN {failed[r]} THEN {BIT[r]} ELSE 0 END" for r in RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) > 2),
+k AS (SELECT r, p, w[p:p + 2] AS s FROM g),
+twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, s) AS c FROM k) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS p FROM twice) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS BIGINT) AS n_upper_words
+  FROM d JOIN l USING (r) LEFT JOIN rep USING (r)),
+f AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m)
+SELECT *, failed & {BASE.mask} <> 0 AS base_failed, failed & {BASE.mask | POLICIES[DEFAULT].mask} = 0 AS kept FROM f"""

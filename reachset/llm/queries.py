@@ -60,6 +60,8 @@ def oracle_sql():
         "op1_decontamination": decontaminate.leaks_sql(),
         "op2_line_dedup": line_dedup.dedup_sql("documents"),
         "op3_ngram_jaccard_join": ngram_join.join_sql("documents"),
+        "op4_quality_rules": quality.quality_sql("documents"),
+        "op5_warc": warc.round_trip_sql("pages"),
         "op6_source_mixing": mixing.mix_sql("documents"),
         "op7_substring_dedup": substrings.repeats_sql("documents"),
     }

@@ -296,3 +296,13 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
         F.raise_error(F.concat(F.lit("payload differs from its digest: page "), F.col("page_id").cast("string"))),
     ).otherwise(F.col("payload_digest"))
     return back.select("page_id", "payload_bytes", sound.cast("string").alias("payload_digest"), "record_type", "refers_to")
+
+
+def round_trip_sql(table: str) -> str:
+    """DuckDB SQL for warc_round_trip on pages with distinct ids."""
+    bit = " + ".join(f"CAST(bits[5 * i + {j + 1}] AS INT) * {16 >> j}" for j in range(5))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM {table}),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', x[i]) - 1), 4, '0')), '') AS bits FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[{bit} + 1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
