@@ -56,17 +56,58 @@ def point_along(line: Column, d: Column, measure=distance) -> Column:
     return F.when(at >= total, F.element_at(line, -1)).otherwise(F.coalesce(found, F.element_at(line, -1)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _places(line: Column, measure) -> Column:
+    """Array of (point, distance from the start) of the vertices; the lengths of the segments are measured once."""
+
+    def placed(lengths: Column) -> Column:
+        return F.transform(line, lambda p, i: F.struct(p.alias("p"), F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0.0), lambda s, x: s + x).alias("at")))
+
+    return _let(segments(line, measure), placed)
+
+
+def _between(places: Column, a: Column, b: Column) -> Column:
+    """Part of a placed line from distance a to b: interpolated ends and the vertices strictly between."""
+
+    def end(d: Column) -> Column:
+        behind = F.filter(places, lambda x: x["at"] >= d)
+        k = F.size(places) - F.size(behind)  # vertices before d
+        lo, hi = F.get(places, F.greatest(k - 1, F.lit(0))), F.get(places, F.least(k, F.size(places) - 1))
+        span = hi["at"] - lo["at"]
+        t = F.when(span > 0, F.least(F.greatest((d - lo["at"]) / span, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+        return point(lo["p"]["lon"] + (hi["p"]["lon"] - lo["p"]["lon"]) * t, lo["p"]["lat"] + (hi["p"]["lat"] - lo["p"]["lat"]) * t)
+
+    inner = F.transform(F.filter(places, lambda x: (x["at"] > a) & (x["at"] < b)), lambda x: x["p"])
+    return F.concat(F.array(end(a)), inner, F.array(end(b)))
+
+
 def slice_line(line: Column, a: Column, b: Column, measure=distance) -> Column:
     """Part of a line between distances a and b: interpolated ends and the vertices strictly between."""
-    ends = F.transform(F.sequence(F.lit(1), F.size(line)), lambda i: F.aggregate(F.slice(segments(line, measure), F.lit(1), i - 1), F.lit(0.0), lambda s, x: s + x))
-    inner = F.transform(F.filter(F.arrays_zip(line.alias("p"), ends.alias("at")), lambda x: (x["at"] > a) & (x["at"] < b)), lambda x: x["p"])
-    return F.concat(F.array(point_along(line, a, measure)), inner, F.array(point_along(line, b, measure)))
+    return _let(_places(line, measure), lambda places: _between(places, a, b))
+
+
+def substring(line: Column, a: Column, b: Column, measure=distance) -> Column:
+    """Part of a line between two shares (0 to 1) of its length; a line without length stays as it is."""
+
+    def cut(places: Column) -> Column:
+        total = F.element_at(places, -1)["at"]
+        return F.when(total > 0, _between(places, a * total, b * total)).otherwise(line)
+
+    return _let(_places(line, measure), cut)
 
 
 def split_equal(line: Column, parts: Column, measure=distance) -> Column:
     """The line cut into pieces of equal length."""
-    total = length(line, measure)
-    return F.transform(F.sequence(F.lit(1), parts), lambda i: slice_line(line, total * (i - 1) / parts, total * i / parts, measure))
+
+    def cut(places: Column) -> Column:
+        total = F.element_at(places, -1)["at"]
+        return F.transform(F.sequence(F.lit(1), parts), lambda i: _between(places, total * (i - 1) / parts, total * i / parts))
+
+    return _let(_places(line, measure), cut)
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Coverage algorithms: loops on the driver over DataFrame operators, with a log of steps.
+"""Coverage algorithms with a log of steps.
+
+``steps`` runs a network of up to ``kernel.MOST_EDGES`` directed edges in one task (see ``kernel``) and larger ones by the
+loops of this module, which run on the driver over DataFrame operators. The loops move a centre by exact distances within its
+cell, whatever its size; the kernel does so up to exact_limit members, beyond that by the lazy 1-centre or the centroid walk.
 
 Rules: ties in distance go to the earlier centre; the farthest node is the one of largest distance, lowest id; an
 unreached node is infinitely far, so pruning never strips a component of its only centre; a step beyond the budget logs
@@ -14,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import centers as C
-from . import paths
+from . import kernel, paths
+from .lineage import settle
 
 INF = float("inf")
 STEP = (
@@ -31,6 +36,7 @@ class Params:
     k: int = 5
     manual: tuple[int, ...] = ()
     candidate_cap: int = 1500
+    exact_limit: int = 120
     post_pull: bool = False
     prune: bool = False
     max_steps: int = 3000
@@ -66,6 +72,18 @@ class Run:
         self._memo = (tuple(c), out.persist())
         return self._memo[1]
 
+    def extend(self, c: list[int]) -> None:
+        """Make the assignment of c from that of all but its last centre: search from that one alone, as far as a node may be off."""
+        if self.distances is not None or not self._memo or self._memo[0] != tuple(c[:-1]):
+            return
+        old = self._memo[1]
+        top = old.agg(F.max("d")).first()[0]
+        whole = old.count() == self.nodes.count()
+        new = paths.multi_source(self.adj, [c[-1]], cutoff=float(top) if whole else None).select("node", "d", F.lit(len(c) - 1).alias("label"))
+        both = old.select("node", "d", "label").unionByName(new).groupBy("node").agg(F.min(F.struct("d", "label")).alias("m")).select("node", "m.d", "m.label")
+        self._memo = (tuple(c), settle(both).persist())
+        old.unpersist()
+
     def measure(self, c: list[int]) -> dict:
         r = self.params.radius
         d = F.coalesce(F.col("d").cast("double"), F.lit(INF))
@@ -143,6 +161,7 @@ def gonzalez(run: Run) -> Run:
         if run.over_budget(c):
             return run
         c = [*c, m["farthest"]]
+        run.extend(c)
         m = run.record("add", c, added=[c[-1]])
     return _finish(run, c)
 
@@ -150,11 +169,9 @@ def gonzalez(run: Run) -> Run:
 def greedy_cover(run: Run, reach: DataFrame, candidates: DataFrame | None = None) -> Run:
     """reach(src, node, d) holds what each candidate covers; the largest gain is taken, lowest id on ties."""
     near = reach.filter(F.col("d") <= run.params.radius).select("src", "node")
-    near = (near.join(candidates, "src", "left_semi") if candidates is not None else near).persist()
+    open_ = settle(near.join(candidates, "src", "left_semi") if candidates is not None else near)
     c: list[int] = []
     while True:
-        done = near.filter(F.col("src").isin(c)).select("node") if c else None
-        open_ = near.join(done, "node", "left_anti") if c else near
         top = open_.groupBy("src").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "src").limit(1).first()
         if top is None:
             m = run.measure(c) if c else None
@@ -168,16 +185,18 @@ def greedy_cover(run: Run, reach: DataFrame, candidates: DataFrame | None = None
         if c and run.over_budget(c):
             return run
         c = [*c, pick]
+        # what the pick covers is taken out of all covers
+        done = open_.filter(F.col("src") == pick).select("node") if top is not None else near.filter(F.col("src") == pick).select("node")
+        open_ = settle(open_.join(done, "node", "left_anti"))
         run.record("init" if len(c) == 1 and not run.steps else "add", c, added=[pick])
     return _finish(run, c)
 
 
 def fixed_k(run: Run) -> Run:
     c = run.initial()
+    while run.params.init in ("diameter", "single") and len(c) < run.params.k:
+        c = [*c, paths.farthest(run.assign(c)).first()["node"]]
     m = run.record("init", c)
-    while run.params.init in ("diameter", "single") and len(c) < run.params.k and m["farthest"] is not None:
-        c = [*c, m["farthest"]]
-        m = run.record("add", c, added=[c[-1]])
     while True:
         if run.over_budget(c):
             return run
@@ -232,7 +251,25 @@ def _finish(run: Run, c: list[int]) -> Run:
     return run
 
 
-ALGORITHMS = {"pullseed": pull_and_seed, "gonzalez": gonzalez, "fixedk": fixed_k}
+def lscp(run: Run) -> Run:
+    """Greedy cover; of more than candidate_cap nodes that many are candidates, in a fixed pseudorandom order of ids."""
+    p = run.params
+    candidates = None
+    if run.nodes.count() > p.candidate_cap:
+        order = F.pmod(F.col("node") * 7919 + p.seed * 104_729, F.lit(10_007))
+        candidates = run.nodes.orderBy(order, "node").limit(p.candidate_cap).select(F.col("node").alias("src"))
+    sources = run.nodes if candidates is None else candidates.withColumnRenamed("src", "node")
+    return greedy_cover(run, paths.reach(run.adj, sources, p.radius))
+
+
+ALGORITHMS = {"pullseed": pull_and_seed, "gonzalez": gonzalez, "lscp": lscp, "fixedk": fixed_k}
+
+
+def steps(nodes: DataFrame, adj: DataFrame, params: Params, algorithm: str) -> DataFrame:
+    """The log of a run: in one task where the network fits, else by the loops above."""
+    if kernel.fits(adj):
+        return kernel.steps(nodes, adj, params, algorithm)
+    return steps_df(ALGORITHMS[algorithm](Run(nodes, adj, params)))
 
 
 def steps_df(run: Run) -> DataFrame:

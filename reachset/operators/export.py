@@ -34,6 +34,31 @@ def step_points(steps: DataFrame) -> DataFrame:
     return c.unionByName(f.select("step", "kind", F.lit(-1).alias("idx"), F.col("farthest").alias("node"), F.lit(True).alias("is_farthest")))
 
 
+def qgis_layers(steps: DataFrame, centers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The layers centers, nodes and steps in one table: layer, step, idx, node, dist, flag (nodes: covered; steps: farthest).
+
+    steps is a log, centers (idx, node) the result, nodes a node table; idx of a node is its cluster.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    c = centers.select(F.lit("centers").alias("layer"), none("int").alias("step"), F.col("idx").cast("int").alias("idx"), "node", none("double").alias("dist"), none("boolean").alias("flag"))
+    n = nodes.select(F.lit("nodes").alias("layer"), none("int").alias("step"), F.col("cluster").cast("int").alias("idx"), "node", "dist", F.col("covered").alias("flag"))
+    s = step_points(steps).select(F.lit("steps").alias("layer"), F.col("step").cast("int").alias("step"), "idx", "node", none("double").alias("dist"), F.col("is_farthest").alias("flag"))
+    return c.unionByName(n).unionByName(s)
+
+
+def sf_layers(edges: DataFrame, centers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The layers edges, nodes and centers in one table: layer, id, cluster, dist, covered.
+
+    An edge of an edge table has the larger distance of its ends and is covered if the edge table says so.
+    """
+    inf = F.lit(float("inf"))
+    far = F.greatest(F.coalesce(F.col("dist_u").cast("double"), inf), F.coalesce(F.col("dist_v").cast("double"), inf))
+    e = edges.select(F.lit("edges").alias("layer"), F.col("edge_id").alias("id"), F.col("cluster").cast("int").alias("cluster"), far.alias("dist"), "covered")
+    n = nodes.select(F.lit("nodes").alias("layer"), F.col("node").alias("id"), F.col("cluster").cast("int").alias("cluster"), "dist", "covered")
+    c = centers.select(F.lit("centers").alias("layer"), F.col("node").alias("id"), F.col("idx").cast("int").alias("cluster"), F.lit(0.0).alias("dist"), F.lit(True).alias("covered"))
+    return e.unionByName(n).unionByName(c)
+
+
 def geojson(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One feature per edge of an edge table, as JSON text in column value; write it with ``write.text``."""
     a, b = (nodes.select(F.col("node").alias(c), F.array("lon", "lat").alias(f"p{c}")) for c in ("u", "v"))
@@ -72,4 +97,4 @@ def distance_color(d: Column, radius: float) -> Column:
     low = t < 2 / 3
     s = F.when(low, t / (2 / 3)).otherwise((t - 2 / 3) / (1 / 3))
     part = [F.floor(F.when(low, F.lit(a) + (b - a) * s).otherwise(F.lit(b) + (c - b) * s) + 0.5).cast("int") for a, b, c in zip(lo, mid, hi)]
-    return F.when(d == float("inf"), F.lit("rgb(0,0,0)")).otherwise(F.format_string("rgb(%d,%d,%d)", *part))
+    return F.when(d == float("inf"), F.lit("#000")).otherwise(F.format_string("rgb(%d,%d,%d)", *part))

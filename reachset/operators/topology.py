@@ -44,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         j = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         e = settle(j.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(j.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.col("a") + F.col("b")), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
@@ -76,8 +76,14 @@ def consolidate(nodes: DataFrame, edges: DataFrame, tol: float) -> tuple[DataFra
     own = used.join(merged, "node_id", "left").withColumn("new", F.coalesce("comp", "node_id"))
     out = own.groupBy(F.col("new").alias("node_id")).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
     to = own.select("node_id", "new")
+    at = lambda c: out.select(F.col("node_id").alias(f"n{c}"), F.col("lon").alias(f"x{c}"), F.col("lat").alias(f"y{c}"))
     e = edges.join(to.select(F.col("node_id").alias("u"), F.col("new").alias("nu")), "u").join(to.select(F.col("node_id").alias("v"), F.col("new").alias("nv")), "v")
-    e = e.select("edge_id", F.col("nu").alias("u"), F.col("nv").alias("v"), "length_m").filter((F.col("u") != F.col("v")) | (F.col("length_m") >= 2 * tol))
+    # an edge between two nodes is measured anew where an end moved; a loop keeps the length of its way
+    e = e.join(at("u"), "nu").join(at("v"), "nv")
+    moved = to.groupBy("new").agg((F.count("*") > 1).alias("moved"))
+    e = e.join(moved.select(F.col("new").alias("nu"), F.col("moved").alias("mu")), "nu").join(moved.select(F.col("new").alias("nv"), F.col("moved").alias("mv")), "nv")
+    length = F.when((F.col("mu") | F.col("mv")) & (F.col("nu") != F.col("nv")), geo.haversine(F.col("xu"), F.col("yu"), F.col("xv"), F.col("yv"))).otherwise(F.col("length_m"))
+    e = e.select("edge_id", F.col("nu").alias("u"), F.col("nv").alias("v"), length.cast("double").alias("length_m")).filter((F.col("u") != F.col("v")) | (F.col("length_m") >= 2 * tol))
     return out, e
 
 
@@ -101,8 +107,12 @@ def simplify(edges: DataFrame) -> DataFrame:
 
 
 def segmentize(edges: DataFrame, most: float) -> DataFrame:
-    """Edges cut into ceil(length / most) equal pieces; inner nodes get ids made of (edge_id, piece), negative."""
+    """Edges cut into ceil(length / most) equal pieces; inner nodes get ids made of (edge_id, piece), negative.
+
+    An edge of 100,000 pieces or more raises an error, as its ids would meet those of the next edge.
+    """
     parts = F.greatest(F.lit(1), F.ceil(F.col("length_m") / most)).cast("long")
+    parts = F.when(parts < 100_000, parts).otherwise(F.raise_error(F.lit("an edge has too many pieces")).cast("long"))
     e = edges.withColumn("parts", parts).withColumn("piece", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))))
     inner = lambda i: -(F.col("edge_id") * 100_000 + i)
     return e.select(

@@ -9,9 +9,10 @@ from ..functions import geo
 from ..operators import centers as C
 from ..operators import coverage as V
 from ..operators import export as X
+from ..operators import kernel as K
 from ..operators import paths as P
 from ..operators import topology as T
-from ..operators.lineage import settle
+from ..operators.lineage import scratch, settle
 from ..sources import network as S
 from . import fixtures as N
 
@@ -101,15 +102,31 @@ def src_geocode(spark, d):
     return spark.createDataFrame([(text,)], "t string").select(S.parse_geocode(F.col("t")).alias("g")).select("g.*")
 
 
-@query("SELECT * FROM (VALUES ('a', 1::BIGINT), ('b', 5::BIGINT), ('c', 3::BIGINT)) t(slug, elements)")
+def _cities(spark, d):
+    """A manifest entry for every nation."""
+    n, k = spark.read.parquet(f"{d}/nation.parquet"), F.col("n_nationkey").cast("long")
+    bbox = F.array(32.0 + 0.1 * k, 34.0 + 0.1 * k, 32.05 + 0.1 * k, 34.05 + 0.1 * k)
+    return n.select(F.lower("n_name").alias("slug"), F.col("n_name").alias("name"), F.initcap("n_name").alias("displayName"), bbox.alias("bbox"), (k * 1000).alias("rawBytes"), (k * 100).alias("gzBytes"), (k + 7).alias("elements"))
+
+
+_CITIES = "c AS (SELECT lower(n_name) AS slug, n_name AS name, n_nationkey::BIGINT AS k FROM nation)"
+
+
+@query(WITH + _CITIES + " SELECT slug, CASE WHEN k % 3 = 0 THEN k + 1007 ELSE k + 7 END AS elements FROM c WHERE k < 20 OR k % 3 = 0")
 def src_manifest_build(spark, d):
-    old = spark.createDataFrame([("a", 1), ("b", 2)], "slug string, elements long")
-    return S.upsert(old, spark.createDataFrame([("b", 5), ("c", 3)], "slug string, elements long"), "slug")
+    """Twenty old entries; every third city of all is read anew and replaces or joins them."""
+    c = _cities(spark, d).select("slug", "elements")
+    fresh = c.filter((F.col("elements") - 7) % 3 == 0).withColumn("elements", F.col("elements") + 1000)
+    return S.upsert(c.filter(F.col("elements") - 7 < 20), fresh, "slug")
 
 
-@query()
+@query(WITH + _CITIES + " SELECT slug, name, k * 1000 AS raw_bytes, k * 100 AS gz_bytes, k + 7 AS elements, round(32.0 + 0.1 * k, 6) AS south FROM c")
 def src_manifest(spark, d):
-    return S.read_manifest(spark, f"{d}/no-such-manifest.json")
+    """A manifest written as JSON and read back."""
+    path = scratch(spark, "manifest")
+    S.write_manifest(_cities(spark, d), path)
+    m = S.read_manifest(spark, path)
+    return m.select("slug", "name", F.col("rawBytes").alias("raw_bytes"), F.col("gzBytes").alias("gz_bytes"), "elements", F.round(F.get("bbox", 0), 6).alias("south"))
 
 
 def _segments(spark, d):
@@ -227,7 +244,9 @@ def geo_bbox_area(spark, d):
     return b.withColumn("km2", F.round(geo.bbox_area_km2(*[F.col(x) for x in ("west", "south", "east", "north")]), 6))
 
 
-_QUERIES["geo_extent"], _ORACLES["geo_extent"] = geo_bbox_area, _ORACLES["geo_bbox_area"]
+@query(WITH + NET + " SELECT min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM nodes")
+def geo_extent(spark, d):
+    return _net(spark, d)[0].agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
 
 
 @query(WITH + NET + ", lines AS (SELECT u, v FROM edges) SELECT count(*) AS n, round(sum(sqrt(100.0 * 100.0)), 3) AS total FROM lines")
@@ -262,7 +281,9 @@ def build_adj(spark, d):
     return T.adjacency(_net(spark, d)[1])
 
 
-_QUERIES["build_simple_graph"], _ORACLES["build_simple_graph"] = src_nx_graph, _ORACLES["src_nx_graph"]
+@query(WITH + NET35 + " SELECT least(u, v) AS u, greatest(u, v) AS v, arg_min(edge_id, (length_m, edge_id)) AS edge_id, min(length_m) AS length_m FROM edges WHERE u <> v GROUP BY ALL")
+def build_simple_graph(spark, d):
+    return T.simple_graph(_net(spark, d, drop=35)[1])
 
 
 @query(REC + NET35 + ", " + N.CC_SQL + " SELECT id AS node_id, c AS comp FROM cc")
@@ -293,15 +314,25 @@ def build_consolidate(spark, d):
     return n.select("node_id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
+@query(WITH + NET + f""", big AS (SELECT * FROM (SELECT edge_id, u, v, length_m::DOUBLE AS length_m FROM edges)),
+loc AS (SELECT node_id, lon + CASE WHEN node_id % 7 = 0 THEN 0.000025 ELSE 0 END AS lon, lat FROM nodes)
+SELECT edge_id, u, v, round(CASE WHEN u % 7 = 0 OR v % 7 = 0 THEN {N.hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} ELSE length_m END, 3) AS length_m FROM big JOIN loc a ON a.node_id = u JOIN loc b ON b.node_id = v""")
+def build_consolidate_edges(spark, d):
+    """Edges of the merged network: ends rewritten, lengths measured anew where an end moved, short loops dropped."""
+    _, e = T.consolidate(*_twins(spark, d), 10.0)
+    return e.withColumn("length_m", F.round("length_m", 3))
+
+
 _CHAINS = NET35 + """, deg AS (SELECT id, count(*) AS k FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges) GROUP BY id), inn AS (SELECT id FROM deg WHERE k = 2),
 met AS (SELECT min(edge_id) AS a, max(edge_id) AS b FROM (SELECT edge_id, u AS id FROM edges UNION ALL SELECT edge_id, v FROM edges) JOIN inn USING (id) GROUP BY id HAVING min(edge_id) <> max(edge_id)),
 la AS (SELECT a AS x, b AS y FROM met UNION ALL SELECT b, a FROM met),
 lc(id, c) USING KEY (id) AS (SELECT edge_id, edge_id FROM edges UNION SELECT id, c FROM (SELECT la.y AS id, min(lc.c) AS c, any_value(r.c) AS rc FROM lc JOIN la ON la.x = lc.id JOIN recurring.lc r ON r.id = la.y GROUP BY la.y) WHERE c < rc)"""
 
 
-@query(REC + _CHAINS + " SELECT c AS chain, sum(length_m)::BIGINT AS length_m, count(*) AS n_edges FROM edges JOIN lc ON id = edge_id GROUP BY c")
+@query(REC + _CHAINS + """, ce AS (SELECT c, u, v, length_m FROM edges JOIN lc ON id = edge_id), tip AS (SELECT c, min(id) AS u, max(id) AS v FROM (SELECT c, u AS id FROM ce UNION ALL SELECT c, v FROM ce) WHERE id NOT IN (SELECT id FROM inn) GROUP BY c)
+ SELECT ce.c AS chain, coalesce(min(tip.u), min(least(ce.u, ce.v))) AS u, coalesce(min(tip.v), min(least(ce.u, ce.v))) AS v, sum(length_m)::BIGINT AS length_m, count(*) AS n_edges FROM ce LEFT JOIN tip ON tip.c = ce.c GROUP BY ce.c""")
 def build_simplify(spark, d):
-    return T.simplify(_net(spark, d, drop=35)[1]).select("chain", "length_m", "n_edges")
+    return T.simplify(_net(spark, d, drop=35)[1]).select("chain", "u", "v", "length_m", "n_edges")
 
 
 @query(WITH + NET + " SELECT edge_id, piece, CASE WHEN piece = 1 THEN u ELSE -(edge_id * 100000 + piece - 1) END AS u, CASE WHEN piece = k THEN v ELSE -(edge_id * 100000 + piece) END AS v, round(length_m / k, 6) AS length_m FROM (SELECT *, ceil(length_m / 40.0)::BIGINT AS k, unnest(range(1, ceil(length_m / 40.0)::BIGINT + 1)) AS piece FROM edges)")
@@ -444,38 +475,34 @@ def clus_median_sample(spark, d):
 # --- coverage
 
 
-_RUNS: dict = {}
+def _whole(spark, d):
+    """Nodes in use and adjacency of the whole network."""
+    n, e = _net(spark, d)
+    return e.select(F.explode(F.array("u", "v")).alias("node")).distinct(), T.adjacency(e)
 
 
-def _run(spark, d, **params):
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _RUNS:
-        _RUNS[key] = _whole(spark, d)
-    nodes, adj = _RUNS[key]
-    return V.Run(nodes, adj, V.Params(**{"budget_s": V.INF, "max_steps": 2**31 - 1, **params}))
+def _params(**params):
+    """Runs end by their rule, not by time or steps."""
+    return V.Params(**{"budget_s": V.INF, "max_steps": 2**31 - 1, **params})
 
 
-def _whole(spark, d):
-    """Nodes in use and adjacency of the whole network, written once a session. Runs end by their rule, not by time or steps."""
-    n, e = _net(spark, d)
-    used = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    return settle(used), settle(T.adjacency(e))
+def _steps(spark, d, algorithm, **params):
+    return V.steps(*_whole(spark, d), _params(**params), algorithm)
 
 
 @query()
 def cov_init_diameter(spark, d):
-    c = _run(spark, d).initial()
-    return spark.createDataFrame(list(enumerate(c)), "idx int, node long")
+    return K.initial(*_whole(spark, d), _params())
 
 
 @query()
 def cov_init_single(spark, d):
-    return spark.createDataFrame([(c,) for c in _run(spark, d, init="single").initial()], "node long")
+    return K.initial(*_whole(spark, d), _params(init="single")).select("node")
 
 
 @query(WITH + NET + " SELECT u AS node FROM (SELECT DISTINCT u FROM adj) ORDER BY (u * 7919 + 42 * 104729) % 10007, u LIMIT 5")
 def cov_init_random(spark, d):
-    return spark.createDataFrame([(c,) for c in _run(spark, d, init="random").initial()], "node long")
+    return K.initial(*_whole(spark, d), _params(init="random")).select("node")
 
 
 @query("SELECT * FROM (VALUES (0, 7::BIGINT), (1, 3::BIGINT)) t(idx, node)")
@@ -493,53 +520,90 @@ def cov_record(spark, d):
     return spark.createDataFrame([(m["max_dist"], round(m["mean_dist"], 6), round(m["covered"], 6), m["farthest"])], "max_dist double, mean_dist double, covered double, farthest long")
 
 
-_QUERIES["cov_assignment"], _ORACLES["cov_assignment"] = path_multi_source, _ORACLES["path_multi_source"]
+_FIVE = ", seeds AS (SELECT u AS id, row_number() OVER (ORDER BY (u * 7919 + 42 * 104729) % 10007, u) - 1 AS lab FROM (SELECT DISTINCT u FROM adj) QUALIFY lab < 5)"
+
+
+def _five(spark, d):
+    nodes, adj = _whole(spark, d)
+    return V.Run(nodes, settle(adj), _params(init="random"))
+
+
+@query(REC + NET + _FIVE + ", " + N.SP_SQL.format(cut="") + " SELECT id AS node, d::DOUBLE AS d, lab::INT AS label FROM sp")
+def cov_assignment(spark, d):
+    run = _five(spark, d)
+    return run.assign(run.initial())
 
 
 @query()
 def cov_gonzalez(spark, d):
-    s = V.steps_df(V.gonzalez(_run(spark, d))).filter("kind <> 'final'")
+    s = _steps(spark, d, "gonzalez").filter("kind <> 'final'")
     return s.select("step", F.col("k").cast("long").alias("k"), "max_dist", F.element_at("centers", -1).alias("added"))
 
 
 @query()
 def cov_lscp(spark, d):
-    run = _run(spark, d)
-    s = V.steps_df(V.greedy_cover(run, P.reach(run.adj, run.nodes, RADIUS))).filter("kind <> 'final'")
+    s = _steps(spark, d, "lscp").filter("kind <> 'final'")
     return s.select("step", F.col("k").cast("long").alias("k"), F.element_at("centers", -1).alias("added"))
 
 
 @query()
 def cov_pull_seed(spark, d):
-    return V.steps_df(V.pull_and_seed(_run(spark, d))).select("step", "kind", "k", "max_dist", "mean_dist", "covered", "farthest")
+    return _steps(spark, d, "pullseed").select("step", "kind", "k", "max_dist", "mean_dist", "covered", "farthest")
 
 
 @query()
 def cov_fixed_k(spark, d):
-    return V.steps_df(V.fixed_k(_run(spark, d, k=12, prune=True))).select("step", "kind", "k", "max_dist", "covered")
+    return _steps(spark, d, "fixedk", k=12, prune=True).select("step", "kind", "k", "max_dist", "covered")
 
 
 @query()
 def cov_prune(spark, d):
-    return V.steps_df(V.gonzalez(_run(spark, d, prune=True))).select("step", "kind", "k", "max_dist", "covered")
+    return _steps(spark, d, "gonzalez", prune=True).select("step", "kind", "k", "max_dist", "covered")
 
 
 @query()
 def cov_post_pull(spark, d):
-    return V.steps_df(V.gonzalez(_run(spark, d, post_pull=True, radius=900.0))).select("step", "kind", "k", "max_dist", "covered")
+    return _steps(spark, d, "gonzalez", post_pull=True, radius=900.0).select("step", "kind", "k", "max_dist", "covered")
 
 
 @query()
 def cov_abort(spark, d):
-    return V.steps_df(V.gonzalez(_run(spark, d, max_steps=4))).select("step", "kind", "k")
+    return _steps(spark, d, "gonzalez", max_steps=4).select("step", "kind", "k")
+
+
+def _pulled(spark, d, **params):
+    nodes, adj = _whole(spark, d)
+    p = _params(**params)
+    return K.pulled(nodes, adj, [r["node"] for r in K.initial(nodes, adj, p).orderBy("idx").collect()], p)  # a handful of centres
 
 
 @query()
 def cov_pull_once(spark, d):
-    run = _run(spark, d)
-    c = run.initial()
-    new, _ = run.pull(c)
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(c, new))], "idx int, cur long, new long")
+    return _pulled(spark, d)
+
+
+@query()
+def clus_center_lazy(spark, d):
+    """Cells of five centres, all moved by the lazy 1-centre."""
+    return _pulled(spark, d, init="random", exact_limit=0)
+
+
+@query()
+def clus_median_walk(spark, d):
+    """Cells of five centres, all moved by the centroid walk."""
+    return _pulled(spark, d, init="random", objective="minisum", exact_limit=0)
+
+
+@query()
+def clus_dispatch(spark, d):
+    """Cells of forty centres: those up to exact_limit members are moved exactly, the others by the lazy 1-centre."""
+    return _pulled(spark, d, init="random", k=40)
+
+
+@query()
+def path_counters(spark, d):
+    """Searches and settled nodes of a farthest-first run."""
+    return K.search_counts(*_whole(spark, d), _params(), "gonzalez")
 
 
 @query(WITH + NET + ", t AS (SELECT count(*) AS m, sum(length_m) AS total, (SELECT count(*) FROM nodes) AS n FROM edges), k AS (SELECT *, greatest(1.0, 60.0 * total / 500000.0) AS k, (n + m) * 1.5e-7 AS per FROM t) SELECT round(20 * k * per, 9) AS pullseed, round(k * per, 9) AS gonzalez, round(300 * per + k * per, 9) AS lscp, round(150 * per, 9) AS fixedk FROM k")
@@ -567,7 +631,20 @@ def out_geojson_step(spark, d):
     return X.edge_table(e, a, RADIUS).select("edge_id", "length_m", "cluster", "dist_u", "dist_v", "covered")
 
 
-_QUERIES["view_edge_state"], _ORACLES["view_edge_state"] = out_geojson_step, _ORACLES["out_geojson_step"]
+_T = "least(least(coalesce(a.d, 1e18), coalesce(b.d, 1e18)) / 750.0, 1.0)"
+
+
+def _ramp(part: int) -> str:
+    (a, b, c) = ((26, 255, 215), (152, 255, 48), (80, 191, 39))[part]
+    return f"CAST(floor(CASE WHEN t < 2.0 / 3 THEN {a} + ({b} - {a}) * (t / (2.0 / 3)) ELSE {b} + ({c} - {b}) * ((t - 2.0 / 3) / (1.0 / 3)) END + 0.5) AS INT)"
+
+
+@query(_ASG + f", e AS (SELECT edge_id, CASE WHEN a.d <= b.d THEN a.lab ELSE b.lab END AS cluster, {_T}::DOUBLE AS t, least(a.d, b.d) <= 500 AS covered FROM edges JOIN sp a ON a.id = u JOIN sp b ON b.id = v) SELECT edge_id, covered, printf('hsl(%.1f,%d%%,%d%%)', round((cluster * 137.508) % 360, 1), 70 - 10 * (cluster % 3), 42 + 9 * (cluster % 3)) AS by_cluster, printf('rgb(%d,%d,%d)', {_ramp(0)}, {_ramp(1)}, {_ramp(2)}) AS by_distance FROM e")
+def view_edge_state(spark, d):
+    _, e, a = _assigned(spark, d)
+    t = X.edge_table(e, a, RADIUS)
+    near = F.least("dist_u", "dist_v").cast("double")
+    return t.select("edge_id", "covered", X.cluster_color(F.col("cluster")).alias("by_cluster"), X.distance_color(near, RADIUS).alias("by_distance"))
 
 
 @query(_ASG + " SELECT node_id AS node, coalesce(lab, -1) AS cluster, coalesce(d::DOUBLE, 'inf'::DOUBLE) AS dist, coalesce(d <= 500, false) AS covered FROM nodes LEFT JOIN sp ON id = node_id")
@@ -576,8 +653,44 @@ def out_nodes(spark, d):
     return X.node_table(n, a, RADIUS)
 
 
-for _name in ("out_qgis", "out_step_sf"):
-    _QUERIES[_name], _ORACLES[_name] = out_nodes, _ORACLES["out_nodes"]
+def _log(spark, d):
+    """A log of steps made of orders (kind by key, centres from the lines), so that results and views run over whole tables."""
+    o, parts = N.ways(spark, d), spark.read.parquet(f"{d}/orders.parquet")
+    o = o.select(F.col("way_id").alias("step"), F.col("nodes").alias("centers")).join(parts.select(F.col("o_orderkey").alias("step"), "o_totalprice", "o_custkey"), "step")
+    kinds = F.array(*[F.lit(k) for k in ("init", "move", "stuck", "add", "remove", "final")])
+    kind = F.get(kinds, (F.col("step") % 6).cast("int"))
+    none = F.array().cast("array<long>")
+    first, last = F.get("centers", 0), F.element_at("centers", -1)
+    return o.withColumn("kind", kind).select(
+        F.col("step").cast("int").alias("step"), "kind", "centers", F.size("centers").alias("k"), F.col("o_totalprice").cast("double").alias("max_dist"), F.lit(1.0).alias("covered"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("farthest"),
+        F.when(F.col("kind") == "move", F.array(F.struct(first.alias("from"), last.alias("to")))).otherwise(F.array().cast("array<struct<from:long,to:long>>")).alias("moved"),
+        F.when(F.col("kind") == "add", F.array(last)).otherwise(none).alias("added"), F.when(F.col("kind") == "remove", F.array(first)).otherwise(none).alias("removed"),
+    )
+
+
+_LOG = """lg AS (SELECT o_orderkey::INT AS step, ['init', 'move', 'stuck', 'add', 'remove', 'final'][1 + o_orderkey % 6] AS kind, c AS centers, len(c)::INT AS k, o_totalprice::DOUBLE AS max_dist,
+  CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS farthest FROM orders JOIN (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS c FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey),
+pts AS (SELECT step, kind, unnest(range(len(centers)))::INT AS idx, unnest(centers) AS node FROM lg)"""
+
+
+def _centers(spark, d):
+    return spark.createDataFrame(list(enumerate(_two(spark, d))), "idx int, node long")
+
+
+_NODES = "SELECT node_id AS node, coalesce(lab, -1)::INT AS cluster, coalesce(d::DOUBLE, 'inf'::DOUBLE) AS dist, coalesce(d <= 500, false) AS covered FROM nodes LEFT JOIN sp ON id = node_id"
+
+
+@query(_ASG + ", " + _LOG + f", nt AS ({_NODES}) SELECT 'centers' AS layer, NULL::INT AS step, lab::INT AS idx, id::BIGINT AS node, NULL::DOUBLE AS dist, NULL::BOOLEAN AS flag FROM seeds UNION ALL SELECT 'nodes', NULL, cluster, node, dist, covered FROM nt UNION ALL SELECT 'steps', step, idx, node, NULL, false FROM pts UNION ALL SELECT 'steps', step, -1, farthest, NULL, true FROM lg WHERE kind IN ('stuck', 'add') AND farthest IS NOT NULL")
+def out_qgis(spark, d):
+    n, _, a = _assigned(spark, d)
+    return X.qgis_layers(_log(spark, d), _centers(spark, d), X.node_table(n, a, RADIUS))
+
+
+@query(_ASG + f", nt AS ({_NODES}) SELECT 'edges' AS layer, edge_id AS id, (CASE WHEN a.d <= b.d THEN a.lab ELSE b.lab END)::INT AS cluster, greatest(a.d, b.d)::DOUBLE AS dist, least(a.d, b.d) <= 500 AS covered FROM edges JOIN sp a ON a.id = u JOIN sp b ON b.id = v UNION ALL SELECT 'nodes', node, cluster, dist, covered FROM nt UNION ALL SELECT 'centers', id, lab::INT, 0.0, true FROM seeds")
+def out_step_sf(spark, d):
+    n, e, a = _assigned(spark, d)
+    return X.sf_layers(X.edge_table(e, a, RADIUS), _centers(spark, d), X.node_table(n, a, RADIUS))
 
 
 @query(WITH + "i AS (SELECT unnest(range(-1, 12)) AS i) SELECT i, CASE WHEN i < 0 THEN '#bbbbbb' ELSE printf('hsl(%.1f,%d%%,%d%%)', round((i * 137.508) % 360, 1), 70 - 10 * (i % 3), 42 + 9 * (i % 3)) END AS color FROM i")
@@ -585,34 +698,31 @@ def view_colors(spark, d):
     return spark.range(-1, 12).select(F.col("id").alias("i"), X.cluster_color(F.col("id")).alias("color"))
 
 
-def _log(spark):
-    rows = [
-        (0, "init", [1, 2], 2, 900.0, 5, [], [], []), (1, "move", [1, 3], 2, 800.0, 6, [(2, 3)], [], []), (2, "stuck", [1, 3], 2, 800.0, 6, [], [], []),
-        (3, "add", [1, 3, 6], 3, 450.0, 7, [], [6], []), (4, "remove", [1, 6], 2, 480.0, 8, [], [], [3]), (5, "final", [1, 6], 2, 480.0, 8, [], [], []),
-    ]
-    return spark.createDataFrame(rows, "step int, kind string, centers array<long>, k int, max_dist double, farthest long, moved array<struct<`from`:long,`to`:long>>, added array<long>, removed array<long>").withColumn("covered", F.lit(1.0))
-
-
-@query("SELECT * FROM (VALUES ('init', 1::BIGINT), ('move', 1), ('stuck', 1), ('add', 1), ('remove', 1), ('final', 1)) t(kind, n)")
+@query(WITH + _LOG + " SELECT kind, count(*) AS n FROM lg GROUP BY kind")
 def view_kind_counts(spark, d):
-    return _log(spark).groupBy("kind").agg(F.count("*").alias("n"))
+    return _log(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT *, 900.0::DOUBLE AS top_dist, 3 AS top_k FROM (VALUES (0, 2, 900.0::DOUBLE), (1, 2, 800.0), (2, 2, 800.0), (3, 3, 450.0), (4, 2, 480.0), (5, 2, 480.0)) t(step, k, max_dist)")
+@query(WITH + _LOG + " SELECT step, k, max_dist, max(max_dist) OVER () AS top_dist, max(k) OVER () AS top_k FROM lg")
 def view_chart(spark, d):
-    w = Window.partitionBy(F.lit(0))
-    return _log(spark).select("step", "k", "max_dist", F.max("max_dist").over(w).alias("top_dist"), F.max("k").over(w).alias("top_k"))
+    log = _log(spark, d).select("step", "k", "max_dist")
+    return log.crossJoin(F.broadcast(log.agg(F.max("max_dist").alias("top_dist"), F.max("k").alias("top_k"))))  # one row
 
 
-@query("SELECT * FROM (VALUES (0, 'farthest', 5::BIGINT), (1, 'farthest', 6), (2, 'farthest', 6), (3, 'farthest', 7), (4, 'farthest', 8), (5, 'farthest', 8), (3, 'added', 6), (4, 'removed', 3)) t(step, mark, node)")
+@query(WITH + _LOG + " SELECT step, 'farthest' AS mark, farthest AS node, NULL::BIGINT AS dst FROM lg WHERE farthest IS NOT NULL UNION ALL SELECT step, 'added', centers[-1], NULL FROM lg WHERE kind = 'add' UNION ALL SELECT step, 'removed', centers[1], NULL FROM lg WHERE kind = 'remove' UNION ALL SELECT step, 'moved', centers[1], centers[-1] FROM lg WHERE kind = 'move'")
 def view_moves_marks(spark, d):
-    return X.marks(_log(spark))
+    log = _log(spark, d)
+    moved = X.moves(log).select("step", F.lit("moved").alias("mark"), F.col("src").alias("node"), "dst")
+    return X.marks(log).withColumn("dst", F.lit(None).cast("long")).unionByName(moved)
 
 
-@query(WITH + NET + ", c(step, idx, node) AS (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 1), (1, 1, 3), (2, 0, 1), (2, 1, 3), (3, 0, 1), (3, 1, 3), (3, 2, 6), (4, 0, 1), (4, 1, 6), (5, 0, 1), (5, 1, 6)) SELECT step, idx, node::BIGINT AS node, lon, lat FROM c JOIN nodes ON node_id = node")
+@query(WITH + N.WAYS_SQL + ", " + _LOG + " SELECT step, kind, idx, node, round(lon, 7) AS lon, round(lat, 7) AS lat FROM pts JOIN wn ON osm_id = node")
 def out_steps_json(spark, d):
-    n, _ = _net(spark, d)
-    return X.center_table(_log(spark), n.withColumnRenamed("node_id", "node"))
+    """The JSON of every step, read back."""
+    nodes = N.way_nodes(spark, d).withColumnRenamed("osm_id", "node")
+    schema = "step int, kind string, points array<struct<idx:int,node:long,lon:double,lat:double>>"
+    back = X.steps_json(_log(spark, d), nodes).select(F.from_json("value", schema).alias("v")).select("v.step", "v.kind", F.explode("v.points").alias("p"))
+    return back.select("step", "kind", "p.idx", "p.node", F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
 
 
 def entry(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,23 +103,31 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     schema = "slug string, name string, displayName string, bbox array<double>, rawBytes long, gzBytes long, elements long"
     try:
         return spark.read.schema(schema).json(path, multiLine=True)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def write_manifest(cities: DataFrame, path: str) -> None:
+    """cities (with the columns that ``read_manifest`` gives) as one JSON array in one file; a manifest has a row a city."""
+    whole = cities.agg(F.to_json(F.array_sort(F.collect_list(F.struct("slug", *[c for c in cities.columns if c != "slug"])))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those of the same key."""
     return old.join(new, key, "left_anti").unionByName(new)
 
 
 def cached_query(spark: SparkSession, folder: str, query: str, make) -> DataFrame:
-    """Result of a query text, kept as Parquet under its hash; a cache that can't be read is made anew."""
+    """Result of a query text, kept as Parquet under its hash; only a missing one is made, other errors are raised."""
     path = f"{folder}/{hashlib.sha256(query.encode()).hexdigest()}"
     try:
         return spark.read.parquet(path)
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 

@@ -163,6 +163,6 @@ def test_registered_coverage_takes_the_whole_network(spark, tmp_path):
         if dist[top] <= 1200:
             break
         c.append(top)
-    got = coverage.gonzalez(registry._run(spark, d, radius=1200.0)).steps
-    assert [(s["centers"], s["max_dist"]) for s in got if s["kind"] != "final"] == steps
+    got = registry._steps(spark, d, "gonzalez", radius=1200.0).orderBy("step").collect()
+    assert [(s.centers, s.max_dist) for s in got if s.kind != "final"] == steps
     assert sum(r["size"] for r in registry.clus_group(spark, d).collect()) == len(far[0].keys() | far[60].keys() | far[130].keys())
