@@ -212,15 +212,16 @@ def mix_blocks(docs: DataFrame) -> DataFrame:
     def pieces(w: Column) -> Column:
         def piece(b: Column) -> Column:
             first, end = F.greatest(F.col("start"), b * BLOCK), F.least(F.col("start") + F.col("size"), (b + 1) * BLOCK)
-            return F.struct(b.alias("block"), (first - b * BLOCK).alias("at"), F.slice(w, (first - F.col("start") + 1).cast("int"), (end - first).cast("int")).alias("words"))
+            # joined here, as an array of words is several times its text
+            held = F.array_join(F.slice(w, (first - F.col("start") + 1).cast("int"), (end - first).cast("int")), " ")
+            return F.struct(b.alias("block"), (first - b * BLOCK).cast("int").alias("at"), (end - first).cast("int").alias("n"), held.alias("words"))
 
         return F.transform(_blocks(F.col("start"), F.col("size")), piece)
 
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = found.select("doc_id", "source_id", F.explode(F.get(F.transform(F.array(words), pieces), 0)).alias("p")).select("doc_id", "source_id", "p.*")
-    packed = cut.groupBy("source_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "words"))).alias("ps"))  # a block holds BLOCK words
-    whole = F.flatten(F.transform("ps", lambda p: p["words"]))
-    packed = packed.select("source_id", "block", F.transform("ps", lambda p: p["doc_id"]).alias("doc_ids"), F.size(whole).alias("n_tokens"), F.array_join(whole, " ").alias("text"))
+    packed = cut.groupBy("source_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "words"))).alias("ps"), F.sum("n").cast("int").alias("n_tokens"))  # a block holds BLOCK words
+    packed = packed.select("source_id", "block", F.transform("ps", lambda p: p["doc_id"]).alias("doc_ids"), "n_tokens", F.array_join(F.transform("ps", lambda p: p["words"]), " ").alias("text"))
     names = sources.select("source_id", "source")
     names = F.broadcast(names) if sources.count() <= BROADCAST_SOURCES else names
     return slots.join(packed, ["source_id", "block"]).join(names, "source_id").select("shard", "source", "slot", "block", "n_tokens", "doc_ids", "text")
