@@ -102,7 +102,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contain an item."""
-    bad = contained_items(docs, benchmark).select(F.col("row_key").alias("row_key__")).distinct()
+    bad = materialize(contained_items(docs, benchmark).select(F.col("row_key").alias("row_key__")).distinct(), "leaks")
+    bad = _small(bad, bad.count() <= BROADCAST_KEYS)
     keyed = docs.withColumn("row_key__", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(bad, "row_key__", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
