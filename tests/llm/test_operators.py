@@ -425,6 +425,90 @@ def test_pipeline(spark, tmp_path):
     rows = [*good, (20, good[0][1], "en", "s0", 1), (21, "junk", "en", "s0", 1), (22, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(f"word3x{j}" for j in range(10, 40)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: r["size"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    blocks = corpus_pipeline.run(spark, str(tmp_path)).collect()
     # 21 and 22 fail the rules, 20 loses its only line, 3 contains the item
-    assert got == {0: 80, 1: 80, 2: 80, 4: 80, 5: 80, 20: 0}
+    assert {x for r in blocks for x in r.doc_ids} <= {0, 1, 2, 4, 5} and {r.source for r in blocks} == {"s0", "s1"}
+    texts = {i: t.split() for i, t, *_ in good}
+    assert {w for r in blocks for w in r.text.split()} <= {w for i in (0, 1, 2, 4, 5) for w in texts[i]}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[name] = sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert kept == {"quality_rules": [0, 1, 2, 3, 4, 5, 20], "line_dedup": [0, 1, 2, 3, 4, 5, 20], "ngram_jaccard_join": [0, 1, 2, 3, 4, 5, 20], "benchmark_decontamination": [0, 1, 2, 4, 5, 20]}
+
+
+def test_pipeline_on_empty_tables_and_an_empty_benchmark(spark, tmp_path):
+    import corpus_pipeline
+
+    schema, items = "doc_id long, text string, lang string, source string, n_chars long", "item_id long, text string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], items).write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    spark.createDataFrame([(1, A, "en", "s", 1), (None, A.replace("alpha", "beta"), None, None, None)], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], items).write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert {x for r in corpus_pipeline.run(spark, f"{tmp_path}/b").collect() for x in r.doc_ids} == {1, None}
+
+
+def test_one_of_each_group_stays(spark):
+    """Repeated rows, repeated and null ids: one row of each group, whole rows, all columns."""
+    other = A.replace("alpha", "omega")
+    rows = [(7, A, "x"), (7, A, "x"), (7, B, "x"), (3, B, "y"), (None, A, "z"), (None, other, "p"), (None, other, "q"), (9, None, "n"), (9, "", "n"), (None, " ", "n")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, member string"))
+    assert got.columns == ["doc_id", "text", "member"]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, B), (None, other), (9, None), (9, ""), (None, " ")])
+
+
+def test_equal_rows_route_linearly(spark):
+    rows = [(1, A)] * 3000 + [(2, B)]
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[1].count() == 2 and got[2].count() == 1 and got[0].count() == 3001
+
+
+def test_different_words_never_share_a_polynomial(spark):
+    """The Thue-Morse words collide under any polynomial modulo a power of two."""
+    x = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    y = x.translate(str.maketrans("ab", "ba"))
+    assert len(set(text.Hashed(pa.array([f"{x} {y}"]), lower=False).h.tolist())) == 2
+    tail = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, " ".join([x, *tail.split()[:34]])), (2, " ".join([y, *tail.split()[:34]]))], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.repeats_digest(docs).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 1])
+def test_substrings_of_shared_passages(spark, hot):
+    """Passages over each other, within one text and at its ends, with other whitespace; frequent anchors take the other way."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{x}" for x in rng.integers(0, 300, 120)]
+    texts = [" ".join(f"u{i}x{j}" for j in range(20)) + "\n" + " \t".join(passage[int(a) : int(a) + int(n)]) + " " + f"v{i} " * int(k) for i, (a, n, k) in enumerate(zip(rng.integers(0, 90, 40), rng.integers(20, 90, 40), rng.integers(0, 80, 40)))]
+    own = [SPLIT.findall(t) for t in texts]
+    seen = Counter(tuple(w[k : k + 35]) for w in own for k in range(len(w) - 34))
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot).collect()}
+    for i, w in enumerate(own):
+        gone = {k + j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        assert got[i].n_removed == len(gone) and got[i].kept == " ".join(x for k, x in enumerate(w) if k not in gone)
+        assert {k for r in got[i].repeats for k in range(r["first"], r["end"])} == gone
+
+
+def test_secret_base_columns_against_brute_force(spark):
+    forms = {"assign": (r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), "access": ("(AKIA[A-Z0-9]+)", 20), "hex": ("([0-9a-f]+)", 24)}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [(-1, "token=token=abc token:token token = 'x" + "a" * 23 + " " + "a" * 24 + " AKIA" + "B" * 15 + " AKIA" + "B" * 16 + " AKIAKIA" + "C" * 20), (-2, "é" * 9 + "api_key: é secret=abcdefg"), (-3, None), (-4, ""), (-5, "password=hunter2x " * 300)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r for r in secrets.secret_digest(docs).collect()}
+    for r in docs.collect():
+        spans = []
+        for rank, (kind, (form, least)) in enumerate(forms.items()):
+            own = [m for m in re.finditer(form, r.text or "") if len(m[1]) >= least]
+            assert got[r.doc_id][f"n_{kind}"] == len(own)
+            spans += [(m.start(), rank, m.end(), kind) for m in own]
+        want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_candidates_that_touch_a_span_are_left_out(spark):
+    strong = "aB3dE6gH9jK2mN5pQ8sT1vW4"
+    rows = [(1, f"x {strong} y"), (2, f"token={strong}"), (3, f"token=abcdefgh {strong} secret: abcdefgh {strong[::-1]}"), (4, f"{strong}=" * 60)]
+    got = {r.doc_id: r.n_entropy for r in secrets.secret_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 2, 4: 1}
