@@ -174,3 +174,13 @@ def simplify_ring(line: Column, tol: float = 0.0005) -> Column:
         return lines.map(lambda ps: [{"lon": x, "lat": y} for x, y in _douglas_peucker([(p["lon"], p["lat"]) for p in ps], tol)])
 
     return run(line)
+
+
+def simplify_rings(lines: Column, tol: float = 0.0005) -> Column:
+    """``simplify_ring`` of each line of an array; null stays null."""
+
+    @F.pandas_udf(f"array<{LINE}>")
+    def run(rings: pd.Series) -> pd.Series:
+        return rings.map(lambda rs: None if rs is None else [[{"lon": x, "lat": y} for x, y in _douglas_peucker([(p["lon"], p["lat"]) for p in ps], tol)] for ps in rs])
+
+    return run(lines)

@@ -120,6 +120,23 @@ def segmentize(edges: DataFrame, most: float) -> DataFrame:
     )
 
 
+def sampled(edges: DataFrame, step: float) -> DataFrame:
+    """Edges cut at round(length / step) points (halves to even) that lie evenly, half a step from the ends: (edge_id, u, v, length_m).
+
+    The points have ids made of (edge_id, number), negative; an edge of 100,000 points or more raises an error.
+    """
+    n = F.bround(F.col("length_m") / step).cast("long")
+    n = F.when(n < 100_000, n).otherwise(F.raise_error(F.lit("an edge has too many points")).cast("long"))
+    e = edges.withColumn("n", n).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+    inner = lambda i: -(F.col("edge_id") * 100_000 + i)
+    whole, half = F.col("length_m") / F.col("n"), F.col("length_m") / (2 * F.col("n"))
+    length = F.when(F.col("n") == 0, F.col("length_m").cast("double")).when((F.col("piece") == 0) | (F.col("piece") == F.col("n")), half).otherwise(whole)
+    return e.select(
+        (F.col("edge_id") * 100_000 + F.col("piece")).alias("edge_id"), F.when(F.col("piece") == 0, F.col("u")).otherwise(inner(F.col("piece"))).alias("u"),
+        F.when(F.col("piece") == F.col("n"), F.col("v")).otherwise(inner(F.col("piece") + 1)).alias("v"), length.alias("length_m"),
+    )
+
+
 def compact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Used nodes with their rank by id in two levels, so that no window holds all of them: (node_id, new_id)."""
     used = nodes.join(edges.select(F.explode(F.array("u", "v")).alias("node_id")).distinct(), "node_id", "left_semi").select("node_id")

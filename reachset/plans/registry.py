@@ -96,10 +96,18 @@ def src_area_bbox(spark, d):
     return n.agg(F.count_if(box).alias("in_bbox"), F.count_if(geo.inside_ring(F.col("lon"), F.col("lat"), ring)).alias("in_ring"))
 
 
-@query("SELECT 'Town' AS display_name, 34.5::DOUBLE AS west, 32.0::DOUBLE AS south, 34.9::DOUBLE AS east, 32.2::DOUBLE AS north")
+@query(WITH + "c AS (SELECT n_name AS name, n_nationkey::BIGINT AS k FROM nation) SELECT name, (34 + k)::DOUBLE AS west, 32::DOUBLE AS south, (35 + k)::DOUBLE AS east, 33::DOUBLE AS north, (k % 3)::BIGINT AS rings, 5 * (k % 3)::BIGINT AS points FROM c")
 def src_geocode(spark, d):
-    text = '[{"display_name":"Town","boundingbox":["32.0","32.2","34.5","34.9"]}]'
-    return spark.createDataFrame([(text,)], "t string").select(S.parse_geocode(F.col("t")).alias("g")).select("g.*")
+    """A saved response for every nation: none, one (with a hole) or two polygons, with a point on a straight side."""
+    k = F.col("n_nationkey").cast("long")
+    west, east = 34.0 + k, 35.0 + k
+    ring = F.format_string("[[%f,32.0],[%f,32.0],[%f,32.0],[%f,33.0],[%f,33.0],[%f,32.0]]", west, west + 0.5, east, east, west, west)
+    shape = F.when(k % 3 == 1, F.concat(F.lit('"Polygon","coordinates":['), ring, F.lit(",[[0,0],[0,1],[1,0],[0,0]]]"))).when(k % 3 == 2, F.concat(F.lit('"MultiPolygon","coordinates":[['), ring, F.lit("],["), ring, F.lit("]]")))
+    shape = F.coalesce(shape, F.lit('"Point","coordinates":[34.5,32.5]'))
+    text = F.concat(F.lit('[{"display_name":"'), F.col("n_name"), F.lit('","boundingbox":["32.0","33.0","'), west.cast("string"), F.lit('","'), east.cast("string"), F.lit('"],"geojson":{"type":'), shape, F.lit("}}]"))
+    hits = spark.read.parquet(f"{d}/nation.parquet").select(text.alias("t")).select(S.parse_geocode(F.col("t")).alias("g"), S.outer_rings(F.col("t")).alias("rings"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return hits.select(F.col("g.display_name").alias("name"), "g.west", "g.south", "g.east", "g.north", n(F.expr("if(rings is null, 0, size(rings))")).alias("rings"), n(F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r))).alias("points"))
 
 
 def _cities(spark, d):
@@ -155,20 +163,29 @@ def src_wkt(spark, d):
     return _segments(spark, d).select("id", F.size(geo.wkt_line(F.col("wkt"))).cast("long").alias("n"))
 
 
-def _lines(spark, d):
-    n, e = _net(spark, d)
+def _lines(spark, d, shift=0.1, **k):
+    """Edges as planar lines; shifted, their ends meet only after snapping."""
+    n, e = _net(spark, d, **k)
     w = n.agg(F.count("*")).first()[0]
     side = int(w**0.5)
-    xy = lambda c: geo.point(F.lit(180_000) + 100 * (F.col(c) % side) + F.pmod(F.col("u") + F.col("v"), F.lit(3)) * 0.1, F.lit(660_000) + 100 * F.floor(F.col(c) / side) + F.pmod(F.col("u") + F.col("v"), F.lit(3)) * 0.1)
+    xy = lambda c: geo.point(F.lit(180_000) + 100 * (F.col(c) % side) + F.pmod(F.col("u") + F.col("v"), F.lit(3)) * shift, F.lit(660_000) + 100 * F.floor(F.col(c) / side) + F.pmod(F.col("u") + F.col("v"), F.lit(3)) * shift)
     return e.select(F.col("edge_id").alias("line_id"), F.array(xy("u"), xy("v")).alias("geom"))
 
 
-@query(WITH + NET + ", ends AS (SELECT u AS x FROM edges UNION SELECT v FROM edges) SELECT (SELECT count(*) FROM ends) AS n, (SELECT count(*) FROM edges) AS m, (SELECT round(sum(100.0), 3) FROM edges) AS total")
+@query(WITH + NET + ", ends AS (SELECT u AS x FROM edges UNION SELECT v FROM edges) SELECT (SELECT count(*) FROM ends) AS n, (SELECT count(*) FROM edges) AS m, (SELECT round(sum(100.0), 3) FROM edges)::DOUBLE AS total")
 def src_lines_snap(spark, d):
     n, e = S.snap_lines(_lines(spark, d), 0.5)
     return n.agg(F.count("*").alias("n")).join(e.agg(F.count("*").alias("m"), F.round(F.sum("length_m"), 3).alias("total")))  # one row each
 
 
+@query(REC + NET35 + ", " + N.CC_SQL + ", s AS (SELECT c, count(*) AS n FROM cc GROUP BY c), q AS (SELECT c, count(*) AS m FROM edges JOIN cc ON id = u GROUP BY c) SELECT n + 3 * m AS n, 4 * m AS m, round(100.0 * m, 3)::DOUBLE AS total FROM s JOIN q USING (c) ORDER BY n + 3 * m DESC LIMIT 1")
+def src_lines_split(spark, d):
+    """Lines of two parts, cut into pieces of 30 at most; the largest component."""
+    lines = _lines(spark, d, drop=35).select("line_id", F.array("geom", F.slice("geom", 1, 1)).alias("parts"))
+    n, e = S.snap_lines(lines, 0.5, 30.0, largest=True)
+    return n.agg(F.count("*").alias("n")).join(e.agg(F.count("*").alias("m"), F.round(F.sum("length_m"), 3).alias("total")))  # one row each
+
+
 @query(WITH + NET + ", twice AS (SELECT edge_id, u, v, length_m FROM edges UNION ALL SELECT edge_id + 1000000, v, u, length_m + 5 FROM edges UNION ALL SELECT -node_id - 1, node_id, node_id, 1 FROM nodes) SELECT least(u, v) AS u, greatest(u, v) AS v, min(length_m) AS length_m FROM twice WHERE u <> v GROUP BY 1, 2")
 def src_nx_graph(spark, d):
     n, e = _net(spark, d)
@@ -335,6 +352,14 @@ def build_simplify(spark, d):
     return T.simplify(_net(spark, d, drop=35)[1]).select("chain", "u", "v", "length_m", "n_edges")
 
 
+@query(REC + _CHAINS + ", " + N.CC_SQL + """, ch AS (SELECT lc.c AS chain, min(u) AS u, count(*) AS k, round(100 * count(*) / 150.0)::BIGINT AS pts FROM edges JOIN lc ON id = edge_id GROUP BY lc.c),
+ q AS (SELECT cc.c, sum(pts)::BIGINT AS pts, sum(pts + 1)::BIGINT AS m, sum(100.0 * k) AS total FROM ch JOIN cc ON id = u GROUP BY cc.c), e AS (SELECT c, count(*) AS n FROM cc WHERE id NOT IN (SELECT id FROM inn) GROUP BY c)
+ SELECT n + pts AS n, m, round(total, 3)::DOUBLE AS total FROM e JOIN q USING (c) ORDER BY n + pts DESC LIMIT 1""")
+def src_lines_sf(spark, d):
+    e = S.prepare_lines(_lines(spark, d, shift=0.0, drop=35), 150.0)
+    return T.used_nodes(e).join(e.agg(F.count("*").alias("m"), F.round(F.sum("length_m"), 3).alias("total")))  # one row each
+
+
 @query(WITH + NET + " SELECT edge_id, piece, CASE WHEN piece = 1 THEN u ELSE -(edge_id * 100000 + piece - 1) END AS u, CASE WHEN piece = k THEN v ELSE -(edge_id * 100000 + piece) END AS v, round(length_m / k, 6) AS length_m FROM (SELECT *, ceil(length_m / 40.0)::BIGINT AS k, unnest(range(1, ceil(length_m / 40.0)::BIGINT + 1)) AS piece FROM edges)")
 def build_segmentize(spark, d):
     return T.segmentize(_net(spark, d)[1], 40.0).withColumn("length_m", F.round("length_m", 6))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import topology
+from ..operators.lineage import settle
 
 OSM = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>"
 # fixed values: words that a tag must not contain, by network type
@@ -85,6 +87,15 @@ def parse_geocode(text: Column) -> Column:
     return F.when(F.size(hits) > 0, found).otherwise(F.raise_error(F.lit("place not found")).cast("struct<display_name:string,west:double,south:double,east:double,north:double>"))
 
 
+def outer_rings(text: Column, tol: float = 0.0005) -> Column:
+    """Outer rings of the first hit's polygon or polygons, simplified; null where it has none (its bbox is the area then)."""
+    kind, held = F.get_json_object(text, "$[0].geojson.type"), F.get_json_object(text, "$[0].geojson.coordinates")
+    one = F.array(F.from_json(held, "array<array<array<double>>>"))
+    many = F.from_json(held, "array<array<array<array<double>>>>")
+    polygons = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
+    return geo.simplify_rings(F.transform(polygons, lambda rings: F.transform(F.get(rings, 0), lambda p: geo.point(F.get(p, 0), F.get(p, 1)))), tol)
+
+
 def read_segments(spark: SparkSession, path: str, bbox: tuple[float, float, float, float], network_type: str, limit: int | None = None) -> DataFrame:
     return filter_segments(spark.read.parquet(path), bbox, network_type, limit)
 
@@ -145,13 +156,59 @@ def segment_edges(segments: DataFrame) -> DataFrame:
     return e.select("id", "piece", "u", "v", ((F.col("b") - F.col("a")) * F.col("total")).alias("length_m"), geo.slice_line(F.col("geom"), F.col("a") * F.col("total"), F.col("b") * F.col("total")).alias("geom"))
 
 
-def snap_lines(lines: DataFrame, tol: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of planar lines (line_id, geom): ends are joined on a grid of tol, halves rounded to even."""
-    key = lambda p: F.struct(F.bround(p["lon"] / tol).cast("long").alias("gx"), F.bround(p["lat"] / tol).cast("long").alias("gy"))
-    ends = lines.select("line_id", key(F.element_at("geom", 1)).alias("a"), key(F.element_at("geom", -1)).alias("b"), geo.length(F.col("geom"), geo.planar).alias("w"))
-    ids = ends.select(F.col("a").alias("g"), (2 * F.col("line_id")).alias("k")).unionByName(ends.select(F.col("b").alias("g"), (2 * F.col("line_id") + 1).alias("k"))).groupBy("g").agg(F.min("k").alias("node_id"))
-    e = ends.join(ids.select(F.col("g").alias("a"), F.col("node_id").alias("u")), "a").join(ids.select(F.col("g").alias("b"), F.col("node_id").alias("v")), "b")
-    return ids.select("node_id", "g.gx", "g.gy"), e.filter("u <> v and w > 0").select(F.col("line_id").alias("edge_id"), "u", "v", F.col("w").alias("length_m"))
+def _numbered(keys: DataFrame, name: str) -> DataFrame:
+    """Distinct rows of keys with a number from 0, column ``name``: counted by hash bucket, then ranked within each."""
+    cols = keys.columns
+    k = keys.distinct().withColumn("bucket", F.pmod(F.xxhash64(*cols), F.lit(4096)))
+    before = k.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # at most 4096 rows
+    k = k.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*cols)))
+    return k.join(F.broadcast(before), "bucket").select(*cols, (F.col("before") + F.col("r") - 1).alias(name))
+
+
+def snap_lines(lines: DataFrame, tol: float = 0.5, most: float = 0.0, largest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of planar lines: (node_id, lon, lat) and (line_id, part, piece, u, v, length_m).
+
+    lines(line_id, geom) or, multi-part, lines(line_id, parts). Each part is cut into ceil(length / most) equal pieces (0:
+    not cut). Ends are joined on a grid of tol, halves rounded to even (0: only equal points), and a node lies at its first
+    point by (line, part, place). Null lines, parts of fewer than two points or without length, loops and empty pieces are left
+    out; ``largest`` keeps the largest component.
+    """
+    parts = F.posexplode("parts") if "parts" in lines.columns else F.posexplode(F.array("geom"))
+    x = lines.select("line_id", parts.alias("part", "line")).filter(F.size("line") > 1).withColumn("total", geo.length(F.col("line"), geo.planar)).filter("total > 0")
+    n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total") / most)) if most > 0 else F.lit(1).cast("long")
+    x = x.withColumn("n", n)
+    x = x.withColumn("ps", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n")), lambda i: geo.point_along(F.col("line"), F.col("total") * i / F.col("n"), geo.planar)))
+    grid = lambda c: F.bround(c / tol) if tol > 0 else c + 0.0
+    x = settle(x.select("line_id", "part", F.posexplode("ps").alias("at", "p"), F.col("total").alias("total"), "n").withColumn("gx", grid(F.col("p.lon"))).withColumn("gy", grid(F.col("p.lat"))))
+    nodes = settle(_numbered(x.select("gx", "gy"), "node_id"))
+    first = x.groupBy("gx", "gy").agg(F.min_by("p", F.struct("line_id", "part", "at")).alias("p"))
+    step = x.select("line_id", "part", "at", "total", "n", "gx", "gy").join(nodes, ["gx", "gy"]).select("line_id", "part", "at", "total", "n", "node_id")
+    begin = step.select("line_id", "part", (F.col("at") + 1).alias("piece"), F.col("node_id").alias("u"))
+    e = step.withColumnRenamed("at", "piece").withColumnRenamed("node_id", "v").join(begin, ["line_id", "part", "piece"])
+    e = e.select("line_id", "part", "piece", "u", "v", (F.col("total") / F.col("n")).alias("length_m")).filter("u <> v and length_m > 0")
+    out = nodes.join(first, ["gx", "gy"]).select("node_id", "p.lon", "p.lat")
+    return topology.largest_component(out, settle(e)) if largest else (out, e)
+
+
+def prepare_lines(lines: DataFrame, most: float = 150.0, simplify: bool = True) -> DataFrame:
+    """(edge_id, u, v, length_m) of planar lines(line_id, geom) that meet at shared vertices.
+
+    Lines are cut at shared inner vertices, nodes of degree 2 are smoothed, round(length / most) points (halves to even) are
+    laid evenly on each edge, half a step from its ends (0: none), and become nodes; the largest component stays, without
+    loops and with the shortest of parallel edges. The points' ids are negative; null lines and lines of one vertex are left out.
+    """
+    v = lines.filter(F.size("geom") > 1).select("line_id", F.col("geom").alias("vertices"))
+    cut = settle(topology.subdivide(v).withColumn("length_m", geo.length(F.col("vertices"), geo.planar)).withColumn("a", F.element_at("vertices", 1)).withColumn("b", F.element_at("vertices", -1)))
+    ids = settle(_numbered(cut.select(F.explode(F.array("a", "b")).alias("p")), "node_id"))
+    named = settle(_numbered(cut.select("line_id", "part"), "edge_id"))
+    e = cut.join(named, ["line_id", "part"]).join(ids.select(F.col("p").alias("a"), F.col("node_id").alias("u")), "a").join(ids.select(F.col("p").alias("b"), F.col("node_id").alias("v")), "b")
+    e = settle(e.select("edge_id", "u", "v", "length_m"))
+    if simplify:
+        e = settle(topology.simplify(e).select(F.col("chain").alias("edge_id"), "u", "v", "length_m"))
+    if most > 0:
+        e = settle(topology.sampled(e, most))
+    _, e = topology.largest_component(e.select(F.explode(F.array("u", "v")).alias("node_id")).distinct(), e)
+    return topology.simple_graph(e).select("edge_id", "u", "v", "length_m")
 
 
 def check_limits(nodes: int, area_km2: float | None = None) -> None:

@@ -166,3 +166,42 @@ def test_registered_coverage_takes_the_whole_network(spark, tmp_path):
     got = registry._steps(spark, d, "gonzalez", radius=1200.0).orderBy("step").collect()
     assert [(s.centers, s.max_dist) for s in got if s.kind != "final"] == steps
     assert sum(r["size"] for r in registry.clus_group(spark, d).collect()) == len(far[0].keys() | far[60].keys() | far[130].keys())
+
+
+def _line(*points):
+    return [{"lon": float(x), "lat": float(y)} for x, y in points]
+
+
+def test_snap_lines_of_parts(spark):
+    rows = [(1, [_line((0, 0), (10, 0)), _line((10.1, 0), (10.1, 7))]), (2, [_line((50, 50), (50.1, 50.1))]), (3, [_line((80, 80)), _line((90, 90), (90, 90)), None]), (4, None), (5, [_line((90, 0), (92, 0))])]
+    lines = spark.createDataFrame(rows, f"line_id long, parts array<{geo.LINE}>")
+    nodes, edges = network.snap_lines(lines, 0.5, 4.0)
+    got = sorted((r.line_id, r.part, r.piece, round(r.length_m, 6)) for r in edges.collect())
+    # the two parts of line 1 meet; line 2 is a loop on the grid; points, nulls and lines without length give nothing
+    assert got == [(1, 0, 1, 3.333333), (1, 0, 2, 3.333333), (1, 0, 3, 3.333333), (1, 1, 1, 3.5), (1, 1, 2, 3.5), (5, 0, 1, 2.0)]
+    at = {(round(r.lon, 3), round(r.lat, 3)): r.node_id for r in nodes.collect()}
+    assert (10.0, 0.0) in at and (10.1, 0.0) not in at  # a node lies at its first point
+    assert sorted(at.values()) == list(range(len(at))) and len(at) == 9
+    kept, left = network.snap_lines(lines, 0.5, 4.0, largest=True)
+    assert kept.count() == 6 and left.count() == 5
+    assert network.snap_lines(lines, 0.0)[0].count() == 8  # only equal points meet
+    assert network.snap_lines(lines.limit(0), 0.5, 4.0, largest=True)[1].count() == 0
+
+
+def test_prepared_lines(spark):
+    # a cross that two lines share a vertex in, with a bend; an island that goes
+    rows = [(1, _line((0, 0), (100, 0), (300, 0))), (2, _line((100, 0), (100, 100), (200, 100))), (3, _line((900, 900), (910, 900))), (4, None), (5, _line((1, 1)))]
+    lines = spark.createDataFrame(rows, f"line_id long, geom {geo.LINE}")
+    got = sorted(r.length_m for r in network.prepare_lines(lines, 0.0).collect())
+    assert got == [100.0, 200.0, 200.0]
+    got = sorted(r.length_m for r in network.prepare_lines(lines, 100.0).collect())
+    assert got == [50.0] * 6 + [100.0] * 2  # one point, two points, two points
+    assert network.prepare_lines(lines.limit(0)).count() == 0
+
+
+def test_outer_rings(spark):
+    ring = [[0, 0], [0.5, 0], [1, 0], [1, 1], [0, 1], [0, 0]]
+    texts = [f'[{{"geojson":{{"type":"Polygon","coordinates":[{ring},[[0,0],[1,1],[1,0],[0,0]]]}}}}]', f'[{{"geojson":{{"type":"MultiPolygon","coordinates":[[{ring}],[{ring}]]}}}}]', '[{"geojson":{"type":"Point","coordinates":[1,2]}}]', "[]", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", network.outer_rings(F.col("t")).alias("r")).orderBy("i").collect()
+    assert [None if r.r is None else [len(x) for x in r.r] for r in rows] == [[5], [5, 5], None, None, None]
+    assert [(p.lon, p.lat) for p in rows[0].r[0]] == [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
