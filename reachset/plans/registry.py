@@ -515,12 +515,17 @@ def _steps(spark, d, algorithm, **params):
     return V.steps(*_whole(spark, d), _params(**params), algorithm)
 
 
-@query()
+_ALL = NET + ", seeds AS (SELECT DISTINCT u AS id FROM adj), " + N.ALL_SQL.format(cut="")
+_FAR = "(SELECT id FROM ap WHERE src = (SELECT {} FROM {}) ORDER BY d DESC, id LIMIT 1)"
+_DIAMETER = _ALL + f", e0 AS {_FAR.format('min(id)', 'seeds')}, ea AS {_FAR.format('id', 'e0')}, eb AS {_FAR.format('id', 'ea')}"
+
+
+@query(REC + _DIAMETER + " SELECT 0 AS idx, id AS node FROM ea UNION ALL SELECT 1, eb.id FROM eb CROSS JOIN ea WHERE eb.id <> ea.id")
 def cov_init_diameter(spark, d):
     return K.initial(*_whole(spark, d), _params())
 
 
-@query()
+@query(REC + _DIAMETER + ", x AS (SELECT ap.id, ap.d FROM ap JOIN ea ON ap.src = ea.id), y AS (SELECT ap.id, ap.d FROM ap JOIN eb ON ap.src = eb.id) SELECT s.id AS node FROM seeds s LEFT JOIN x ON x.id = s.id LEFT JOIN y ON y.id = s.id ORDER BY greatest(coalesce(x.d, 'inf'::DOUBLE), coalesce(y.d, 'inf'::DOUBLE)), s.id LIMIT 1")
 def cov_init_single(spark, d):
     return K.initial(*_whole(spark, d), _params(init="single")).select("node")
 
@@ -559,13 +564,20 @@ def cov_assignment(spark, d):
     return run.assign(run.initial())
 
 
-@query()
+_FARTHEST_FIRST = _DIAMETER + """, st AS (SELECT 0 AS step, s.id AS node, coalesce(ap.d, 'inf'::DOUBLE) AS d, ea.id AS added FROM seeds s CROSS JOIN ea LEFT JOIN ap ON ap.src = ea.id AND ap.id = s.id
+ UNION ALL SELECT st.step + 1, st.node, least(st.d, coalesce(ap.d, 'inf'::DOUBLE)), f.node FROM st CROSS JOIN (SELECT node, d FROM st ORDER BY d DESC, node LIMIT 1) f LEFT JOIN ap ON ap.src = f.node AND ap.id = st.node WHERE f.d > 500)"""
+
+
+@query(REC + _FARTHEST_FIRST + " SELECT step, (step + 1)::BIGINT AS k, max(d) AS max_dist, any_value(added) AS added FROM st GROUP BY step")
 def cov_gonzalez(spark, d):
     s = _steps(spark, d, "gonzalez").filter("kind <> 'final'")
     return s.select("step", F.col("k").cast("long").alias("k"), "max_dist", F.element_at("centers", -1).alias("added"))
 
 
-@query()
+# up to the cap of 1500 candidates all nodes are candidates, and some node covers what is left; node -1 marks the step
+@query(REC + NET + ", seeds AS (SELECT DISTINCT u AS id FROM adj), " + N.ALL_SQL.format(cut="WHERE ap.d + a.w <= 500") + """, gr AS (SELECT 0 AS step, id AS node, NULL::BIGINT AS added FROM (SELECT id FROM seeds UNION ALL SELECT -1)
+ UNION ALL SELECT gr.step + 1, gr.node, p.src FROM gr CROSS JOIN (SELECT ap.src FROM gr JOIN ap ON ap.id = gr.node GROUP BY ap.src ORDER BY count(*) DESC, ap.src LIMIT 1) p LEFT JOIN ap x ON x.src = p.src AND x.id = gr.node WHERE x.id IS NULL)
+ SELECT step - 1 AS step, step::BIGINT AS k, added FROM gr WHERE node = -1 AND step > 0""")
 def cov_lscp(spark, d):
     s = _steps(spark, d, "lscp").filter("kind <> 'final'")
     return s.select("step", F.col("k").cast("long").alias("k"), F.element_at("centers", -1).alias("added"))
@@ -591,7 +603,7 @@ def cov_post_pull(spark, d):
     return _steps(spark, d, "gonzalez", post_pull=True, radius=900.0).select("step", "kind", "k", "max_dist", "covered")
 
 
-@query()
+@query(REC + _FARTHEST_FIRST + " SELECT DISTINCT step, CASE WHEN step = 0 THEN 'init' ELSE 'add' END AS kind, step + 1 AS k FROM st WHERE step < 4 UNION ALL SELECT 4, 'abort', 4 WHERE (SELECT max(step) FROM st) >= 4")
 def cov_abort(spark, d):
     return _steps(spark, d, "gonzalez", max_steps=4).select("step", "kind", "k")
 
