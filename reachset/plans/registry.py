@@ -517,7 +517,7 @@ def _steps(spark, d, algorithm, **params):
 
 _ALL = NET + ", seeds AS (SELECT DISTINCT u AS id FROM adj), " + N.ALL_SQL.format(cut="")
 _FAR = "(SELECT id FROM ap WHERE src = (SELECT {} FROM {}) ORDER BY d DESC, id LIMIT 1)"
-_DIAMETER = _ALL + f", e0 AS {_FAR.format('min(id)', 'seeds')}, ea AS {_FAR.format('id', 'e0')}, eb AS {_FAR.format('id', 'ea')}"
+_DIAMETER = _ALL + f", e0 AS MATERIALIZED {_FAR.format('min(id)', 'seeds')}, ea AS MATERIALIZED {_FAR.format('id', 'e0')}, eb AS MATERIALIZED {_FAR.format('id', 'ea')}"
 
 
 @query(REC + _DIAMETER + " SELECT 0 AS idx, id AS node FROM ea UNION ALL SELECT 1, eb.id FROM eb CROSS JOIN ea WHERE eb.id <> ea.id")
