@@ -65,17 +65,15 @@ def src_osm_json(spark, d):
 
 
 @query(
-    WITH + N.WAYS_SQL + " SELECT t AS network_type, count(*) AS n FROM wt, (VALUES ('drive'), ('walk'), ('all'), ('all_private')) x(t) WHERE highway IS NOT NULL"
+    WITH + N.WAYS_SQL + " SELECT t AS network_type, count(*) AS n FROM wt, (VALUES ('drive'), ('drive_service'), ('walk'), ('bike'), ('all'), ('all_public'), ('all_private')) x(t) WHERE highway IS NOT NULL"
     " AND NOT (t <> 'all_private' AND coalesce(access, '') LIKE '%private%') AND NOT (t = 'walk' AND (highway LIKE '%motor%' OR coalesce(foot, '') LIKE '%no%'))"
-    " AND NOT (t = 'drive' AND (highway LIKE '%footway%' OR highway LIKE '%service%')) GROUP BY t"
+    " AND NOT (t = 'drive' AND (highway LIKE '%footway%' OR highway LIKE '%service%')) AND NOT (t = 'drive_service' AND highway LIKE '%footway%')"
+    " AND NOT (t = 'bike' AND (highway LIKE '%motor%' OR highway LIKE '%footway%')) GROUP BY t"
 )
 def src_net_filter(spark, d):
     w = N.ways(spark, d)
-    out = None
-    for t in ("drive", "walk", "all", "all_private"):
-        x = w.filter(S.tag_filter(F.col("tags"), t)).agg(F.count("*").alias("n")).select(F.lit(t).alias("network_type"), "n")
-        out = x if out is None else out.unionByName(x)
-    return out
+    counts = w.agg(*[F.count_if(S.tag_filter(F.col("tags"), t)).alias(t) for t in S.TAG_FILTERS])  # one scan for all types
+    return counts.unpivot([], list(S.TAG_FILTERS), "network_type", "n").filter("n > 0")
 
 
 @query(WITH + N.WAYS_SQL + " SELECT count(*) AS n FROM wt WHERE highway IS NULL OR highway NOT IN ('footway', 'service')")
@@ -83,9 +81,20 @@ def src_demo_filter(spark, d):
     return N.ways(spark, d).filter(S.exact_class_filter(F.col("tags"), ["footway", "service"])).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT '[out:json][timeout:180];(way["highway"]["area"!~"yes"]["highway"!~"abandoned|construction|planned|platform|proposed|raceway|razed"](32.050000,34.750000,32.100000,34.800000););(._;>;);out;' AS q""")
+def _tag_rows():
+    return ", ".join(f"('{t}', {i}, '{k}', '{w}')" for t, tags in S.TAG_FILTERS.items() for i, (k, w) in enumerate(tags.items()))
+
+
+@query(
+    f"""WITH f(t, i, k, w) AS (VALUES {_tag_rows()}), c AS (SELECT t, 'way["highway"]["area"!~"yes"]' || string_agg('["' || k || '"!~"' || w || '"]', '' ORDER BY i) AS c FROM f GROUP BY t),
+a(area, s) AS (VALUES ('bbox', ['(32.05,34.75,32.1,35)']), ('rings', ['(poly:"32.000000 34.000000 32.000000 34.500000 32.500000 34.500000")', '(poly:"31.000000 34.000000 31.000000 34.100000 31.100000 34.100000")']))
+SELECT t AS network_type, area, '[out:json][timeout:180];(' || list_aggregate(list_transform(s, lambda x: c || x || ';'), 'string_agg', '') || ');out body;>;out skel qt;' AS q FROM c CROSS JOIN a"""
+)
 def src_overpass_ql(spark, d):
-    return spark.createDataFrame([(S.overpass_query("all_private", (34.75, 32.05, 34.8, 32.1)),)], "q string")
+    """All network types, in a bbox and in two rings."""
+    rings = [[(34, 32), (34.5, 32), (34.5, 32.5)], [(34, 31), (34.1, 31), (34.1, 31.1)]]
+    rows = [(t, area, S.overpass_query(t, **where)) for t in S.TAG_FILTERS for area, where in (("bbox", {"bbox": (34.75, 32.05, 35, 32.1)}), ("rings", {"rings": rings}))]
+    return spark.createDataFrame(rows, "network_type string, area string, q string")
 
 
 @query(WITH + NET + " SELECT count(*) FILTER (WHERE lon BETWEEN 34.7521 AND 34.7622 AND lat BETWEEN 32.0521 AND 32.0612) AS in_bbox, count(*) FILTER (WHERE lon > 34.75405 AND lon < 34.76305 AND lat > 32.05405 AND lat < 32.06305) AS in_ring FROM nodes")

@@ -14,17 +14,41 @@ from ..operators import topology
 from ..operators.lineage import settle
 
 OSM = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>"
-# fixed values: words that a tag must not contain, by network type
-_BASE = ["abandoned", "construction", "planned", "platform", "proposed", "raceway", "razed"]
-_DRIVE = [*_BASE, "bridleway", "bus_guideway", "busway", "corridor", "cycleway", "elevator", "escalator", "footway", "ladder", "path", "pedestrian", "steps", "track"]
-TAG_FILTERS: dict[str, dict[str, list[str]]] = {
-    "all": {"highway": _BASE, "service": ["private"], "access": ["private"]},
-    "all_public": {"highway": _BASE, "service": ["private"], "access": ["private"]},
-    "all_private": {"highway": _BASE},
-    "walk": {"highway": [*_BASE, "bus_guideway", "busway", "cycleway", "motor"], "foot": ["no"], "service": ["private"], "access": ["private"]} | {k: ["separate"] for k in ("sidewalk", "sidewalk:both", "sidewalk:left", "sidewalk:right")},
-    "bike": {"highway": [*_BASE, "bus_guideway", "busway", "corridor", "elevator", "escalator", "footway", "ladder", "motor", "steps"], "bicycle": ["no"], "service": ["private"], "access": ["private"]},
-    "drive_service": {"highway": _DRIVE, "motor_vehicle": ["no"], "motorcar": ["no"], "service": ["emergency_access", "parking", "parking_aisle", "private"], "access": ["private"]},
-    "drive": {"highway": [*_DRIVE, "service"], "motor_vehicle": ["no"], "motorcar": ["no"], "service": ["alley", "driveway", "emergency_access", "parking", "parking_aisle", "private"], "access": ["private"]},
+# fixed values: words that a tag must not contain, by network type, in the order in which the query text names them
+TAG_FILTERS: dict[str, dict[str, str]] = {
+    "drive": {
+        "access": "private",
+        "highway": "abandoned|bridleway|bus_guideway|busway|construction|corridor|cycleway|elevator|escalator|footway|ladder|path|pedestrian|planned|platform|proposed|raceway|razed|service|steps|track",
+        "motor_vehicle": "no",
+        "motorcar": "no",
+        "service": "alley|driveway|emergency_access|parking|parking_aisle|private",
+    },
+    "drive_service": {
+        "access": "private",
+        "highway": "abandoned|bridleway|bus_guideway|busway|construction|corridor|cycleway|elevator|escalator|footway|ladder|path|pedestrian|planned|platform|proposed|raceway|razed|steps|track",
+        "motor_vehicle": "no",
+        "motorcar": "no",
+        "service": "emergency_access|parking|parking_aisle|private",
+    },
+    "walk": {
+        "access": "private",
+        "highway": "abandoned|bus_guideway|busway|construction|cycleway|motor|planned|platform|proposed|raceway|razed",
+        "foot": "no",
+        "service": "private",
+        "sidewalk": "separate",
+        "sidewalk:both": "separate",
+        "sidewalk:left": "separate",
+        "sidewalk:right": "separate",
+    },
+    "bike": {
+        "access": "private",
+        "highway": "abandoned|bus_guideway|busway|construction|corridor|elevator|escalator|footway|ladder|motor|planned|platform|proposed|raceway|razed|steps",
+        "bicycle": "no",
+        "service": "private",
+    },
+    "all": {"access": "private", "highway": "abandoned|construction|planned|platform|proposed|raceway|razed", "service": "private"},
+    "all_public": {"access": "private", "highway": "abandoned|construction|planned|platform|proposed|raceway|razed", "service": "private"},
+    "all_private": {"highway": "abandoned|construction|planned|platform|proposed|raceway|razed"},
 }
 # fixed values: classes of connector segments left out, by network type
 CLASS_FILTERS: dict[str, list[str]] = {
@@ -58,7 +82,7 @@ def tag_filter(tags: Column, network_type: str) -> Column:
     """Unanchored regex tests on tags; an absent tag passes, but highway must be there."""
     keep = tags["highway"].isNotNull() & ~F.coalesce(tags["area"].rlike("yes"), F.lit(False))
     for key, words in TAG_FILTERS[network_type].items():
-        keep = keep & ~F.coalesce(tags[key].rlike("|".join(words)), F.lit(False))
+        keep = keep & ~F.coalesce(tags[key].rlike(words), F.lit(False))
     return keep
 
 
@@ -69,13 +93,13 @@ def exact_class_filter(tags: Column, classes: list[str]) -> Column:
 
 def overpass_query(network_type: str, bbox: tuple[float, float, float, float] | None = None, rings: list[list[tuple[float, float]]] | None = None, timeout: int = 180) -> str:
     """Text of a query for ways of a type in a bbox (west, south, east, north) or in polygons, one clause per ring."""
-    tags = '["highway"]["area"!~"yes"]' + "".join(f'["{k}"!~"{"|".join(w)}"]' for k, w in TAG_FILTERS[network_type].items())
+    tags = '["highway"]["area"!~"yes"]' + "".join(f'["{k}"!~"{w}"]' for k, w in TAG_FILTERS[network_type].items())
     if rings:
         areas = ['(poly:"' + " ".join(f"{lat:.6f} {lon:.6f}" for lon, lat in r) + '")' for r in rings]
     else:
-        w, s, e, n = bbox
-        areas = [f"({s:.6f},{w:.6f},{n:.6f},{e:.6f})"]
-    return f"[out:json][timeout:{timeout}];(" + "".join(f"way{tags}{a};" for a in areas) + ");(._;>;);out;"
+        w, s, e, n = (repr(float(x)).removesuffix(".0") for x in bbox)
+        areas = [f"({s},{w},{n},{e})"]
+    return f"[out:json][timeout:{timeout}];(" + "".join(f"way{tags}{a};" for a in areas) + ");out body;>;out skel qt;"
 
 
 def parse_geocode(text: Column) -> Column:
@@ -211,10 +235,11 @@ def prepare_lines(lines: DataFrame, most: float = 150.0, simplify: bool = True)
     return topology.simple_graph(e).select("edge_id", "u", "v", "length_m")
 
 
-def check_limits(nodes: int, area_km2: float | None = None) -> None:
+def check_limits(nodes: int, area_km2: float | None = None, large: int = 60_000) -> None:
+    """Warns of networks above ``large`` nodes and of areas above 150 km2; an empty network is an error."""
     if nodes == 0:
         raise ValueError("the network is empty")
-    if nodes > 60_000:
+    if nodes > large:
         warnings.warn(f"{nodes} nodes: a large network", stacklevel=2)
     if area_km2 is not None and area_km2 > 150:
         warnings.warn(f"{area_km2:.0f} km2: a large area", stacklevel=2)

@@ -205,3 +205,12 @@ def test_outer_rings(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", network.outer_rings(F.col("t")).alias("r")).orderBy("i").collect()
     assert [None if r.r is None else [len(x) for x in r.r] for r in rows] == [[5], [5, 5], None, None, None]
     assert [(p.lon, p.lat) for p in rows[0].r[0]] == [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+
+
+def test_limits():
+    with pytest.raises(ValueError, match="empty"):
+        network.check_limits(0)
+    with pytest.warns(UserWarning, match="40000 nodes"):
+        network.check_limits(40_000, large=30_000)
+    with pytest.warns(UserWarning, match="151 km2"):
+        network.check_limits(10, 151.0)
