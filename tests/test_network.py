@@ -168,6 +168,24 @@ def test_registered_coverage_takes_the_whole_network(spark, tmp_path):
     assert sum(r["size"] for r in registry.clus_group(spark, d).collect()) == len(far[0].keys() | far[60].keys() | far[130].keys())
 
 
+@pytest.mark.parametrize("name", ["out_geojson_step"])
+def test_results_on_a_network_of_several_components(spark, tmp_path, name):
+    """Among 1369 nodes three edges are reached from neither source."""
+    import duckdb
+
+    from reachset.plans import registry
+
+    d = str(tmp_path)
+    spark.range(1369).select(F.col("id").alias("c_custkey")).write.parquet(f"{d}/customer.parquet")
+    for table, columns in (("lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double"), ("orders", "o_orderkey long, o_custkey long, o_totalprice double")):
+        spark.createDataFrame([], columns).write.parquet(f"{d}/{table}.parquet")
+    con = duckdb.connect()
+    for table in ("customer", "lineitem", "orders"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet/*.parquet'")
+    got = getattr(registry, name)(spark, d)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
+
+
 def _line(*points):
     return [{"lon": float(x), "lat": float(y)} for x, y in points]
 
