@@ -168,7 +168,7 @@ def test_registered_coverage_takes_the_whole_network(spark, tmp_path):
     assert sum(r["size"] for r in registry.clus_group(spark, d).collect()) == len(far[0].keys() | far[60].keys() | far[130].keys())
 
 
-@pytest.mark.parametrize("name", ["out_geojson_step", "view_edge_state"])
+@pytest.mark.parametrize("name", ["out_geojson_step", "view_edge_state", "out_step_sf"])
 def test_results_on_a_network_of_several_components(spark, tmp_path, name):
     """Among 1369 nodes three edges are reached from neither source."""
     import duckdb
