@@ -249,3 +249,50 @@ def test_empty_network(spark):
     nodes, adj = frames(spark, 0, {})
     for name in K.ALGORITHMS:
         assert list(itertools.chain(V.steps(nodes, adj, V.Params(), name).collect())) == []
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_array_searches_against_heaps(seed):
+    """Distances, labels, predecessors and best members on random networks with edges of length 0 and fractions."""
+    import heapq
+    import random
+
+    from reachset.operators.arrays import Arrays, best_member
+
+    rng = random.Random(seed)
+    n, edges = 60, {}
+    for i in range(1, n):
+        edges[(i, rng.randrange(i))] = rng.choice([0.0, 0.5, 1.0, 2.0, 9.0])
+    for _ in range(rng.randrange(60)):
+        a, b = rng.sample(range(n), 2)
+        edges.setdefault((max(a, b), min(a, b)), rng.choice([1.0, 3.0]))
+    rows = [(a, b, w) for (a, b), w in edges.items()] + [(b, a, w) for (a, b), w in edges.items()]
+    net = Arrays(n, *(np.array(c) for c in zip(*rows)))
+
+    def search(s):
+        best, heap = {s: 0.0}, [(0.0, s)]
+        while heap:
+            x, u = heapq.heappop(heap)
+            for a, v, w in rows if x == best[u] else ():
+                if a == u and x + w < best.get(v, K.INF):
+                    best[v] = x + w
+                    heapq.heappush(heap, (x + w, v))
+        return best
+
+    far = [search(s) for s in range(n)]
+    sources = np.array([7, 31, 7, 2])
+    d, label = net.nearest(sources, 8.0)
+    want = [min((far[s][x], i) for i, s in enumerate(sources.tolist())) for x in range(n)]
+    assert list(zip(d.tolist(), label.tolist())) == [x if x[0] <= 8 else (K.INF, -1) for x in want]
+    for x, p in enumerate(net.before(d, label, sources).tolist()):
+        if label[x] >= 0 and x not in (7, 31, 2):
+            assert label[p] == label[x] and any((a, b) == (p, x) and d[p] + w == d[x] for a, b, w in rows)
+            steps = 0
+            while x not in (7, 31, 2):
+                x, steps = net.before(d, label, sources)[x], steps + 1
+                assert steps <= n
+    assert net.distances(np.array([3, 4])).tolist() == [[far[s][x] for x in range(n)] for s in (3, 4)]
+    for objective, value in (("minimax", max), ("minisum", sum)):
+        values = [value(far[s].values()) for s in range(n)]
+        best = min((v, s) for s, v in enumerate(values))
+        assert best_member(net, 5, objective, 1e-6)[0] == (best[1] if best[0] < values[5] - 1e-6 else 5)
