@@ -7,6 +7,7 @@ from reachset.functions import geo
 from reachset.operators import centers, coverage, paths, topology
 from reachset.sources import network
 
+SEARCHES = ["path_multi_source"]
 TIES = [(0, 0, 1, 5), (1, 1, 2, 5), (2, 0, 3, 5), (3, 3, 2, 5), (4, 1, 1, 7), (5, 0, 1, 9), (6, 6, 7, 2)]
 
 
@@ -186,6 +187,22 @@ def test_results_on_a_network_of_several_components(spark, tmp_path, name):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
 
 
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_take_no_rounds_over_tables(spark, tmp_path, monkeypatch, name):
+    """A network that one task holds is searched there, however many blocks of ids it has; the result is that of the SQL."""
+    import duckdb
+
+    from reachset.plans import registry
+
+    d = str(tmp_path)
+    spark.range(480).select(F.col("id").alias("c_custkey")).write.parquet(f"{d}/customer.parquet")
+    monkeypatch.setattr(paths, "settle", lambda df: pytest.fail("a round over tables"))
+    got = getattr(registry, name)(spark, d).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{d}/customer.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
+
+
 def _line(*points):
     return [{"lon": float(x), "lat": float(y)} for x, y in points]
 
