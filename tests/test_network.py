@@ -7,7 +7,7 @@ from reachset.functions import geo
 from reachset.operators import centers, coverage, paths, topology
 from reachset.sources import network
 
-SEARCHES = ["path_multi_source", "path_argmax", "path_matrix", "path_diameter", "cov_record", "cov_assignment"]
+SEARCHES = ["path_multi_source", "path_argmax", "path_matrix", "path_diameter", "cov_record", "cov_assignment", "out_nodes"]
 TIES = [(0, 0, 1, 5), (1, 1, 2, 5), (2, 0, 3, 5), (3, 3, 2, 5), (4, 1, 1, 7), (5, 0, 1, 9), (6, 6, 7, 2)]
 
 
