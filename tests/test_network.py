@@ -203,6 +203,30 @@ def test_searches_take_no_rounds_over_tables(spark, tmp_path, monkeypatch, name)
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
 
 
+def test_registered_greedy_cover_takes_all_nodes_as_candidates(spark, tmp_path):
+    """On more nodes than the default number of candidates, against a greedy cover over the balls of all nodes."""
+    from reachset.plans import fixtures, registry
+
+    d = str(tmp_path)
+    spark.range(1700).select(F.col("id").alias("c_custkey")).write.parquet(f"{d}/customer.parquet")
+    rows = topology.adjacency(fixtures.net(spark, d)[1]).collect()
+    ball = {r.u: {r.u: 0} for r in rows}
+    out = {}
+    for r in rows:
+        out.setdefault(r.u, []).append((r.v, r.w))
+    for s, found in ball.items():
+        wave = [s]
+        while wave:
+            wave = [v for u in wave for v, w in out[u] if found[u] + w <= 500 and found[u] + w < found.get(v, 501) and not found.update({v: found[u] + w})]
+    open_, want = set(ball), []
+    while open_:
+        pick = min(ball, key=lambda x: (-len(open_ & ball[x].keys()), x))
+        open_ -= ball[pick].keys()
+        want.append((len(want), len(want) + 1, pick))
+    assert len(ball) > coverage.Params().candidate_cap
+    assert sorted(map(tuple, registry.cov_lscp(spark, d).collect())) == want
+
+
 def _line(*points):
     return [{"lon": float(x), "lat": float(y)} for x, y in points]
 
