@@ -296,3 +296,16 @@ def test_array_searches_against_heaps(seed):
         values = [value(far[s].values()) for s in range(n)]
         best = min((v, s) for s, v in enumerate(values))
         assert best_member(net, 5, objective, 1e-6)[0] == (best[1] if best[0] < values[5] - 1e-6 else 5)
+
+
+@pytest.mark.parametrize("algorithm,more", [("gonzalez", {})])
+def test_brief_logs_hold_the_last_centre_only(spark, algorithm, more):
+    """All else is as in the full log, totals by blocks included."""
+    rows = [(i, i + 1, 60 + 7 * i % 80) for i in range(120)] + [(200 + i, 201 + i, 90) for i in range(30)]
+    adj = spark.createDataFrame(rows + [(v, u, w) for u, v, w in rows], "u long, v long, w long")
+    nodes = adj.selectExpr("u AS node").distinct()
+    p = V.Params(radius=300.0, **more)
+    full, brief = ([r.asDict() for r in K.steps(nodes, adj, p, algorithm, b).orderBy("step").collect()] for b in (False, True))
+    at = lambda r: {k: v for k, v in r.items() if k not in ("centers", "elapsed_ms")}
+    assert len(full) > 20 and [at(r) for r in brief] == [at(r) for r in full]
+    assert [r["centers"] for r in brief] == [r["centers"][-1:] for r in full]
