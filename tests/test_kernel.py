@@ -298,7 +298,7 @@ def test_array_searches_against_heaps(seed):
         assert best_member(net, 5, objective, 1e-6)[0] == (best[1] if best[0] < values[5] - 1e-6 else 5)
 
 
-@pytest.mark.parametrize("algorithm,more", [("gonzalez", {}), ("gonzalez", {"prune": True}), ("lscp", {"prune": True}), ("pullseed", {})])
+@pytest.mark.parametrize("algorithm,more", [("gonzalez", {}), ("gonzalez", {"prune": True}), ("lscp", {"prune": True}), ("pullseed", {}), ("gonzalez", {"post_pull": True})])
 def test_brief_logs_hold_the_last_centre_only(spark, algorithm, more):
     """All else is as in the full log, totals by blocks included."""
     rows = [(i, i + 1, 60 + 7 * i % 80) for i in range(120)] + [(200 + i, 201 + i, 90) for i in range(30)]
