@@ -1,6 +1,7 @@
 """The one-task coverage runs against a naive version that recomputes everything from the distances of all pairs, and against the loops."""
 
 import itertools
+from dataclasses import asdict
 
 import numpy as np
 import pytest
@@ -309,3 +310,34 @@ def test_brief_logs_hold_the_last_centre_only(spark, algorithm, more):
     at = lambda r: {k: v for k, v in r.items() if k not in ("centers", "elapsed_ms")}
     assert len(full) > 20 and [at(r) for r in brief] == [at(r) for r in full]
     assert [r["centers"] for r in brief] == [r["centers"][-1:] for r in full]
+
+
+@pytest.mark.parametrize(("algorithm", "more"), [("pullseed", {}), ("gonzalez", {"prune": True, "post_pull": True}), ("fixedk", {"k": 4, "prune": True}), ("lscp", {"prune": True})])
+def test_assignments_in_arrays_give_the_logs_of_those_in_lists(monkeypatch, algorithm, more):
+    monkeypatch.setattr(K, "MANY", 1)  # all searches of cells over arrays, side by side
+    for seed, parts in ((1, 1), (2, 1), (3, 3)):
+        n, edges = network(seed, n=150, extra=80, parts=parts)
+        logs = []
+        for wide, at_once in ((10**9, 1), (1, 10**6), (20, 400)):
+            monkeypatch.setattr(K, "WIDE", wide)
+            monkeypatch.setattr(K, "SIDE_BY_SIDE", at_once)
+            loop = K.Loop(arrays(n, edges), asdict(V.Params(radius=300.0, budget_s=INF, exact_limit=8, **more)))
+            K.ALGORITHMS[algorithm](loop)
+            logs.append([{k: v for k, v in s.items() if k != "elapsed_ms"} for s in loop.steps])
+        assert logs[0] == logs[1] == logs[2]
+        assert len(logs[0]) > 2
+
+
+@pytest.mark.parametrize("hub", [False, True])
+def test_searches_side_by_side_against_all_pairs(hub):
+    n, edges = network(5, n=80, parts=2)
+    if hub:  # a node with many edges: no rows of one width
+        edges |= {(0, x): 500 + x for x in range(10, 40)}
+    d = all_pairs(n, edges)
+    net = arrays(n, edges).arrays
+    assert (net.beside is None) == hub
+    for sources, cutoffs in (([3], [400.0]), ([5, 5, 60], [250.0, INF, 0.0]), ([7, 8], [300.0, 100.0])):
+        for s, cutoff, (nodes, dist) in zip(sources, cutoffs, net.balls(np.array(sources), np.array(cutoffs))):
+            near = np.flatnonzero((d[s] <= cutoff) & np.isfinite(d[s]))
+            assert nodes.tolist() == near.tolist()
+            assert dist.tolist() == d[s, near].tolist()
