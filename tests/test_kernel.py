@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reachset.operators import arrays as A
 from reachset.operators import coverage as V
 from reachset.operators import kernel as K
 
@@ -341,3 +342,24 @@ def test_searches_side_by_side_against_all_pairs(hub):
             near = np.flatnonzero((d[s] <= cutoff) & np.isfinite(d[s]))
             assert nodes.tolist() == near.tolist()
             assert dist.tolist() == d[s, near].tolist()
+
+
+def test_medians_by_closer_bounds_against_all_pairs(monkeypatch):
+    """With few nodes and groups, so that small networks take the rounds of marks too."""
+    calls = []
+    bounds = A._grouped
+    monkeypatch.setattr(A, "_grouped", lambda sums, at, size, best: calls.append((sums, at, size, found := bounds(sums, at, size, best))) or found)
+    for name, value in (("FEW", 1), ("MORE_MARKS", 8), ("GROUPS", 25), ("MARKS", 2)):
+        monkeypatch.setattr(A, name, value)
+    for seed in range(8):
+        n, edges = network(seed, n=120, extra=90)
+        total = all_pairs(n, edges).sum(axis=1)
+        best = int(total.argmin())
+        assert A.best_member(arrays(n, edges).arrays, seed, "minisum", 1e-6)[0] == (best if total[best] < total[seed] - 1e-6 else seed)
+    assert len(calls) >= 16
+    n, edges = network(3, n=120, extra=90)
+    d = all_pairs(n, edges)
+    group = np.arange(n) % 25
+    sums = np.array([np.bincount(group, weights=d[m]) for m in (4, 50, 99)])
+    found = bounds(sums, d[[4, 50, 99]], np.bincount(group).astype(float), INF)
+    assert (found <= d.sum(axis=1)).all() and found.max() > 0
