@@ -363,3 +363,37 @@ def test_medians_by_closer_bounds_against_all_pairs(monkeypatch):
     sums = np.array([np.bincount(group, weights=d[m]) for m in (4, 50, 99)])
     found = bounds(sums, d[[4, 50, 99]], np.bincount(group).astype(float), INF)
     assert (found <= d.sum(axis=1)).all() and found.max() > 0
+
+
+@pytest.mark.parametrize("wide", [10**9, 1])
+def test_added_centres_search_where_they_are_nearer(monkeypatch, wide):
+    """Distances, labels, totals and counted nodes against all pairs, with edges of length 0, parts and a centre given twice."""
+    monkeypatch.setattr(K, "WIDE", wide)
+    rng = np.random.default_rng(8)
+    n, edges = network(6, n=90, extra=60, parts=2)
+    edges = {e: 0 if i % 9 == 0 else w for i, (e, w) in enumerate(edges.items())}
+    d = all_pairs(n, edges)
+    net = arrays(n, edges)
+    c = [3, 40, 11]
+    a = K.Assignment(net, c, 150.0)
+    a.measure()
+    a.forget()
+    for x in [3, *rng.permutation(n)[:25].tolist()]:
+        was, searches, settled = d[c].min(axis=0), net.searches, net.settled
+        c.append(x)
+        m = a.add(x).measure()
+        dist = d[c].min(axis=0)
+        assert a.centers == c and list(a.dist) == dist.tolist()
+        assert list(a.label) == np.where(np.isinf(dist), -1, d[c].argmin(axis=0)).tolist()
+        assert m == {"max_dist": dist.max(), "mean_dist": pytest.approx(dist.mean()), "covered": (dist <= 150).mean(), "farthest": int(dist.argmax()) if dist.max() > 0 else None}
+        assert net.searches == searches + 1
+        assert net.settled - settled == (d[x] < was).sum()
+    reached = sorted(net.reached(7, 300.0))
+    assert reached == np.flatnonzero(d[7] <= 300).tolist() == sorted(net.search(7, cutoff=300.0)[0])
+
+
+def test_places_of_ids_close_together_and_far_apart():
+    for ids in ([], [5], [-3, -1, 0, 4], [1, 10**12, 10**15]):
+        x = np.array((ids * 3)[::-1], np.int64)
+        assert K.distinct(x).tolist() == ids
+        assert K.places(np.array(ids, np.int64), x).tolist() == [ids.index(y) for y in x.tolist()]
