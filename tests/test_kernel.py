@@ -1,6 +1,7 @@
 """The one-task coverage runs against a naive version that recomputes everything from the distances of all pairs, and against the loops."""
 
 import itertools
+import os
 from dataclasses import asdict
 
 import numpy as np
@@ -397,3 +398,33 @@ def test_places_of_ids_close_together_and_far_apart():
         x = np.array((ids * 3)[::-1], np.int64)
         assert K.distinct(x).tolist() == ids
         assert K.places(np.array(ids, np.int64), x).tolist() == [ids.index(y) for y in x.tolist()]
+
+
+@pytest.mark.parametrize(("algorithm", "more"), [("pullseed", {}), ("fixedk", {"k": 6}), ("gonzalez", {"post_pull": True})])
+def test_helpers_give_the_logs_of_one_process(monkeypatch, algorithm, more):
+    monkeypatch.setattr(K, "MANY", 9)
+    n, edges = network(3, n=150, extra=80)
+    one = arrays(n, edges)
+    many = K.Network(np.arange(n), *(np.array(x) for x in zip(*[(a, b, float(w)) for (x, y), w in edges.items() for a, b in ((x, y), (y, x))])), cores=3)
+    logs = []
+    for net in (one, many):
+        loop = K.Loop(net, asdict(V.Params(radius=300.0, budget_s=INF, exact_limit=4, **more)))
+        K.ALGORITHMS[algorithm](loop)
+        logs.append([{k: v for k, v in s.items() if k != "elapsed_ms"} for s in loop.steps])
+    assert logs[0] == logs[1] and len(logs[0]) > 2
+    assert one._helpers is None and len(many._helpers.pids) == 3
+    pids = many._helpers.pids
+    many.close()
+    for pid in pids:  # ended and taken back
+        with pytest.raises(ProcessLookupError):
+            os.kill(pid, 0)
+
+
+def test_what_fails_in_a_helper_fails_the_task():
+    n, edges = network(3, n=40)
+    net = arrays(n, edges)
+    net.cores = 2
+    busy = net.helpers.start([(0, [1, 2, n + 5], 1), (1, [3, 4], 3)], np.ones(n + 6))
+    with pytest.raises(IndexError):
+        list(net.helpers.results(busy))
+    net.close()
