@@ -187,6 +187,25 @@ def test_results_on_a_network_of_several_components(spark, tmp_path, name):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
 
 
+@pytest.mark.parametrize("name", ["out_qgis", "view_moves_marks"])
+def test_logs_of_orders_with_one_key_and_of_lines_without_number(spark, tmp_path, name):
+    import duckdb
+
+    from reachset.plans import registry
+
+    d = str(tmp_path)
+    spark.range(30).select(F.col("id").alias("c_custkey")).write.parquet(f"{d}/customer.parquet")
+    orders = [(1, 7, 10.0, "1-URGENT", "O"), (1, 8, 20.0, "2-HIGH", "F"), (2, None, 5.0, None, "O"), (3, 9, 1.0, "5-LOW", "F"), (3, 9, 1.0, "5-LOW", "F"), (4, 11, 2.0, "5-LOW", "F"), (None, 3, 2.0, "5-LOW", "F")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderstatus string").write.parquet(f"{d}/orders.parquet")
+    lines = [(1, 2, 5, 1, 1.0), (1, None, 9, 1, 1.0), (1, 1, None, 1, 1.0), (1, 1, 6, None, 1.0), (2, 1, 4, 1, None), (2, 1, 4, 2, 3.0), (3, None, None, 1, 1.0), (3, None, 2, 1, 1.0), (4, 1, 3, 1, 1.0), (None, 1, 3, 1, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{d}/lineitem.parquet")
+    con = duckdb.connect()
+    for table in ("customer", "lineitem", "orders"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet/*.parquet'")
+    got = getattr(registry, name)(spark, d)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()[name]).fetchall()))
+
+
 @pytest.mark.parametrize("name", SEARCHES)
 def test_searches_take_no_rounds_over_tables(spark, tmp_path, monkeypatch, name):
     """A network that one task holds is searched there, however many blocks of ids it has; the result is that of the SQL."""
